@@ -1,9 +1,11 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import exact_dedup, sharding
+from tarn.llm import exact_dedup, language_id, sharding, token_store
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op6_token_store": token_store.op6_token_store,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
