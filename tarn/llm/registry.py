@@ -1,8 +1,10 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import exact_dedup, language_id, sharding, token_store
+from tarn.llm import exact_dedup, language_id, mixing, pii, sharding, token_store
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op6_token_store": token_store.op6_token_store,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
