@@ -1,12 +1,14 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import exact_dedup, language_id, mixing, pii, sharding, token_store
+from tarn.llm import decontaminate, exact_dedup, language_id, mixing, pii, sharding, token_store, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_token_store": token_store.op6_token_store,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
