@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,10 @@ from tarn.llm import base
 
 END_ID = 1
 _BLOCK_IDS = 1 << 18  # ids in a block at most, unless one document has more
-_WORD_CACHE = 400_000
+_WORD_CACHE = 500_000  # pieces that a worker keeps between batches
+_SLICE_BYTES = 12 << 20  # of text that is tokenised at once
+#: A word of Latin-1 letters (whose normal form has letters only), then ASCII punctuation without the underscore.
+_WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 
 # ---- coding -------------------------------------------------------------------------------------------------------
 # Each id's rank takes 1 to 4 bytes, little endian; its length less one is two bits of a control byte (four ids each,
@@ -54,30 +58,63 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Whole texts through the tokenizers library, by pieces between white space.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, its
-    normalizer works on each character or within such a piece, so a text's ids are
-    those of its pieces one after another. Each distinct piece goes through the
-    library once while it is in the bounded cache.
+    The vocabulary's pre-tokenizer never joins characters across white space, nor a
+    Latin-1 letter with ASCII punctuation after it; its normalizer works on each character or
+    within such a piece. A text's ids are thus those of its pieces one after another,
+    and a distinct piece goes through the library once while it is in the bounded
+    cache. Words of ASCII letters go many at a time, through the same model without
+    the normalizer, which does nothing to them but lower-case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _of(self, pieces: list[str]) -> list[np.ndarray]:
-        found = [self.cache.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, np.uint32)
-        if len(self.cache) + len(missing) > _WORD_CACHE:
-            self.cache.clear()
-        if len(missing) <= _WORD_CACHE:
-            self.cache.update((pieces[i], found[i]) for i in missing if len(pieces[i]) <= 40)
-        return found
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        words = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []}))
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self):
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _joined(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]] | None:
+        """Ids and sizes of words, many to a call; None if the ends of words don't tell them apart."""
+        texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.array([i for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
+            return None
+        return ids, np.diff(stops, prepend=0)
+
+    def _learn(self, pieces: list[str]) -> None:
+        ascii_words = [p for p in pieces if p.isascii() and p.isalpha()]
+        other_words = [p for p in pieces if not p.isascii() and p.isalpha()]
+        rest = [p for p in pieces if not p.isalpha()]
+        ids, sizes, order = [], [], []
+        for tokenizer, words in ((self.plain, ascii_words), (self.tokenizer, other_words)):
+            if words and (got := self._joined(tokenizer, words)):
+                ids.append(got[0])
+                sizes.append(got[1])
+                order += words
+            else:
+                rest = words + rest
+        if rest:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            ids.append(np.array([i for x in each for i in x], np.uint32))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+            order += rest
+        size = np.concatenate(sizes)
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
@@ -87,17 +124,29 @@ class WordEncoder:
         coded = pc.dictionary_encode(pieces.flatten())
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         if not len(index):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        ids = self._of(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        each = size[index]
+        pieces = coded.dictionary
+        parts = pc.extract_regex(pieces, _WORD_AND_MARKS)
+        cut = parts.is_valid()
+        # letter case of ASCII makes no difference to the model; special tokens are not words, and stay as they are
+        heads = pc.if_else(cut, pc.ascii_lower(pc.struct_field(parts, "word")), pieces).to_pylist()
+        marks = pc.dictionary_encode(pc.if_else(cut, pc.struct_field(parts, "marks"), ""))
+        tails = marks.dictionary.to_pylist()
+        if len(self.known) > _WORD_CACHE:
+            self._clear()
+        if missing := list({p for p in [*heads, *tails] if p not in self.known}):
+            self._learn(missing)
+        own = np.empty((len(heads), 2), np.int32)
+        own[:, 0] = np.fromiter(map(self.known.__getitem__, heads), np.int32, len(heads))
+        own[:, 1] = np.array([self.known[p] for p in tails], np.int32)[marks.indices.to_numpy()]
+        both = own[index].reshape(-1)  # word, its marks, next word, ...
+        each = self.sizes[both]
         total = np.concatenate([[0], np.cumsum(each)])
-        place = np.repeat(first[index] - total[:-1], each) + np.arange(total[-1])
-        return flat[place].astype(np.uint32), total[ends[1:]] - total[ends[:-1]]
+        place = np.repeat((self.starts[both] - total[:-1]).astype(np.int32), each)
+        place += np.arange(total[-1], dtype=np.int32)
+        return self.flat[place], total[2 * ends[1:]] - total[2 * ends[:-1]]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -122,13 +171,13 @@ def _end_each(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
 # ---- the store ----------------------------------------------------------------------------------------------------
 
 
-def _ranked(tokens: DataFrame) -> list[int]:
+def _ranked(tokens: DataFrame, dtype: np.dtype) -> list[int]:
     """All ids by falling frequency, then by value; as many rows as the vocabulary has reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype))
             if len(n) > len(total):
                 total = np.pad(total, (0, len(n) - len(total)))
             total[: len(n)] += n
@@ -159,7 +208,8 @@ def write_store(
     scratch = base.fresh_path(spark, "tokens")
     source = docs.select(F.col(order_col).cast("long").alias("seq"), F.col(text_col).alias("text"))
     tokens = _tokenised(source, scratch, tokenizer_path, end_id)
-    order = _ranked(tokens)
+    dtype = _encoder(tokenizer_path).dtype
+    order = _ranked(tokens, dtype)
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     base_rank = spark.sparkContext.broadcast(rank)
@@ -174,7 +224,7 @@ def write_store(
 
         def flush():
             nonlocal block, within, seqs, raws, held
-            ids = [np.frombuffer(r, "<u4") for r in raws]
+            ids = [np.frombuffer(r, dtype) for r in raws]
             control, data = encode_block(base_rank.value[np.concatenate(ids)])
             row = [part, block, within, seqs, [len(x) for x in ids], held, control, data, zlib.crc32(data, zlib.crc32(control))]
             out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
@@ -184,11 +234,11 @@ def write_store(
         for batch in batches:
             for seq, raw in zip(batch.column("seq").to_pylist(), batch.column("ids"), strict=True):
                 raw = raw.as_py()
-                if seqs and held + len(raw) // 4 > _BLOCK_IDS:
+                if seqs and held + len(raw) // dtype.itemsize > _BLOCK_IDS:
                     yield flush()
                 seqs.append(seq)
                 raws.append(raw)
-                held += len(raw) // 4
+                held += len(raw) // dtype.itemsize
         if seqs:
             yield flush()
 
@@ -204,19 +254,26 @@ _BLOCK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.lis
 _BLOCK_DDL = "part long, block long, within long, seqs array<long>, sizes array<long>, n_ids long, control binary, data binary, check long"
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``_SLICE_BYTES`` of text, and one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataFrame:
+    """``seq, ids`` as a table written under ``path``; ids take two bytes each where the vocabulary allows it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
-                cut = np.concatenate([[0], np.cumsum(sizes)])
-                wide = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("seq"), pa.array([wide[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["seq", "ids"],
-                )
+        for part in (part for batch in batches for part in _slices(batch)):
+            ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
+            data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), data])
+            yield pa.RecordBatch.from_arrays([part.column("seq"), packed], names=["seq", "ids"])
 
     spark = source.sparkSession
     source.mapInArrow(run, "seq long, ids binary").write.option("compression", "zstd").parquet(path)
@@ -230,7 +287,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")
     # a row for each write task: few, whatever the input
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS part_start")
-    placed = blocks.join(parts, "part").withColumn("first", F.col("part_start") + F.col("within"))
+    placed = blocks.join(F.broadcast(parts), "part").withColumn("first", F.col("part_start") + F.col("within"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
