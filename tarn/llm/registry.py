@@ -1,6 +1,6 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import decontaminate, exact_dedup, language_id, mixing, pii, sharding, token_store, url_filter
+from tarn.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, sharding, token_store, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_token_store": token_store.op6_token_store,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
