@@ -308,6 +308,11 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select("b", "b").distinct())
 
 
+def row_key(id_col: str, text_col: str):
+    """A hash that tells rows apart by id and text, where ids may be null or repeat."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.md5(F.col(text_col)), F.crc32(F.col(text_col)))
+
+
 def similar_documents(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -317,12 +322,12 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, row_key, class_id, n_links, n_grams`` of every row.
+    """``doc_id, row_key, class_id, n_links, n_grams, kept`` of every row.
 
     Two documents are linked if the Jaccard similarity of their sets of word
     ``n``-grams (lower-cased word characters) is ``threshold`` or more; ``n_links``
     counts the other documents that a document is linked to, copies included, and
-    ``class_id`` is the least doc_id that links lead to. Band and row counts follow
+    ``class_id`` is the least doc_id that links lead to, whose document is ``kept``. Band and row counts follow
     from ``recall`` at the threshold. Pairs are looked at in the first band they share;
     only nodes with a pair whose signatures agree in ``threshold - 0.15`` of their
     places (four deviations below the threshold) have their sets fetched. Every such pair is then
@@ -331,17 +336,17 @@ def similar_documents(
     A null or empty text, or one without a word, has no n-gram: it is alone, with no
     link. A text of fewer than ``n`` words is one n-gram. Rows with null ids take part;
     a class of such rows alone has a null class_id. Rows that repeat count as documents
-    of their own. Other columns are ignored; an empty table gives an empty one.
+    of their own, but share one decision. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = texts.withColumn("row_key", F.xxhash64("doc_id", F.md5("text"), F.crc32("text")))
+    keyed = texts.withColumn("row_key", row_key("doc_id", "text"))
     signed = base.written(_signed(keyed, n, bands, rows), "ngram-signed")
     nodes = (
         signed.where("n_grams > 0")
         .groupBy("set_key")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min("row_key").alias("row_key"), F.any_value("sig").alias("sig"))
+        .agg(F.count("*").alias("copies"), F.min(_place()).alias("first"), F.min("row_key").alias("row_key"), F.any_value("sig").alias("sig"))
     )
     nodes = base.written(nodes.withColumn("sid", F.monotonically_increasing_id()), "ngram-nodes")
 
@@ -363,16 +368,27 @@ def similar_documents(
 
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b IS NOT NULL"), "ngram-components")
-    placed = nodes.select("sid", "set_key", "copies", "least_doc").join(roots, F.col("sid") == F.col("node"), "left").drop("node")
+    placed = nodes.select("sid", "set_key", "copies", "first").join(roots, F.col("sid") == F.col("node"), "left").drop("node")
     placed = placed.join(links, F.col("sid") == F.col("a"), "left").drop("a")
     several = placed.where("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "sid"))
-    least = several.groupBy("root").agg(F.min("least_doc").alias("class_id"))
-    classes = several.join(least, "root").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("found"))
+    first = several.groupBy("root").agg(F.min("first").alias("class_first"))
+    classes = several.join(first, "root").select("set_key", "class_first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = F.col("class_first").isNull()
     return signed.join(classes, "set_key", "left").select(
-        "doc_id", "row_key", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams"
+        "doc_id",
+        "row_key",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "n_grams",
+        (alone | (F.col("class_first") == _place())).alias("kept"),
     )
 
 
+def _place():
+    """Orders the documents of a class: by id, null ids last, then by what the row holds."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
+
+
 def _grams_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``sid, copies, grams``: the sets of the wanted nodes, each from one of its documents."""
 

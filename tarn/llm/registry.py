@@ -1,11 +1,12 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, sharding, token_store, url_filter
+from tarn.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, pii, sharding, token_store, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_token_store": token_store.op6_token_store,
     "op7_decontamination": decontaminate.op7_decontamination,

@@ -189,24 +189,24 @@ def _ranked(tokens: DataFrame, dtype: np.dtype) -> list[int]:
 
 
 def write_store(
-    docs: DataFrame, path: str, tokenizer_path: str, order_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
+    docs: DataFrame, path: str, tokenizer_path: str, order_col: str = "doc_id", text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID
 ) -> None:
-    """Write every whole text's ids, in ascending ``order_col``, under ``path``.
+    """Write every whole text's ids, in ascending ``order_col`` (whole numbers), under ``path``.
 
     ``blocks`` holds a row for each run of documents in a partition: its place
-    (``part, block``, and the part's ids before it), the documents' ``seq`` values and
-    numbers of ids, the control bytes, the data bytes and a CRC-32 of
+    (``part, block``, and the part's ids before it), the documents' ``id_col`` values
+    and numbers of ids, the control bytes, the data bytes and a CRC-32 of
     both. ``ranks`` is the list of ids by falling frequency. Blocks hold whole
     documents and about 256 k ids; tokens are written once before they are ordered,
     so a lost executor costs no second tokenising.
 
-    Null texts are empty and take only the end id. Equal ``order_col`` values stay
-    neighbours in no set order, null ones come first; other columns are ignored. An
+    Null texts are empty and take only the end id. Equal ``order_col`` values are
+    ordered by ``id_col``, else in no set order; nulls come first. Other columns are ignored. An
     empty table gives a store without blocks.
     """
     spark = docs.sparkSession
     scratch = base.fresh_path(spark, "tokens")
-    source = docs.select(F.col(order_col).cast("long").alias("seq"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(order_col).cast("long").alias("seq"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = _tokenised(source, scratch, tokenizer_path, end_id)
     dtype = _encoder(tokenizer_path).dtype
     order = _ranked(tokens, dtype)
@@ -218,40 +218,40 @@ def write_store(
         from pyspark import TaskContext
 
         part, block, within = TaskContext.get().partitionId(), 0, 0
-        seqs: list = []
+        own_ids: list = []
         raws: list = []
         held = 0
 
         def flush():
-            nonlocal block, within, seqs, raws, held
+            nonlocal block, within, own_ids, raws, held
             ids = [np.frombuffer(r, dtype) for r in raws]
             control, data = encode_block(base_rank.value[np.concatenate(ids)])
-            row = [part, block, within, seqs, [len(x) for x in ids], held, control, data, zlib.crc32(data, zlib.crc32(control))]
+            row = [part, block, within, own_ids, [len(x) for x in ids], held, control, data, zlib.crc32(data, zlib.crc32(control))]
             out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
-            block, within, seqs, raws, held = block + 1, within + held, [], [], 0
+            block, within, own_ids, raws, held = block + 1, within + held, [], [], 0
             return out
 
         for batch in batches:
-            for seq, raw in zip(batch.column("seq").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 raw = raw.as_py()
-                if seqs and held + len(raw) // dtype.itemsize > _BLOCK_IDS:
+                if own_ids and held + len(raw) // dtype.itemsize > _BLOCK_IDS:
                     yield flush()
-                seqs.append(seq)
+                own_ids.append(doc_id)
                 raws.append(raw)
                 held += len(raw) // dtype.itemsize
-        if seqs:
+        if own_ids:
             yield flush()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.select("seq", "ids").repartitionByRange(parts, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first())
+    ordered = tokens.repartitionByRange(parts, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(pack, _BLOCK_DDL).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(END_ID if not order else int(i), k) for k, i in enumerate(order or [END_ID])], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     base.drop_table(spark, scratch)
 
 
-_BLOCK_NAMES = ["part", "block", "within", "seqs", "sizes", "n_ids", "control", "data", "check"]
+_BLOCK_NAMES = ["part", "block", "within", "doc_ids", "sizes", "n_ids", "control", "data", "check"]
 _BLOCK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-_BLOCK_DDL = "part long, block long, within long, seqs array<long>, sizes array<long>, n_ids long, control binary, data binary, check long"
+_BLOCK_DDL = "part long, block long, within long, doc_ids array<long>, sizes array<long>, n_ids long, control binary, data binary, check long"
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``seq, ids`` as a table written under ``path``; ids take two bytes each where the vocabulary allows it."""
+    """``seq, doc_id, ids`` as a table written under ``path``; ids take two bytes each where the vocabulary allows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
@@ -273,15 +273,15 @@ def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -
             offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
             data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
             packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), data])
-            yield pa.RecordBatch.from_arrays([part.column("seq"), packed], names=["seq", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("doc_id"), packed], names=["seq", "doc_id", "ids"])
 
     spark = source.sparkSession
-    source.mapInArrow(run, "seq long, ids binary").write.option("compression", "zstd").parquet(path)
-    return spark.read.schema("seq long, ids binary").parquet(path)
+    source.mapInArrow(run, "seq long, doc_id long, ids binary").write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("seq long, doc_id long, ids binary").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, start, ids`` of each stored document; the positions follow from the blocks' id counts."""
+    """``doc_id, start, ids`` of each stored document; the positions follow from the blocks' id counts."""
     order = [r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
     lookup = spark.sparkContext.broadcast(np.array(order, np.uint32))
     blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")
@@ -298,19 +298,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["seqs"], pa.int64()),
+                        pa.array(row["doc_ids"], pa.int64()),
                         pa.array(row["first"] + cut[:-1], pa.int64()),
                         pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                     ],
-                    names=["seq", "start", "ids"],
+                    names=["doc_id", "start", "ids"],
                 )
 
-    return placed.mapInArrow(unpack, "seq long, start long, ids binary")
+    return placed.mapInArrow(unpack, "doc_id long, start long, ids binary")
 
 
 def token_digests(stored: DataFrame) -> DataFrame:
     return stored.select(
-        F.col("seq").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
 
 
