@@ -83,6 +83,11 @@ def joined_bits(high: Column, low: Column) -> Column:
     return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def epoch_seconds(moment: Column) -> Column:
+    """M7: whole seconds since 1970 of a timestamp without time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), moment)
+
+
 def date_to_epoch(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """M7."""
     return F.unix_timestamp(text, pattern)
@@ -108,6 +113,6 @@ def bytes_from_hex(text: Column) -> Column:
 
 def mapped_from_json(text: Column, label: str) -> Column:
     """``{"cells": [{"address": {label: k}, "value": v}]}`` or ``{k: v}`` to a map."""
-    cells = F.from_json(F.get_json_object(text, "$.cells"), f"array<struct<address: map<string,string>, value: double>>")
+    cells = F.from_json(F.get_json_object(text, "$.cells"), "array<struct<address: map<string,string>, value: double>>")
     listed = F.map_from_entries(F.transform(cells, lambda c: F.struct(F.element_at(c["address"], label).alias("k"), c["value"].alias("v"))))
     return F.when(cells.isNotNull(), listed).otherwise(F.from_json(text, "map<string,double>"))

@@ -167,32 +167,38 @@ def phrase_merger(phrases: list[str], most_chars: int = 20):
 # ---- n-grams, prefixes, paths -------------------------------------------------------------------------------------
 
 
+def _shifted(items: Column, n: int, separator: str) -> Column:
+    """Runs of ``n`` neighbours, joined. The array is read ``n`` times, not once a run: no lambda refers to it."""
+    runs = F.size(items) - n + 1
+    zipped = F.arrays_zip(*[F.slice(items, k + 1, F.greatest(runs, F.lit(0))) for k in range(n)])
+    return F.transform(zipped, lambda z: F.concat_ws(separator, *[z[str(k)] for k in range(n)]))
+
+
 def character_grams(text: Column, n: int) -> Column:
     """All substrings of ``n`` characters; none where the text is shorter."""
-    last = F.length(text) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _shifted(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
 
 
 def token_windows(tokens: Column, most: int, stop_words: tuple[str, ...] = ()) -> Column:
     """Space-joined windows of 1 to ``most`` tokens, without those that hold a stop word."""
-    size = F.size(tokens)
-    return reduce(F.concat, [_windows_of(tokens, size, n, stop_words) for n in range(1, most + 1)])
+    return reduce(F.concat, [_windows_of(tokens, n, stop_words) for n in range(1, most + 1)])
+
+
+def _windows_of(tokens: Column, n: int, stop_words: tuple[str, ...]) -> Column:
+    windows = _shifted(tokens, n, " ")
+    if not stop_words:
+        return windows
+    return F.filter(windows, lambda w: ~F.arrays_overlap(F.split(w, " "), F.array(*[F.lit(s) for s in stop_words])))
 
 
-def _windows_of(tokens: Column, size: Column, n: int, stop_words: tuple[str, ...]) -> Column:
-    cut = lambda i: F.slice(tokens, i, F.lit(n))
-    windows = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), cut)).otherwise(F.array().cast("array<array<string>>"))
-    if stop_words:
-        windows = F.filter(windows, lambda w: ~F.arrays_overlap(w, F.array(*[F.lit(s) for s in stop_words])))
-    return F.transform(windows, lambda w: F.array_join(w, " "))
+_NO_TEXTS = "array<string>"
 
 
 def suffix_phrases(text: Column) -> Column:
     """T15: "learning to rank" gives itself, "to rank" and "rank"."""
     words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    return F.when(
-        F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    longer = lambda done, w: F.concat(F.array(F.concat_ws(" ", w, F.get(done, F.lit(0)))), done)
+    return F.aggregate(F.reverse(words), F.array().cast(_NO_TEXTS), longer)
 
 
 def all_prefixes(text: Column) -> Column:
@@ -202,9 +208,8 @@ def all_prefixes(text: Column) -> Column:
 
 def path_levels(parts: Column, separator: str = "|") -> Column:
     """``A``, ``A|B``, ``A|B|C`` of an array of levels."""
-    return F.when(
-        F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))
-    ).otherwise(F.array().cast("array<string>"))
+    deeper = lambda done, p: F.concat(done, F.array(F.concat_ws(separator, F.element_at(F.concat(F.array(F.lit(None).cast("string")), done), -1), p)))
+    return F.aggregate(parts, F.array().cast(_NO_TEXTS), deeper)
 
 
 def fixed_chunks(text: Column, size: int = 1024) -> Column:

@@ -131,11 +131,10 @@ def _fuzzy(token: Column, word: str) -> Column:
 
 
 def _contains_phrase(tokens: Column, words: list[str]) -> Column:
+    """Adjacent tokens, looked for in the joined tokens: the analyzer runs once a row."""
     if not words:
         return F.lit(False)
-    wanted = F.array(*[F.lit(w) for w in words])
-    last = F.size(tokens) - len(words) + 1
-    return F.when(last >= 1, F.exists(F.sequence(F.lit(1), last), lambda i: F.slice(tokens, i, F.lit(len(words))) == wanted)).otherwise(F.lit(False))
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(" " + " ".join(words) + " ")
 
 
 def compiled(node: Node, fields: Fields = Fields()) -> Column:

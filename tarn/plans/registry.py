@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tarn.plans import facets  # noqa: E402,F401  registers its queries
+from tarn.plans import facets, joining, matching, texts, updating, vectors  # noqa: E402,F401  these register their queries
