@@ -52,7 +52,10 @@ def freshness(seconds: Column, now: int | Column, max_age: float) -> Column:
 def log_freshness(seconds: Column, now: int, max_age: float, half: float) -> Column:
     """M6: logarithmic fall that is 0.5 at age ``half``; our own curve, for long tails."""
     age = F.greatest(F.lit(0.0), (F.lit(now) - seconds).cast("double"))
-    rate = (max_age / half) ** 2 / max_age
+    # 1 - log(1 + r a) / log(1 + r A) is a half where (1 + r h)**2 = 1 + r A
+    rate = max_age / half**2 - 2 / half
+    if rate <= 0:
+        raise ValueError("half must be less than half of max_age")
     return F.greatest(F.lit(0.0), 1 - F.log1p(age * rate) / math.log1p(max_age * rate))
 
 
