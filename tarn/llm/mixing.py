@@ -22,11 +22,15 @@ def quantised(weights: dict[str, float], quantum: int) -> dict[str, int]:
     names = sorted(n for n, w in weights.items() if w > 0)
     if len(names) > quantum:
         raise ValueError(f"{len(names)} sources need a quantum of at least as much")
-    total, spare = sum(weights[n] for n in names), quantum - len(names)
-    exact = {n: weights[n] / total * spare for n in names}
-    out = {n: 1 + math.floor(exact[n]) for n in names}
-    for n in sorted(names, key=lambda n: (math.floor(exact[n]) - exact[n], n))[: quantum - sum(out.values())]:
-        out[n] += 1
+    total = sum(weights[n] for n in names)
+    exact = {n: weights[n] / total * quantum for n in names}
+    out = {n: max(1, math.floor(exact[n])) for n in names}
+    while (rest := quantum - sum(out.values())) > 0:
+        for n in sorted(names, key=lambda n: (out[n] - exact[n], n))[:rest]:
+            out[n] += 1
+    while sum(out.values()) > quantum:  # sources too small for a whole share took one
+        n = max((n for n in names if out[n] > 1), key=lambda n: (out[n] - exact[n], n))
+        out[n] -= 1
     return out
 
 

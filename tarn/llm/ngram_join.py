@@ -29,7 +29,7 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
     best = None
     for rows in range(1, most_hashes + 1):
         hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-hit))
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:

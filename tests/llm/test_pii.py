@@ -1,0 +1,75 @@
+import hashlib
+import random
+import re
+
+from tarn.llm import pii
+from tests.llm.conftest import ODD
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def brute(text):
+    text, out = text or "", []
+    small = lambda part: len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(map(small, m.split(".")))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    for k, (pattern, good) in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if good(m.group())]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)), [sum(x[1] == k for x in out) for k in range(4)]
+
+
+PIECES = [
+    "a@b.co", "x@y.com_z@w.org", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "0001.2.3.4", "4539 1488 0343 6467", "4111-1111-1111-1111", " +1 (487) 555-7209",
+    "+49 30 1234567", "é", "ñ", "😀", " ", "\n", "@", "..", "-", "+", "12", "5-5 5", "Dr. Anna Bell", "call (212) 555-0199", "card 4111111111111112",
+    "me [at] site [dot] org", "a.b@@c.d", "%x@-.-", "9" * 300, "a" * 300, "+1" + "(" * 50,
+]
+
+
+def test_base_spans_match_plain_regexes(as_docs, saved):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))), None, None) for i in range(400)]
+    found = {r.doc_id: r for r in pii.op1_pii(as_docs([]).sparkSession, saved(documents=as_docs(rows))).collect()}
+    for i, text, *_ in rows:
+        spans, counts = brute(text)
+        r = found[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts, text
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), text
+        assert set(filter(None, spans.split(","))) <= set(r.spans.split(","))
+
+
+def test_added_spans_do_not_touch_base_spans(as_docs):
+    text = "Please call (212) 555-0199 or write to Dr. Anna Bell, me [at] site [dot] org; version (212) 555-0199"
+    rows = [(i, text, None, None) for i in range(30)]
+    row = pii.detect(as_docs(rows)).first()
+    kinds = {pii.KINDS[s.kind_no - 1]: text[s.start : s.stop] for s in reversed(row.spans)}
+    assert kinds["phone"] == "(212) 555-0199" and kinds["email"] == "me [at] site [dot] org" and kinds["name"] == "Dr. Anna Bell"
+
+
+def test_odd_rows(as_docs):
+    got = pii.detect(as_docs(ODD, "rid", "hits", "spans")).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ODD)
+    assert all(r.base is not None and r.spans is not None for r in got)
+    assert pii.detect(as_docs([])).collect() == []
+
+
+def test_reliabilities_are_recovered():
+    rng, patterns = random.Random(7), {}
+    for _ in range(20_000):
+        truth = rng.random() < 0.4
+        votes = tuple((1 if truth else -1) * (1 if rng.random() < acc else -1) if rng.random() < 0.8 else 0 for acc in (0.95, 0.8, 0.6))
+        patterns["card", votes] = patterns.get(("card", votes), 0) + 1
+    model = pii.expectation_maximisation(patterns)
+    assert abs(model.prior["card"] - 0.4) < 0.06
+    right = [model.votes["card", j, 1, 1] / (model.votes["card", j, 1, 1] + model.votes["card", j, 1, -1]) for j in range(3)]
+    assert right[0] > right[1] > right[2] and abs(right[0] - 0.95) < 0.06
