@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,25 +17,53 @@ def nearest(docs: DataFrame, vector: str, query: Column, id_col: str, k: int, di
     return rows.select(id_col, distance(F.col(vector), query).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest_each(docs: DataFrame, queries: DataFrame, vector: str, id_col: str, query_id: str, query_vector: str, k: int, distance=tn.euclidean) -> DataFrame:
-    """The ``k`` nearest for each query; the queries are a stated set, broadcast by the caller's choice of size."""
-    pairs = docs.select(id_col, vector).crossJoin(F.broadcast(queries.select(query_id, query_vector)))
-    scored = pairs.select(query_id, id_col, distance(F.col(vector), F.col(query_vector)).alias("distance"))
+def _blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``rows`` in parts of about ``most`` rows by a hash of the key, so that each part can be broadcast."""
+    parts = max(1, -(-rows.count() // most))
+    return [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _gathered(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """A part as one row, an array ``__all`` of ``id, v``."""
+    return rows.agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("__all"))
+
+
+def nearest_each(docs: DataFrame, queries: DataFrame, vector: str, id_col: str, query_id: str, query_vector: str, k: int, distance=tn.euclidean, at_once: int = 1000) -> DataFrame:
+    """The ``k`` nearest for each of a stated set of queries, ``at_once`` of which are broadcast at a time.
+
+    Each task keeps ``k`` rows for a query before they are shuffled.
+    """
+    scored = []
+    for part in _blocks(queries, query_id, at_once):
+        pairs = docs.select(id_col, vector).join(F.broadcast(_gathered(part, query_id, query_vector)))
+        pairs = pairs.select(id_col, vector, F.explode("__all").alias("q"))
+        scored.append(pairs.select(F.col("q.id").alias(query_id), id_col, distance(F.col(vector), F.col("q.v")).alias("distance")))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= k)
 
 
 def fetched(winners: DataFrame, docs: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """Columns of the winners only."""
-    return docs.select(id_col, *columns).join(F.broadcast(winners), id_col)
+    return docs.select(id_col, *columns).join(winners, id_col)
 
 
-def closest_centroids(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, centroid_id: str, centroid_vector: str, k: int, distance=tn.euclidean) -> DataFrame:
-    """V3: for each vector its ``k`` nearest centroids with ``closeness``; partial winners are kept in each task, no pair is shuffled."""
-    nearby = F.transform(F.col("__all"), lambda c: F.struct(distance(c["v"], F.col(vector)).alias("d"), c["id"].alias("id")))
-    table = centroids.agg(F.collect_list(F.struct(F.col(centroid_id).alias("id"), F.col(centroid_vector).alias("v"))).alias("__all"))
-    ranked = vectors.crossJoin(F.broadcast(table)).select(id_col, F.slice(F.array_sort(nearby), 1, k).alias("__best"))
-    return ranked.select(id_col, F.posexplode("__best").alias("place", "b")).select(id_col, F.col("b.id").alias("centroid"), (F.col("place") + 1).alias("place"), tn.closeness(F.col("b.d")).alias("closeness"))
+def closest_centroids(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, centroid_id: str, centroid_vector: str, k: int, distance=tn.euclidean, at_once: int = 20_000) -> DataFrame:
+    """V3: for each vector its ``k`` nearest centroids with ``closeness``.
+
+    Up to ``at_once`` centroids are broadcast, and no pair is shuffled; more of them go in parts,
+    whose ``k`` best of each vector meet in a shuffle.
+    """
+    parts = []
+    for part in _blocks(centroids, centroid_id, at_once):
+        nearby = F.transform(F.col("__all"), lambda c: F.struct(distance(c["v"], F.col(vector)).alias("d"), c["id"].alias("id")))
+        both = vectors.select(id_col, vector).join(F.broadcast(_gathered(part, centroid_id, centroid_vector)))
+        parts.append(both.select(id_col, F.slice(F.array_sort(nearby), 1, k).alias("__best")))
+    best = parts[0]
+    if len(parts) > 1:
+        merged = F.slice(F.array_sort(F.flatten(F.collect_list("__best"))), 1, k)
+        best = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(merged.alias("__best"))
+    best = best.select(id_col, F.posexplode("__best").alias("place", "b"))
+    return best.select(id_col, F.col("b.id").alias("centroid"), (F.col("place") + 1).alias("place"), tn.closeness(F.col("b.d")).alias("closeness"))
 
 
 def pruned(assigned: DataFrame, id_col: str, factor: float) -> DataFrame:
@@ -51,7 +80,7 @@ def centroid_search(docs: DataFrame, lists: DataFrame, centroids: DataFrame, que
     """
     near = pruned(closest_centroids(queries, centroids, "query_id", "query_vector", "centroid", "centroid_vector", probes, distance), "query_id", factor)
     candidates = lists.select(id_col, "centroid").join(near.select("query_id", "centroid"), "centroid").select("query_id", id_col).distinct()
-    scored = candidates.join(docs.select(id_col, vector), id_col).join(F.broadcast(queries), "query_id")
+    scored = candidates.join(docs.select(id_col, vector), id_col).join(queries, "query_id")
     scored = scored.select("query_id", id_col, distance(F.col(vector), F.col("query_vector")).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
     return scored.withColumn("place", place).where(F.col("place") <= k)
