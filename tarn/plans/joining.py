@@ -103,12 +103,12 @@ def parent_child_ctr_score(spark, sf_dir):
 @query(
     "pairwise_wins",
     """
-    WITH t AS (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 50), p AS (SELECT a.s_suppkey, a.s_acctbal - b.s_acctbal * 0.5 AS o FROM t a JOIN t b ON a.s_suppkey <> b.s_suppkey)
+    WITH t AS (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 1000), p AS (SELECT a.s_suppkey, a.s_acctbal - b.s_acctbal * 0.5 AS o FROM t a JOIN t b ON a.s_suppkey <> b.s_suppkey)
     SELECT s_suppkey, CAST(sum(CASE WHEN o > (SELECT avg(o) FROM p) THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM p GROUP BY 1
     """,
 )
 def pairwise_wins(spark, sf_dir):
-    pairs = j.pairwise(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"], 50)
+    pairs = j.pairwise(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
     return j.pairwise_wins(pairs, "s_suppkey", F.col("i_s_acctbal") - F.col("j_s_acctbal") * 0.5)
 
 

@@ -42,20 +42,19 @@ def path_levels(spark, sf_dir):
                  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS ws FROM documents)) WHERE w <> ''),
          t AS (SELECT doc_id, w AS term FROM w WHERE w NOT IN ('the', 'of')
                UNION ALL SELECT a.doc_id, a.w || ' ' || b.w FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.w NOT IN ('the', 'of') AND b.w NOT IN ('the', 'of'))
-    SELECT term, count(*) AS corpus_count, count(DISTINCT doc_id) AS document_count FROM t GROUP BY 1 HAVING count(*) >= 5
+    SELECT term, count(*) AS corpus_count, count(DISTINCT doc_id) AS document_count FROM t GROUP BY 1
     """,
 )
 def term_ngram_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = g.term_counts(docs, "doc_id", tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
-    return counts.where("corpus_count >= 5")
+    return g.term_counts(docs, "doc_id", tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
 
 
 _BM25 = """
     WITH p AS (SELECT doc_id, w AS term, count(*) AS tf FROM ({words}) GROUP BY 1, 2),
          l AS (SELECT d.doc_id, count(w) AS len FROM documents d LEFT JOIN ({words}) x ON d.doc_id = x.doc_id GROUP BY 1),
          s AS (SELECT count(*) AS n, avg(len) AS av FROM l),
-         q AS (SELECT DISTINCT item_id, w AS term FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark WHERE item_id < 8) WHERE w <> ''),
+         q AS (SELECT DISTINCT item_id, w AS term FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark) WHERE w <> ''),
          df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
          m AS (SELECT q.item_id AS query_id, p.doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) AS score
                FROM q JOIN p USING (term) JOIN df USING (term) JOIN l ON p.doc_id = l.doc_id, s GROUP BY 1, 2)
@@ -65,7 +64,7 @@ _BM25 = """
 def _posted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
     fields = {"text": F.col("tokens")}
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term"))
     return ps.postings(docs, "doc_id", fields), ps.field_statistics(docs, fields), queries
 
 
@@ -99,14 +98,13 @@ def bm25f_topk(spark, sf_dir):
     "bayesian_bm25",
     _BM25
     + """
-    , x AS (SELECT query_id, id, score, (SELECT avg(tf) FROM p JOIN q USING (term) WHERE p.doc_id = m.id AND q.item_id = m.query_id) AS mtf, len / av AS ratio FROM m JOIN l ON l.doc_id = m.id, s WHERE query_id < 2),
+    , x AS (SELECT query_id, id, score, mtf, len / av AS ratio FROM m JOIN l ON l.doc_id = m.id JOIN (SELECT item_id AS query_id, doc_id AS id, avg(tf) AS mtf FROM p JOIN q USING (term) GROUP BY 1, 2) USING (query_id, id), s),
       y AS (SELECT query_id, id, 1 / (1 + exp(-(score - 5))) AS lk, least(0.9, greatest(0.1, 0.7 * (0.2 + 0.7 * least(1.0, mtf / 10)) + 0.3 * (0.3 + 0.6 * (1 - least(1.0, abs(ratio - 0.5) * 0.5))))) AS pr FROM x)
     SELECT query_id, id, round(lk * pr / (lk * pr + (1 - lk) * (1 - pr)), 5) AS posterior FROM y
     """,
 )
 def bayesian_bm25(spark, sf_dir):
     posts, stats, queries = _posted(spark, sf_dir)
-    queries = queries.where("query_id < 2")
     scored = ps.bm25(posts, stats, queries)
     tf = ps.matched(posts, queries).groupBy("query_id", "id").agg(F.avg("tf").alias("mtf"), F.first("length").alias("length"))
     rows = scored.join(tf, ["query_id", "id"]).join(F.broadcast(stats.select("average_length")))

@@ -67,7 +67,7 @@ def centroid_prune(spark, sf_dir):
     "spann_search",
     f"""
     WITH {_ASSIGN}, lists AS (SELECT vec_id, centroid FROM a WHERE place <= 4),
-    n AS (SELECT * FROM (SELECT vec_id AS query_id, centroid, closeness, place, max(closeness) OVER (PARTITION BY vec_id) AS best FROM a WHERE place <= 8 AND vec_id IN (7, 100, 201)) WHERE place = 1 OR closeness > 0.5 * best),
+    n AS (SELECT * FROM (SELECT vec_id AS query_id, centroid, closeness, place, max(closeness) OVER (PARTITION BY vec_id) AS best FROM a WHERE place <= 8 AND vec_id % 50 = 0) WHERE place = 1 OR closeness > 0.5 * best),
     d AS (SELECT DISTINCT query_id, lists.vec_id FROM n JOIN lists USING (centroid)),
     s AS (SELECT query_id, d.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM d JOIN embeddings e ON e.vec_id = d.vec_id JOIN embeddings q ON q.vec_id = query_id)
     SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s) WHERE place <= 10
@@ -75,7 +75,7 @@ def centroid_prune(spark, sf_dir):
 )
 def spann_search(spark, sf_dir):
     vectors, centroids, lists = _assigned(spark, sf_dir, 4)
-    queries = vectors.where(F.col("vec_id").isin(7, 100, 201)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector"))
     found = v.centroid_search(vectors, lists, centroids, queries, "vec_id", "v", 10, 8, 0.5)
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
@@ -103,12 +103,12 @@ def hybrid_linear(spark, sf_dir):
 @query(
     "near_dup_collapse",
     """
-    WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 300)
+    WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1000)
     SELECT vec_id FROM t i WHERE coalesce((SELECT max(greatest(0, list_inner_product(i.v, j.v))) FROM t j WHERE j.vec_id < i.vec_id), 0) < 0.9
     """,
 )
 def near_dup_collapse(spark, sf_dir):
-    return v.near_duplicates_collapsed(_vectors(spark, sf_dir), "v", "vec_id", 0.9, 300).select("vec_id")
+    return v.near_duplicates_collapsed(_vectors(spark, sf_dir), "v", "vec_id", 0.9).select("vec_id")
 
 
 _PIECES = "[e[1:16], e[17:32], e[33:48], e[49:64]]"
