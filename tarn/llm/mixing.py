@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tarn.llm import base
 
 
+_OWN = ("block_no", "release", "deadline", "slot", "mix_pos")
+
+
 def quantised(weights: dict[str, float], quantum: int) -> dict[str, int]:
     """Integers that sum to ``quantum``, at least 1 each, by largest remainder; ties go by name."""
     names = sorted(n for n, w in weights.items() if w > 0)
@@ -103,21 +106,22 @@ def mix(
     rows_in_chunk: int = 5000,
     other_weight: float = 1.0,
 ) -> DataFrame:
-    """``docs`` with ``block_no, slot, mix_pos``: rows ordered by ``mix_pos`` hold the sources in their target weights.
+    """``docs`` with ``block_no, release, deadline, slot, mix_pos``: rows ordered by ``mix_pos`` hold the sources in their target weights.
 
     ``weights`` maps sources to targets; a source that it lacks gets ``other_weight``.
     Without it, targets are the sources' row counts to the power ``temperature``. Each
-    source is cut into blocks of ``block`` rows in hashed order of the id. No row is
+    source is cut into blocks of ``block`` rows in hashed order of the id; a block's slot is
+    at or after ``release`` and before ``deadline``. No row is
     dropped or repeated: when a source runs out the others keep their proportions. Up
     to ``quantum`` sources are possible, which bounds the plan that is broadcast.
 
     A null source is the source ''. Null ids and repeated rows are scheduled as rows of
-    their own (equal ids in no set order); texts are not read. Columns named
-    ``block_no``, ``slot`` or ``mix_pos`` are replaced, others kept. An empty table
+    their own (equal ids in no set order); texts are not read. Columns with the names
+    of the result's own are replaced, others kept. An empty table
     gives an empty one.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("block_no", "slot", "mix_pos")]
+    own = [c for c in docs.columns if c not in _OWN]
     rows, sizes = numbered(docs.select(*[F.col(f"`{c}`") for c in own]), F.coalesce(F.col(source_col), F.lit("")), id_col, rows_in_chunk)
     counts = {r["__source"]: r["n"] for r in sizes.limit(quantum + 1).collect()}
     if len(counts) > quantum:
@@ -142,9 +146,13 @@ def mix(
     rows = rows.withColumn("place", (F.col("block_no") - F.col("from_block")) % F.col("share"))
     rows = rows.join(F.broadcast(table.select("__source", "phase_no", "place", "at")), ["__source", "phase_no", "place"])
     slot = F.col("first_slot") + F.floor((F.col("block_no") - F.col("from_block")) / F.col("share")) * quantum + F.col("at")
+    window = lambda k, up: F.col("first_slot") + (F.ceil if up else F.floor)(k * quantum / F.col("share"))
+    k = F.col("block_no") - F.col("from_block")
     return rows.select(
         *[F.col(f"`{c}`") for c in own],
         F.col("block_no").cast("long").alias("block_no"),
+        window(k, False).cast("long").alias("release"),
+        window(k + 1, True).cast("long").alias("deadline"),
         slot.cast("long").alias("slot"),
         (slot * block + F.col("__row") % block).cast("long").alias("mix_pos"),
     )
@@ -153,4 +161,4 @@ def mix(
 def op2_mixing(spark, sf_dir):
     """All of ``documents`` in mixed order; targets are the square roots of the sources' sizes."""
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", "block_no", "slot", "mix_pos")
+    return mix(docs).select("doc_id", "source", "block_no", "release", "deadline", "slot", "mix_pos")

@@ -64,6 +64,7 @@ def test_blocks_hold_one_source(as_docs):
     for r in got:
         by_slot[r.slot].add((r.source, r.block_no))
     assert all(len(x) == 1 for x in by_slot.values())
+    assert all(r.release <= r.slot < r.deadline for r in got)
 
 
 def test_odd_rows(as_docs):
