@@ -370,3 +370,8 @@ def subword_ids(text: pd.Series, vocabulary_path: pd.Series) -> pd.Series:
         return cache[path].encode(s, add_special_tokens=False).ids
 
     return pd.Series([run(s, p) for s, p in zip(text, vocabulary_path, strict=True)])
+
+
+def tokens_of(text: Column, analyzer=word_tokens) -> Column:
+    """What an analyzer makes of a field, for display."""
+    return F.coalesce(analyzer(text), F.array().cast("array<string>"))

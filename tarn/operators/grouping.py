@@ -122,3 +122,18 @@ def standardised_logistic(rows: DataFrame, features: Sequence[str], label: str):
     assembled = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
     model = LogisticRegression(featuresCol="__x", labelCol=label, standardization=True, regParam=1e-4).fit(assembled)
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept)
+
+
+def facets_of_best(hits: DataFrame, order: Sequence[Column], most: int | None, facets: dict[str, Column]) -> DataFrame:
+    """Several groupings of one request, over the first ``most`` hits or over all: ``facet, key, n``.
+
+    One pass: each hit becomes a row for each facet, and all facets are one aggregate.
+    """
+    top = hits if most is None else hits.orderBy(*order).limit(most)
+    parts = F.array(*[F.struct(F.lit(name).alias("facet"), key.cast("string").alias("key")) for name, key in facets.items()])
+    return top.select(F.inline(parts)).groupBy("facet", "key").agg(F.count("*").alias("n"))
+
+
+def mean_importance(rows: DataFrame, feature: str, gain: str) -> DataFrame:
+    """Mean over folds, largest first."""
+    return rows.groupBy(feature).agg(F.avg(gain).alias("importance")).orderBy(F.desc("importance"), feature)

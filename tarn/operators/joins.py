@@ -98,3 +98,23 @@ def existing_only(lists: DataFrame, docs: DataFrame, key: str, doc_key: str) ->
 def without(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not in the other table."""
     return rows.join(other.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def in_window(rows: DataFrame, low, high, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals that meet a window, filtered before the join; without both limits nothing is joined."""
+    if low is None or high is None:
+        return rows.limit(0)
+    return rows.where((F.col(start) <= high) & (F.col(end) >= low))
+
+
+def impressions(logs: DataFrame, column: str, catalogue: DataFrame, item: str) -> DataFrame:
+    """``"N1-0 N2-1"`` as a row for each shown item with ``clicked``; items that are not in the catalogue go."""
+    shown = logs.withColumn("__part", F.explode(F.filter(F.split(column, r"\s+"), lambda x: x != "")))
+    cut = F.length("__part") - F.length(F.substring_index("__part", "-", -1)) - 1
+    rows = shown.withColumn(item, F.substring(F.col("__part"), F.lit(1), cut)).withColumn("clicked", (F.substring_index("__part", "-", -1) == "1").cast("int"))
+    return rows.drop("__part").join(catalogue, item)
+
+
+def common_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """U4: keys that both tables have, once each."""
+    return a.select(*keys).intersect(b.select(*keys))

@@ -103,3 +103,11 @@ def match_features(posts: DataFrame, queries: DataFrame) -> DataFrame:
     return per.join(size, "query_id").withColumn("query_completeness", F.col("match_count") / F.col("query_terms")).withColumn(
         "field_completeness", F.least(F.lit(1.0), F.col("match_count") / F.col("field_length"))
     ).withColumn("earliness", 1 - F.col("first_position") / F.col("field_length"))
+
+
+def element_scores(docs: DataFrame, id_col: str, elements: str, analyzer, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of each element of an array field: ``query_id, id, element, score``; statistics are over elements."""
+    flat = docs.select(F.col(id_col), F.posexplode(elements).alias("element", "__text")).select(F.struct(id_col, "element").alias("__id"), analyzer(F.col("__text")).alias("__tokens"))
+    fields = {"element": F.col("__tokens")}
+    scored = bm25(postings(flat, "__id", fields), field_statistics(flat, fields), queries, k1, b)
+    return scored.select("query_id", F.col(f"id.{id_col}").alias("id"), F.col("id.element").alias("element"), "score")

@@ -180,3 +180,29 @@ def prompt(hits: DataFrame, fields: list[str], question: str, n: int, order: lis
     top = hits.orderBy(*order).limit(n).withColumn("__at", F.row_number().over(Window.orderBy(*order))).withColumn("__t", part)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__t"))), lambda x: x["__t"]), "\n\n")
     return top.agg(F.concat(joined, F.lit(f"\n\nQuestion: {question}")).alias("prompt"))
+
+
+def random_score(id_col: str, seed: int = 0) -> Column:
+    """The same pseudo-random score in [0, 1) on every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def popularity_blend(score: Column, clicks: Column, impressions: Column, weight: float = 100.0) -> Column:
+    """A text score plus the weighted click rate."""
+    return score + weight * F.when(impressions > 0, clicks / impressions).otherwise(F.lit(0.0))
+
+
+def in_rating_window(score: Column, rating: Column, low: float, high: float, enabled: bool = True, sentinel: float = -200.0) -> Column:
+    """The score of rows inside the window, else a sentinel for ``drop_below`` to cut."""
+    return F.when(rating.between(low, high), score).otherwise(F.lit(sentinel)) if enabled else score
+
+
+def sorting_score(attribute: Column, ascending: bool) -> Column:
+    """A sort as a score."""
+    return (-1.0 if ascending else 1.0) * attribute.cast("double")
+
+
+def merged_and_trimmed(parts: list[DataFrame], id_col: str, n: int) -> DataFrame:
+    """Result lists as one, best score of an id first, cut to ``n``."""
+    rows = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.max("relevance").alias("relevance"))
+    return rows.orderBy(F.desc("relevance"), id_col).limit(n)

@@ -135,3 +135,19 @@ def flatten_distinct(spark, sf_dir):
 def category_tensor(spark, sf_dir):
     rates = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("v"))
     return g.as_mapped_tensor(rates, "event_type", "v").select(F.explode("cells").alias("category", "v")).withColumn("v", F.round("v", 6))
+
+
+@query(
+    "multi_facet_top",
+    """
+    WITH t AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50)
+    SELECT 'brand' AS facet, p_brand AS key, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'type', p_type, count(*) FROM t GROUP BY 2
+    """,
+)
+def multi_facet_top(spark, sf_dir):
+    return g.facets_of_best(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.col("p_partkey")], 50, {"brand": F.col("p_brand"), "type": F.col("p_type")})
+
+
+@query("json_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark, sf_dir):
+    return g.facet(table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long"), [F.count("*").alias("n")], name="k")

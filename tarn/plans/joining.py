@@ -115,3 +115,15 @@ def pairwise_wins(spark, sf_dir):
 @query("anti_join_unlabelled", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_join_unlabelled(spark, sf_dir):
     return j.without(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("impression_lookup", "SELECT user_id, p_brand, count(*) AS shown, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM events JOIN part ON p_partkey = event_id % 300 GROUP BY 1, 2")
+def impression_lookup(spark, sf_dir):
+    logs = table(spark, sf_dir, "events").select("user_id", F.concat((F.col("event_id") % 300).cast("string"), F.when(F.col("event_type") == "click", "-1").otherwise("-0")).alias("log"))
+    catalogue = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), "p_brand")
+    return j.impressions(logs, "log", catalogue, "item").groupBy("user_id", "p_brand").agg(F.count("*").alias("shown"), F.sum("clicked").alias("clicks"))
+
+
+@query("common_keys", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def common_keys(spark, sf_dir):
+    return j.common_keys(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])

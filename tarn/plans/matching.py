@@ -156,3 +156,20 @@ def projection_defaults(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), with_default(F.col("p_name")).alias("title"), F.concat(F.lit("passage: "), "p_name").alias("passage"), sc.scaled_byte(F.col("p_retailprice") / 1000).alias("price_byte")
     )
+
+
+@query(
+    "popularity_sorted",
+    """
+    WITH c AS (SELECT event_id % 10 AS size, count(*) AS shown, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM events GROUP BY 1)
+    SELECT p_partkey, round(-p_retailprice + 100 * clicks / shown, 6) AS relevance FROM part JOIN c ON p_size % 10 = c.size
+    """,
+)
+def popularity_sorted(spark, sf_dir):
+    from tarn.operators import ranking as r
+    from tarn.operators.grouping import click_rates
+
+    rates = click_rates(table(spark, sf_dir, "events").withColumn("size", F.col("event_id") % 10), "size", F.col("event_type") == "click")
+    rows = table(spark, sf_dir, "part").withColumn("size", F.col("p_size") % 10).join(rates, "size")
+    prof = r.Profile("popular", first=lambda s: r.popularity_blend(r.sorting_score(F.col("p_retailprice"), True), F.col("clicks"), F.col("impressions")))
+    return r.ranked(rows, prof, "p_partkey").select("p_partkey", F.round("relevance", 6).alias("relevance"))

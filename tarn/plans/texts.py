@@ -134,3 +134,19 @@ def html_sections(spark, sf_dir):
 @query("text_chunks", "SELECT doc_id, CAST(i AS INTEGER) AS chunk, text[i * 1024 + 1:(i + 1) * 1024] AS body FROM documents, unnest(range(0, 100)) AS t(i) WHERE i < ceil(length(text) / 1024.0)")
 def text_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.fixed_chunks(F.col("text"), 1024)).alias("chunk", "body"))
+
+
+@query(
+    "element_bm25",
+    """
+    WITH e AS (SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS element, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM conversations),
+         s AS (SELECT count(*) AS n, avg(len(ws)) AS av FROM e), p AS (SELECT id, element, len, w AS term, count(*) AS tf FROM (SELECT id, element, len(ws) AS len, unnest(ws) AS w FROM e) GROUP BY 1, 2, 3, 4),
+         q AS (SELECT unnest(['the', 'erth', 'thing']) AS term), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+    SELECT id, element, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))), 6) AS score FROM p JOIN q USING (term) JOIN df USING (term), s GROUP BY 1, 2
+    """,
+)
+def element_bm25(spark, sf_dir):
+    turns = g.struct_list(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "turns")
+    docs = turns.select("conv_id", F.transform("turns", lambda t: t["text"]).alias("texts"))
+    queries = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*map(F.lit, ("the", "erth", "thing")))).alias("term"))
+    return ps.element_scores(docs, "conv_id", "texts", tx.word_tokens, queries).select("id", F.col("element").cast("int").alias("element"), F.round("score", 6).alias("score"))
