@@ -53,14 +53,20 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2
     return rows.groupBy("query_id", "id").agg(F.sum(weight).alias("score"), F.countDistinct("term").alias("n_terms"))
 
 
-def bm25f(posts: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``sum idf wtf / (k1 + wtf)`` with ``wtf`` the weighted, length-normalised frequency over fields; a term's df is the sum of its fields'."""
+def bm25f(posts: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, most_terms: int = 8) -> DataFrame:
+    """``sum idf wtf / (k1 + wtf)`` with ``wtf`` the weighted, length-normalised frequency over fields.
+
+    A term's df is the sum of its fields'. Where ``queries`` has a ``position`` (from 0), terms from
+    ``most_terms`` on do not count.
+    """
+    if "position" in queries.columns:
+        queries = queries.where(F.col("position") < most_terms)
     w = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(x))) for f, x in weights.items()], F.lit(0.0))
     df = document_frequency(posts, queries).groupBy("term").agg(F.sum("df").alias("df"))
     rows = matched(posts, queries).join(F.broadcast(stats), "field")
     norm = w * F.col("tf") / (1 - b + b * F.col("length") / F.col("average_length"))
     per = rows.groupBy("query_id", "id", "term").agg(F.sum(norm).alias("wtf"), F.max("n_docs").alias("n_docs")).join(df, "term")
-    score = idf(F.col("n_docs"), F.least(F.col("df"), F.col("n_docs"))) * F.col("wtf") / (k1 + F.col("wtf"))
+    score = idf(F.col("n_docs"), F.col("df")) * F.col("wtf") / (k1 + F.col("wtf"))
     return per.groupBy("query_id", "id").agg(F.sum(score).alias("score"))
 
 
@@ -69,19 +75,41 @@ class BayesianParameters:
     """Steepness and midpoint of the likelihood, and the share of relevant documents among all."""
 
     alpha: float = 1.0
-    beta: float = 5.0
-    base_rate: float = 0.01
-
-
-def bayesian_posterior(score: Column, mean_tf: Column, length_ratio: Column, p: BayesianParameters = BayesianParameters()) -> dict[str, Column]:
-    """Probabilities from a BM25 score: ``likelihood``, ``prior`` of term frequency and length, ``posterior`` and with the base rate, and log odds."""
-    likelihood = sigmoid(p.alpha * (score - p.beta))
-    tf_prior = F.lit(0.2) + 0.7 * F.least(F.lit(1.0), mean_tf / 10.0)
-    length_prior = F.lit(0.3) + 0.6 * (1 - F.least(F.lit(1.0), F.abs(length_ratio - 0.5) * 0.5))
-    prior = F.least(F.lit(0.9), F.greatest(F.lit(0.1), 0.7 * tf_prior + 0.3 * length_prior))
-    posterior = likelihood * prior / (likelihood * prior + (1 - likelihood) * (1 - prior))
-    based = posterior * p.base_rate / (posterior * p.base_rate + (1 - posterior) * (1 - p.base_rate))
-    return {"likelihood": likelihood, "prior": prior, "posterior": posterior, "base_rate_posterior": based, "log_odds": F.log(posterior / (1 - posterior))}
+    beta: float = 3.0
+    base_rate: float = 0.05
+
+
+def mean_frequency(posts: DataFrame, queries: DataFrame, field: str) -> DataFrame:
+    """``query_id, id, mean_tf, length``: occurrences in a field averaged over all terms of the query, absent ones too."""
+    size = queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    tf = matched(posts.where(F.col("field") == field), queries).groupBy("query_id", "id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return tf.join(size, "query_id").select("query_id", "id", (F.col("tf") / F.col("n")).alias("mean_tf"), "length")
+
+
+def bayesian_scores(score: Column, mean_tf: Column, length_ratio: Column, p: BayesianParameters = BayesianParameters()) -> dict[str, Column]:
+    """The family of probabilities from a BM25 score, the mean term frequency and length over average length.
+
+    ``likelihood``; ``posterior`` with the clamped prior of frequency and length; ``calibrated`` with the
+    base rate; ``log_odds``, where the parts add up unweighted; ``log_odds_calibrated``.
+    """
+
+    def updated(a: Column, b: Column) -> Column:
+        return a * b / (a * b + (1 - a) * (1 - b))
+
+    logit = lambda x: F.log(x / (1 - x))
+    evidence = p.alpha * (score - p.beta)
+    by_tf = 0.2 + 0.7 * F.least(F.lit(1.0), mean_tf / 10)
+    by_length = 0.3 + 0.6 * (1 - F.least(F.lit(1.0), F.abs(length_ratio - 0.5) * 2))
+    prior = F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.7 * by_tf + 0.3 * by_length))
+    posterior = updated(sigmoid(evidence), prior)
+    rate, odds = F.lit(p.base_rate), evidence + logit(by_tf) + logit(by_length)
+    return {
+        "likelihood": sigmoid(evidence),
+        "posterior": posterior,
+        "calibrated": updated(posterior, rate),
+        "log_odds": sigmoid(odds),
+        "log_odds_calibrated": sigmoid(odds + logit(rate)),
+    }
 
 
 def bounded_rank(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:

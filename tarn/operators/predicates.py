@@ -177,7 +177,8 @@ def compiled(node: Node, fields: Fields = Fields()) -> Column:
         if op == "equiv":
             return F.arrays_overlap(column, F.array(*[F.lit(v) for v in args])) if name in fields.arrays else column.isin(*args)
         if op == "fuzzy":
-            return _fuzzy(F.lower(column), args[0].lower())
+            word = args[0].lower()
+            return F.exists(column, lambda x: _fuzzy(F.lower(x), word)) if name in fields.arrays else _fuzzy(F.lower(column), word)
         raise ValueError(f"{op} needs a text field, {name} is none")
     tokens = fields.tokens(name)
     if op == "fuzzy":
@@ -292,9 +293,10 @@ def expand_synonyms(synonyms: dict[str, list[str]]) -> Callable[[Node], Node]:
 
 
 def suggestion_query(typed: str, whole: str = "query", words: str = "words") -> Node:
-    """The typed text as a prefix, or each of its tokens as a fuzzy word."""
+    """The typed text as a prefix, or any of its tokens as a fuzzy word; the prefix alone where it has no token."""
     tokens = _query_words(typed)
-    return prefix(whole, typed.lower()) | conjunction(*[fuzzy(words, t) for t in tokens]) if tokens else Node("false")
+    start = prefix(whole, typed)
+    return start | disjunction(*[fuzzy(words, t) for t in tokens]) if tokens else start
 
 
 def rewritten(query: Node, *rules: Callable[[Node], Node]) -> Node:

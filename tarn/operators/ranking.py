@@ -193,8 +193,8 @@ def popularity_blend(score: Column, clicks: Column, impressions: Column, weight:
 
 
 def in_rating_window(score: Column, rating: Column, low: float, high: float, enabled: bool = True, sentinel: float = -200.0) -> Column:
-    """The score of rows inside the window, else a sentinel for ``drop_below`` to cut."""
-    return F.when(rating.between(low, high), score).otherwise(F.lit(sentinel)) if enabled else score
+    """The score of rows strictly inside the window, else a sentinel for ``drop_below`` to cut."""
+    return F.when((rating > low) & (rating < high), score).otherwise(F.lit(sentinel)) if enabled else score
 
 
 def sorting_score(attribute: Column, ascending: bool) -> Column:

@@ -83,7 +83,7 @@ def bm25_topk(spark, sf_dir):
          df AS (SELECT term, sum(df) AS df FROM (SELECT field, term, count(*) AS df FROM p GROUP BY 1, 2) GROUP BY 1),
          q AS (SELECT unnest(['red', 'widget', 'economy']) AS term),
          t AS (SELECT p.id, term, sum(CASE field WHEN 'name' THEN 2.0 ELSE 1.0 END * tf / (0.25 + 0.75 * len / av)) AS wtf, max(n) AS n FROM p JOIN q USING (term) JOIN l USING (id, field) JOIN s USING (field) GROUP BY 1, 2)
-    SELECT id, round(sum(ln(1 + (n - least(df, n) + 0.5) / (least(df, n) + 0.5)) * wtf / (1.2 + wtf)), 6) AS score FROM t JOIN df USING (term) GROUP BY 1
+    SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf / (1.2 + wtf)), 6) AS score FROM t JOIN df USING (term) GROUP BY 1
     """,
 )
 def bm25f_topk(spark, sf_dir):
@@ -94,22 +94,31 @@ def bm25f_topk(spark, sf_dir):
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "bayesian_bm25",
+_BAYES = (
     _BM25
     + """
-    , x AS (SELECT query_id, id, score, mtf, len / av AS ratio FROM m JOIN l ON l.doc_id = m.id JOIN (SELECT item_id AS query_id, doc_id AS id, avg(tf) AS mtf FROM p JOIN q USING (term) GROUP BY 1, 2) USING (query_id, id), s),
-      y AS (SELECT query_id, id, 1 / (1 + exp(-(score - 5))) AS lk, least(0.9, greatest(0.1, 0.7 * (0.2 + 0.7 * least(1.0, mtf / 10)) + 0.3 * (0.3 + 0.6 * (1 - least(1.0, abs(ratio - 0.5) * 0.5))))) AS pr FROM x)
-    SELECT query_id, id, round(lk * pr / (lk * pr + (1 - lk) * (1 - pr)), 5) AS posterior FROM y
-    """,
+    , z AS (SELECT item_id AS query_id, count(*) AS nq FROM q GROUP BY 1), t AS (SELECT item_id AS query_id, doc_id AS id, sum(tf) AS tf FROM p JOIN q USING (term) GROUP BY 1, 2),
+      x AS (SELECT query_id, id, score - 3 AS e, 0.2 + 0.7 * least(1.0, tf / nq / 10) AS a, 0.3 + 0.6 * (1 - least(1.0, abs(len / av - 0.5) * 2)) AS b FROM m JOIN t USING (query_id, id) JOIN z USING (query_id) JOIN l ON l.doc_id = m.id, s),
+      y AS (SELECT *, 1 / (1 + exp(-e)) AS lk, greatest(0.1, least(0.9, 0.7 * a + 0.3 * b)) AS pr FROM x)
+    """
 )
-def bayesian_bm25(spark, sf_dir):
+
+
+def _bayes(spark, sf_dir, *names):
     posts, stats, queries = _posted(spark, sf_dir)
-    scored = ps.bm25(posts, stats, queries)
-    tf = ps.matched(posts, queries).groupBy("query_id", "id").agg(F.avg("tf").alias("mtf"), F.first("length").alias("length"))
-    rows = scored.join(tf, ["query_id", "id"]).join(F.broadcast(stats.select("average_length")))
-    posterior = ps.bayesian_posterior(F.col("score"), F.col("mtf"), F.col("length") / F.col("average_length"))["posterior"]
-    return rows.select("query_id", "id", F.round(posterior, 5).alias("posterior"))
+    rows = ps.bm25(posts, stats, queries).join(ps.mean_frequency(posts, queries, "text"), ["query_id", "id"]).join(F.broadcast(stats.select("average_length")))
+    scores = ps.bayesian_scores(F.col("score"), F.col("mean_tf"), F.col("length") / F.col("average_length"))
+    return rows.select("query_id", "id", *[F.round(scores[n], 6).alias(n) for n in names])
+
+
+@query("bayesian_bm25", _BAYES + "SELECT query_id, id, round(lk, 6) AS likelihood, round(lk * pr / (lk * pr + (1 - lk) * (1 - pr)), 6) AS posterior FROM y")
+def bayesian_bm25(spark, sf_dir):
+    return _bayes(spark, sf_dir, "likelihood", "posterior")
+
+
+@query("bayesian_logodds", _BAYES + "SELECT query_id, id, round(1 / (1 + exp(-(e + ln(a / (1 - a)) + ln(b / (1 - b))))), 6) AS log_odds, round(1 / (1 + exp(-(e + ln(a / (1 - a)) + ln(b / (1 - b)) + ln(0.05 / 0.95)))), 6) AS log_odds_calibrated FROM y")
+def bayesian_logodds(spark, sf_dir):
+    return _bayes(spark, sf_dir, "log_odds", "log_odds_calibrated")
 
 
 @query(

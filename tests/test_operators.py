@@ -72,7 +72,8 @@ def test_predicate_tree(spark):
     assert ids(p.fuzzy("title", "lxarning")) == [] and ids(p.fuzzy("title", "learnin")) == [2]
     assert ids(p.one_of("tags", ["x", "q"])) == [1] and ids(~p.term("title", "rank")) == [1]
     assert ids(p.from_json_form({"or": [{"contains": ["title", "models"]}, {"range": ["year", {">": 1999}]}]})) == [1, 2]
-    assert ids(p.suggestion_query("learning rnk", "author", "title")) == []
+    assert ids(p.suggestion_query("learnin qqq", "author", "title")) == [2] and ids(p.suggestion_query("Tol", "author", "tags")) == [1]
+    assert ids(p.fuzzy("tags", "z")) == [2]
 
 
 def test_rewrites():
