@@ -313,9 +313,21 @@ def allowed_tokens(tokens: Column, blocked=(), allowed=()) -> Column:
     return ok & (F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in allowed]))) == 0) if allowed else ok
 
 
+# What rules a mined phrase out, and how one may not start.
+PHRASE_SYMBOLS = (
+    ";", "*", "&gt", "gt;", "&lt", "lt;", "{", "}", "(", ")", "<", ">", ":", "=", '"', "'", "%", "$", "191", "24", "]", "[", "|", "e.g", "1.", "2.", "3.", "4.", "5.",
+)
+PHRASE_STARTS = ("a ", "an ", "any ", "another ", "the ", "either ", "more ", "only ")
+
+
 def good_phrase(text: Column, least: int = 3, most: int = 64) -> Column:
-    """length, no symbols, no leading article."""
-    return F.length(text).between(least, most) & ~text.rlike(r"[^\p{L}\p{N} ]") & ~text.rlike(r"(?i)^(the|a|an) ")
+    """length within limits, none of the symbols, none of the starts."""
+    ok = F.length(text).between(least, most)
+    for symbol in PHRASE_SYMBOLS:
+        ok = ok & ~text.contains(symbol)
+    for start in PHRASE_STARTS:
+        ok = ok & ~text.startswith(start)
+    return ok
 
 
 def clean_text(text: Column) -> Column:

@@ -180,3 +180,8 @@ def test_types_and_scans(spark):
     both = routed_scan({"a": df, "b": spark.createDataFrame([("y",)], "id string")}, ["a", "b"])
     assert sorted(r._type for r in both.collect()) == ["a", "b"]
     assert spark.range(1).select(elements_by_labels(F.array(*map(F.lit, "abc")), F.array(F.lit(2), F.lit(9), F.lit(0))).alias("x")).first().x == ["c", "a"]
+
+
+def test_mined_phrases(spark):
+    df = spark.createDataFrame([("red ring",), ("the ring",), ("ab",), ("ring (new)",), ("x" * 65,), ("ring 24",)], "t string")
+    assert rows(df.where(predicates.good_phrase(F.col("t")))) == [("red ring",)]
