@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of long texts, in Arrow batches of the stages that are written.
+ROWS_IN_BATCH = 2000
+
 _own_dir: dict[str, str] = {}
 
 
@@ -43,7 +52,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    with arrow_rows(spark, ROWS_IN_BATCH):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +69,31 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     names = [part.split()[0] for part in schema.split(",")]
     text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(': '.join(p.split()) for p in schema.split(','))}>>")))
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While a table is written, Arrow batches of at most ``rows`` rows: texts are long, and both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def frugal(run: Callable) -> Callable:
+    """A task's generator that gives memory back when it ends: workers outlive tasks, and the next may do something else."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

@@ -6,82 +6,94 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm import base
+
 UNKNOWN = "und"
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; characters that only count as numeric are cut out."""
-    found = _RUNS.findall((text or "").lower())
+    found = _RUNS.findall(text.lower()) if isinstance(text, str) else []
     return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
+    """Runs of ``n`` characters of the word, whose ends are marked; single characters without the marks."""
+    padded = f"<{word}>" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-@dataclass
 class Model:
-    """Log frequencies by language: of words, and of n-grams by length; ``floor`` is for what no table holds."""
-
-    langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-    floor: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
-    cache_size: int = 300_000
-
-    def word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies, else the mean over its longest n-grams that are known at all."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.cache.get(word)
-        if got is None:
-            got = self.floor
-            for n in sorted(self.grams, reverse=True):
-                table = self.grams[n]
-                if known := [table[g] for g in grams_of(word, n) if g in table]:
-                    got = sum(known) / len(known)
-                    break
-            if len(self.cache) < self.cache_size:
-                self.cache[word] = got
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The best language and its share of the posterior under equal priors; ties go to the first by name."""
-        counts = Counter(words_of(text))
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for w, n in counts.items():
-            total += n * self.word(w)
-        share = np.exp(total - total.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
-
-
-def _tables(counts: dict[str, dict[str, int]], langs: list[str], smooth: float) -> dict[str, np.ndarray]:
+    """Log frequencies by language, a row of ``rows`` for each known word and for each known n-gram.
+
+    Row 0 is what nothing is known about (all languages alike). Rows of unseen words
+    are added while there is room, and computed anew after.
+    """
+
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: dict[int, tuple[list[str], np.ndarray]], cache: int = 60_000):
+        self.langs, self.cache = langs, cache
+        self.index = dict(zip(words[0], range(1, len(words[0]) + 1), strict=True))
+        tables, at = [np.zeros((1, len(langs))), words[1]], len(words[0]) + 1
+        self.grams: dict[int, dict[str, int]] = {}
+        for n, (names, rows) in sorted(grams.items(), reverse=True):
+            self.grams[n] = dict(zip(names, range(at, at + len(names)), strict=True))
+            tables.append(rows)
+            at += len(names)
+        self.rows = np.concatenate(tables).astype(np.float32)
+        self.known = len(self.rows)
+
+    def backoff(self, word: str) -> np.ndarray:
+        """The mean over the word's longest n-grams that are known at all."""
+        for n, table in self.grams.items():
+            if known := [table[g] for g in grams_of(word, n) if g in table]:
+                return self.rows[known].mean(0)
+        return self.rows[0]
+
+    def forget(self) -> None:
+        """Drop the rows of unseen words."""
+        self.index = {w: k for w, k in self.index.items() if k < self.known}
+        self.rows = self.rows[: self.known].copy()
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log frequencies by text and language, and the texts' numbers of words."""
+        lists = [words_of(t) for t in texts]
+        size = np.array([len(x) for x in lists], np.int64)
+        flat = [w for x in lists for w in x]
+        if len(self.rows) > self.known + self.cache:
+            self.forget()
+        if unseen := {w for w in flat if w not in self.index}:
+            self.index.update(zip(unseen, range(len(self.rows), len(self.rows) + len(unseen)), strict=True))
+            self.rows = np.concatenate([self.rows, [self.backoff(w) for w in unseen]])
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        doc = np.repeat(np.arange(len(texts)), size)
+        return np.stack([np.bincount(doc, weights=self.rows[at, k], minlength=len(texts)) for k in range(len(self.langs))], 1), size
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The best language of each text and its share of the posterior under equal priors; ties go to the first by name."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        total, size = self.scores(texts)
+        share = np.exp(total - total.max(1, keepdims=True))
+        best = share.argmax(1)
+        score = np.where(size > 0, share.max(1) / share.sum(1), 0.0)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, size, strict=True)], score
+
+
+def _table(counts: dict[str, dict[str, int]], langs: list[str], smooth: float) -> tuple[list[str], np.ndarray]:
+    """Keys, and their smoothed log frequencies by language."""
     at = {lang: i for i, lang in enumerate(langs)}
-    totals = np.full(len(langs), smooth * (len(counts) + 1))
-    for by in counts.values():
-        for lang, n in by.items():
-            totals[at[lang]] += n
-    base = np.log(smooth) - np.log(totals)
-    out = {}
-    for key, by in counts.items():
-        row = base.copy()
-        for lang, n in by.items():
-            row[at[lang]] = math.log(n + smooth) - math.log(totals[at[lang]])
-        out[key] = row
-    return out
+    n = np.zeros((len(counts), len(langs)))
+    for row, by in enumerate(counts.values()):
+        for lang, c in by.items():
+            n[row, at[lang]] = c
+    return list(counts), np.log(n + smooth) - np.log(n.sum(0) + smooth * (len(counts) + 1))
 
 
 def fit(
@@ -89,8 +101,8 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
-    max_docs: int = 12_000,
-    min_count: int = 3,
+    max_docs: int = 4_000,
+    min_count: int = 2,
     orders: tuple[int, ...] = (5, 4, 3, 2, 1),
     smooth: float = 0.5,
 ) -> Model:
@@ -105,36 +117,39 @@ def fit(
     share = min(1.0, max_docs / max(1, n))
     sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)) < F.lit(math.ceil(share * buckets)))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(found: Counter) -> pa.RecordBatch:
+            langs, words = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
+        found: Counter = Counter()
         for batch in batches:
-            found: Counter = Counter()
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                found.update((lang, w) for w in words_of(text))
-            yield pd.DataFrame([(lang, w, c) for (lang, w), c in found.items()], columns=["lang", "word", "n"])
+            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+                found.update((lang.as_py(), w) for w in words_of(text.as_py()))
+                if len(found) > 100_000:
+                    yield table(found)
+                    found.clear()
+        if found:
+            yield table(found)
 
     words = (
         sample.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .mapInPandas(count, "lang string, word string, n long")
+        .mapInArrow(base.frugal(count), "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= min_count)
         .collect()
     )
     langs = sorted({r.lang for r in words})
     by_word: dict[str, dict[str, int]] = {}
     by_gram: dict[int, dict[str, dict[str, int]]] = {k: {} for k in orders}
-    for r in words:
+    for r in sorted(words):
         by_word.setdefault(r.word, {})[r.lang] = r.n
         for k, table in by_gram.items():
             for g in grams_of(r.word, k):
                 row = table.setdefault(g, {})
                 row[r.lang] = row.get(r.lang, 0) + r.n
-    frequent = lambda t: {k: by for k, by in t.items() if sum(by.values()) >= min_count}
-    return Model(
-        langs=langs,
-        words=_tables(frequent(by_word), langs, smooth),
-        grams={k: _tables(frequent(t), langs, smooth) for k, t in by_gram.items()},
-        floor=np.zeros(len(langs)),
-    )
+    return Model(langs, _table(by_word, langs, smooth), {k: _table(t, langs, smooth) for k, t in by_gram.items()})
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -146,10 +161,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, score: double>")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shipped.value.predict(t) for t in texts], columns=["lang", "score"])
-
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shipped.value
+        for texts in batches:
+            langs: list[str] = []
+            scores: list[np.ndarray] = [np.zeros(0)]
+            for at in range(0, len(texts), 500):
+                own, share = model.predict(texts.slice(at, 500).to_pylist())
+                langs += own
+                scores.append(share)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=["lang", "score"])
+        model.forget()
+
+    label = F.arrow_udf(base.frugal(label), "struct<lang: string, score: double>", F.ArrowUDFType.SCALAR_ITER)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     guess = docs.select(*kept, label(F.col(text_col)).alias("__guess"))
     return guess.select(*kept, F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("score"))
