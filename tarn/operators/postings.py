@@ -35,14 +35,19 @@ def bm25_weight(tf: Column, length: Column, average: Column, k1: float, b: float
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
+def _of_terms(posts: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings of the terms in use. The semi-join moves below the postings' own aggregate, so that other terms are never shuffled."""
+    return posts.join(queries.select("term").distinct(), "term", "left_semi")
+
+
 def matched(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """Postings of the terms of ``query_id, term`` rows: an equi-join, so many queries share one pass."""
-    return posts.join(queries.select("query_id", "term").distinct(), "term")
+    return _of_terms(posts, queries).join(queries.select("query_id", "term").distinct(), "term")
 
 
-def document_frequency(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def document_frequency(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """``field, term, df`` of the terms that queries use, counted over all postings."""
-    return posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+    return _of_terms(posts, queries).groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
