@@ -270,7 +270,7 @@ def _search_batches(shipped, threshold: float, min_overlap: float):
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-    return run
+    return base.frugal(run)
 
 
 def op7_decontamination(spark, sf_dir):

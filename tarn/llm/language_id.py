@@ -106,7 +106,7 @@ def fit(
     orders: tuple[int, ...] = (5, 4, 3, 2, 1),
     smooth: float = 0.5,
 ) -> Model:
-    """Fit on at most about ``max_docs`` labelled rows, chosen by a hash of the id; all labels of the sample are languages.
+    """Fit on at most about ``max_docs`` labelled rows, chosen by a hash of id and text; all labels of the sample are languages.
 
     Words and n-grams of fewer than ``min_count`` occurrences in the sample are
     left to the backoff, so the model's size is bounded by the sample's.
@@ -115,7 +115,7 @@ def fit(
     n = labelled.select(id_col).count()
     buckets = 1 << 20
     share = min(1.0, max_docs / max(1, n))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)) < F.lit(math.ceil(share * buckets)))
+    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)) < F.lit(math.ceil(share * buckets)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(found: Counter) -> pa.RecordBatch:

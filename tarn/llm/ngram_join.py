@@ -49,7 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word n-grams as sorted 64-bit hashes; a text of fewer than ``n`` words is one n-gram, one without words none."""
 
-    def __init__(self, n: int, cache: int = 300_000):
+    def __init__(self, n: int, cache: int = 150_000):
         self.n, self.cache = n, cache
         self.words: dict[str, int] = {}
 
@@ -108,8 +108,8 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 flat, sizes = shingler.sets(part.column("text").to_pylist())
                 sig = signatures(flat, sizes, bands * rows)
                 stop = np.cumsum(sizes)
@@ -119,7 +119,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "row_key", "set_key", "n_grams", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, set_key binary, n_grams long, sig binary")
+    return docs.mapInArrow(base.frugal(run), "doc_id long, row_key long, set_key binary, n_grams long, sig binary")
 
 
 # ---- blocks of buckets --------------------------------------------------------------------------------------------
@@ -193,7 +193,7 @@ def _likely(rows_in: DataFrame, bands: int, rows: int, least: float) -> DataFram
             if len(keep):
                 yield group.take(pa.array(keep)).combine_chunks().to_batches()[0]
 
-    return rows_in.mapInArrow(run, rows_in.schema)
+    return rows_in.mapInArrow(base.frugal(run), rows_in.schema)
 
 
 def jaccard_of_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def _verified(rows_in: DataFrame, bands: int, rows: int, threshold: float) -> Da
             n = np.concatenate([links[some], np.zeros(len(edges))]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(n)], names=["a", "b", "links"])
 
-    return rows_in.mapInArrow(run, "a long, b long, links long")
+    return rows_in.mapInArrow(base.frugal(run), "a long, b long, links long")
 
 
 # ---- classes ------------------------------------------------------------------------------------------------------
@@ -395,15 +395,15 @@ def _grams_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 flat, sizes = shingler.sets(part.column("text").to_pylist())
                 stop = np.cumsum(sizes)
                 grams = pa.array([flat[a:b].tobytes() for a, b in zip(stop - sizes, stop, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), grams], names=["sid", "copies", "grams"])
 
     rows = keyed.select("row_key", "text").join(wanted, "row_key").groupBy("sid", "copies").agg(F.any_value("text").alias("text"))
-    return rows.mapInArrow(run, "sid long, copies long, grams binary")
+    return rows.mapInArrow(base.frugal(run), "sid long, copies long, grams binary")
 
 
 def op8_ngram_join(spark, sf_dir):

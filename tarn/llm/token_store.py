@@ -16,8 +16,8 @@ from tarn.llm import base
 
 END_ID = 1
 _BLOCK_IDS = 1 << 18  # ids in a block at most, unless one document has more
-_WORD_CACHE = 500_000  # pieces that a worker keeps between batches
-_SLICE_BYTES = 12 << 20  # of text that is tokenised at once
+_WORD_CACHE = 250_000  # pieces that a task keeps between slices
+_SLICE_BYTES = 6 << 20  # of text that is tokenised at once
 #: A word of Latin-1 letters (whose normal form has letters only), then ASCII punctuation without the underscore.
 _WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 
@@ -78,11 +78,11 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.known: dict[str, int] = {"": 0}
-        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32)
 
     def _joined(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]] | None:
         """Ids and sizes of words, many to a call; None if the ends of words don't tell them apart."""
@@ -112,8 +112,8 @@ class WordEncoder:
             order += rest
         size = np.concatenate(sizes)
         self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
-        self.sizes = np.concatenate([self.sizes, size])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size]).astype(np.int32)
+        self.sizes = np.concatenate([self.sizes, size]).astype(np.int32)
         self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ class WordEncoder:
         marks = pc.dictionary_encode(pc.if_else(cut, pc.struct_field(parts, "marks"), ""))
         tails = marks.dictionary.to_pylist()
         if len(self.known) > _WORD_CACHE:
-            self._clear()
+            self.clear()
         if missing := list({p for p in [*heads, *tails] if p not in self.known}):
             self._learn(missing)
         own = np.empty((len(heads), 2), np.int32)
@@ -143,10 +143,10 @@ class WordEncoder:
         own[:, 1] = np.array([self.known[p] for p in tails], np.int32)[marks.indices.to_numpy()]
         both = own[index].reshape(-1)  # word, its marks, next word, ...
         each = self.sizes[both]
-        total = np.concatenate([[0], np.cumsum(each)])
-        place = np.repeat((self.starts[both] - total[:-1]).astype(np.int32), each)
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        place = np.repeat(self.starts[both] - total[:-1], each)
         place += np.arange(total[-1], dtype=np.int32)
-        return self.flat[place], total[2 * ends[1:]] - total[2 * ends[:-1]]
+        return self.flat[place], (total[2 * ends[1:]] - total[2 * ends[:-1]]).astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -244,7 +244,7 @@ def write_store(
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(parts, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(pack, _BLOCK_DDL).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(base.frugal(pack), _BLOCK_DDL).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(END_ID if not order else int(i), k) for k, i in enumerate(order or [END_ID])], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     base.drop_table(spark, scratch)
 
@@ -255,7 +255,7 @@ _BLOCK_DDL = "part long, block long, within long, doc_ids array<long>, sizes arr
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``_SLICE_BYTES`` of text, and one row at least."""
+    """Parts of a batch with at most about ``_SLICE_BYTES`` of text, and one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -268,15 +268,19 @@ def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for part in (part for batch in batches for part in _slices(batch)):
-            ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
-            data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
-            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), data])
-            yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("doc_id"), packed], names=["seq", "doc_id", "ids"])
+        try:
+            for part in (part for batch in batches for part in _slices(batch)):
+                ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
+                data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), data])
+                yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("doc_id"), packed], names=["seq", "doc_id", "ids"])
+        finally:
+            encoder.clear()
 
     spark = source.sparkSession
-    source.mapInArrow(run, "seq long, doc_id long, ids binary").write.option("compression", "zstd").parquet(path)
+    with base.arrow_rows(spark, base.ROWS_IN_BATCH):
+        source.mapInArrow(base.frugal(run), "seq long, doc_id long, ids binary").write.option("compression", "zstd").parquet(path)
     return spark.read.schema("seq long, doc_id long, ids binary").parquet(path)
 
 
@@ -305,7 +309,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "ids"],
                 )
 
-    return placed.mapInArrow(unpack, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(base.frugal(unpack), "doc_id long, start long, ids binary")
 
 
 def token_digests(stored: DataFrame) -> DataFrame:
