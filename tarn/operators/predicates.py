@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,11 @@ def parse_predicate(expression: str | None) -> list[dict] | None:
 
 def with_clauses(df: DataFrame, column: str, out: str) -> DataFrame:
     """Parse stored expressions once, on the write path."""
-    parse = F.udf(parse_predicate, CLAUSES)
+
+    @F.pandas_udf(CLAUSES)
+    def parse(expressions: pd.Series) -> pd.Series:
+        return expressions.map(lambda e: parse_predicate(e if isinstance(e, str) else None))
+
     return df.withColumn(out, parse(F.col(column)))
 
 
