@@ -87,10 +87,16 @@ def as_mapped_tensor(rows: DataFrame, label: str, value: str, name: str = "cells
     return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(label), F.col(value).cast("double"))))).alias(name))
 
 
-def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """How often each term occurs, and in how many documents. Counted by document first."""
-    by_doc = docs.select(F.col(id_col).alias("__id"), F.explode(terms).alias("term")).groupBy("term", "__id").agg(F.count("*").alias("__n"))
-    return by_doc.groupBy("term").agg(F.sum("__n").alias("corpus_count"), F.count("*").alias("document_count"))
+def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
+    """How often each term occurs, and in how many documents (rows).
+
+    A row's different terms are found within the row, so one aggregate by term, combined in each task
+    first, gives both numbers; no row per term and document is shuffled.
+    """
+    held = docs.select(terms.alias("terms"))
+    once = lambda a, n, d: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d")))
+    rows = held.select(F.inline(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))))
+    return rows.groupBy("term").agg(F.sum("n").alias("corpus_count"), F.sum("d").alias("document_count"))
 
 
 def constant_columns(rows: DataFrame) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def fetched(winners: DataFrame, docs: DataFrame, id_col: str, columns: Sequence[
     return docs.select(id_col, *columns).join(winners, id_col)
 
 
+def _nearest_in_matrix(centroids, k: int, id_type: str):
+    """A UDF for the ``k`` nearest rows of a broadcast ``[(id, vector)]``, as ``array<struct<d, id>>``: matrix work, a batch at a time."""
+
+    @F.pandas_udf(f"array<struct<d: double, id: {id_type}>>")
+    def run(vectors: pd.Series) -> pd.Series:
+        ids = [i for i, _ in centroids.value]
+        matrix = np.array([v for _, v in centroids.value], np.float64)
+        out = []
+        for v in vectors:
+            if v is None or not ids:
+                out.append([])
+                continue
+            distance = np.sqrt(((matrix - np.asarray(v, np.float64)) ** 2).sum(1))
+            first = np.argsort(distance, kind="stable")[:k]  # ids are sorted, so ties go to the smaller
+            out.append([{"d": float(distance[i]), "id": ids[i]} for i in first])
+        return pd.Series(out)
+
+    return run
+
+
 def closest_centroids(vectors: DataFrame, centroids: DataFrame, id_col: str, vector: str, centroid_id: str, centroid_vector: str, k: int, distance=tn.euclidean, at_once: int = 20_000) -> DataFrame:
     """V3: for each vector its ``k`` nearest centroids with ``closeness``.
 
@@ -55,6 +77,11 @@ def closest_centroids(vectors: DataFrame, centroids: DataFrame, id_col: str, vec
     """
     parts = []
     for part in _blocks(centroids, centroid_id, at_once):
+        if distance is tn.euclidean:
+            rows = sorted((r[0], list(r[1])) for r in part.select(centroid_id, centroid_vector).collect())
+            best = _nearest_in_matrix(vectors.sparkSession.sparkContext.broadcast(rows), k, dict(part.dtypes)[centroid_id])
+            parts.append(vectors.select(id_col, best(F.col(vector)).alias("__best")))
+            continue
         nearby = F.transform(F.col("__all"), lambda c: F.struct(distance(c["v"], F.col(vector)).alias("d"), c["id"].alias("id")))
         both = vectors.select(id_col, vector).join(F.broadcast(_gathered(part, centroid_id, centroid_vector)))
         parts.append(both.select(id_col, F.slice(F.array_sort(nearby), 1, k).alias("__best")))

@@ -47,7 +47,7 @@ def path_levels(spark, sf_dir):
 )
 def term_ngram_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return g.term_counts(docs, "doc_id", tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
+    return g.term_counts(docs, tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
 
 
 _BM25 = """
