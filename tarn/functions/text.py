@@ -167,10 +167,12 @@ def phrase_merger(phrases: list[str], most_chars: int = 20):
 # ---- n-grams, prefixes, paths -------------------------------------------------------------------------------------
 
 
-def _shifted(items: Column, n: int, separator: str) -> Column:
-    """Runs of ``n`` neighbours, joined. The array is read ``n`` times, not once a run: no lambda refers to it."""
+def _shifted(items: Column, n: int, separator: str, without: tuple[str, ...] = ()) -> Column:
+    """Runs of ``n`` neighbours that hold none of some items, joined. The array is read ``n`` times, not once a run: no lambda refers to it."""
     runs = F.size(items) - n + 1
     zipped = F.arrays_zip(*[F.slice(items, k + 1, F.greatest(runs, F.lit(0))) for k in range(n)])
+    if without:
+        zipped = F.filter(zipped, lambda z: reduce(lambda a, b: a & b, [~z[str(k)].isin(*without) for k in range(n)]))
     return F.transform(zipped, lambda z: F.concat_ws(separator, *[z[str(k)] for k in range(n)]))
 
 
@@ -181,14 +183,7 @@ def character_grams(text: Column, n: int) -> Column:
 
 def token_windows(tokens: Column, most: int, stop_words: tuple[str, ...] = ()) -> Column:
     """Space-joined windows of 1 to ``most`` tokens, without those that hold a stop word."""
-    return reduce(F.concat, [_windows_of(tokens, n, stop_words) for n in range(1, most + 1)])
-
-
-def _windows_of(tokens: Column, n: int, stop_words: tuple[str, ...]) -> Column:
-    windows = _shifted(tokens, n, " ")
-    if not stop_words:
-        return windows
-    return F.filter(windows, lambda w: ~F.arrays_overlap(F.split(w, " "), F.array(*[F.lit(s) for s in stop_words])))
+    return reduce(F.concat, [_shifted(tokens, n, " ", stop_words) for n in range(1, most + 1)])
 
 
 _NO_TEXTS = "array<string>"
