@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import base
@@ -78,21 +78,19 @@ def plan(blocks: dict[str, int], weights: dict[str, float], quantum: int) -> lis
     return rows
 
 
-def numbered(docs: DataFrame, source: Column, id_col: str, rows_in_chunk: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``__source``, ``__row`` (from 0 within its source, in hashed order) and the rows by source.
+def numbered(docs: DataFrame, counts: dict[str, int], id_col: str, rows_in_chunk: int) -> DataFrame:
+    """``docs``, which have ``__source``, with ``__row``: from 0 within the source, in hashed order of the id.
 
-    Sources are cut into chunks by a hash of the id; chunk counts are summed up first,
-    then each chunk numbers its rows, so no source is ordered in one task.
+    A source is cut into chunks of about ``rows_in_chunk`` rows by a hash of the id; chunk
+    counts are summed up first, then each chunk numbers its rows: none is ordered in one task.
     """
     spark = docs.sparkSession
-    n = docs.select(id_col).count()
-    chunks = max(1, -(-n // rows_in_chunk))
-    keyed = docs.withColumn("__source", source).withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)))
+    chunks = base.small_table(spark, [(s, -(-n // rows_in_chunk)) for s, n in counts.items()], "__source string, __chunks long")
+    keyed = docs.join(F.broadcast(chunks), "__source").withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.col("__chunks"))).drop("__chunks")
     sizes = keyed.groupBy("__source", "__chunk").agg(F.count("*").alias("__n"))
     before = sizes.selectExpr("__source", "__chunk", "sum(__n) OVER (PARTITION BY __source ORDER BY __chunk) - __n AS __before")
     placed = keyed.selectExpr("*", f"row_number() OVER (PARTITION BY __source, __chunk ORDER BY xxhash64(`{id_col}`), `{id_col}`) - 1 AS __at")
-    rows = placed.join(before, ["__source", "__chunk"]).withColumn("__row", F.col("__before") + F.col("__at")).drop("__chunk", "__before", "__at")
-    return rows, sizes.groupBy("__source").agg(F.sum("__n").alias("n"))
+    return placed.join(before, ["__source", "__chunk"]).withColumn("__row", F.col("__before") + F.col("__at")).drop("__chunk", "__before", "__at")
 
 
 def mix(
@@ -122,8 +120,8 @@ def mix(
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in _OWN]
-    rows, sizes = numbered(docs.select(*[F.col(f"`{c}`") for c in own]), F.coalesce(F.col(source_col), F.lit("")), id_col, rows_in_chunk)
-    counts = {r["__source"]: r["n"] for r in sizes.limit(quantum + 1).collect()}
+    docs = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(source_col), F.lit("")).alias("__source"))
+    counts = {r["__source"]: r["count"] for r in docs.groupBy("__source").count().limit(quantum + 1).collect()}
     if len(counts) > quantum:
         raise ValueError(f"more than {quantum} sources")
     if weights is None:
@@ -132,6 +130,7 @@ def mix(
     if any(w <= 0 for w in targets.values()):
         raise ValueError("weights must be positive")
     slots = plan({s: -(-n // block) for s, n in counts.items()}, targets, quantum)
+    rows = numbered(docs, counts, id_col, rows_in_chunk)
     # a phase is a range of a source's blocks, found from the block's number through the list of ranges
     ends: dict[str, list[int]] = {}
     for s, _, _, to, _, _, place, _ in slots:
