@@ -16,8 +16,8 @@ from tarn.llm import base
 
 END_ID = 1
 _BLOCK_IDS = 1 << 18  # ids in a block at most, unless one document has more
-_WORD_CACHE = 250_000  # pieces that a task keeps between slices
-_SLICE_BYTES = 6 << 20  # of text that is tokenised at once
+_WORD_CACHE = 500_000  # pieces that a task keeps between slices
+_SLICE_BYTES = 4 << 20  # of text that is tokenised at once
 #: A word of Latin-1 letters (whose normal form has letters only), then ASCII punctuation without the underscore.
 _WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 
@@ -81,7 +81,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {"": 0}
+        self.known = pa.array([""], pa.large_string())  # a piece's place is its code
         self.starts, self.sizes, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32)
 
     def _joined(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]] | None:
@@ -111,11 +111,19 @@ class WordEncoder:
             sizes.append(np.array([len(x) for x in each], np.int64))
             order += rest
         size = np.concatenate(sizes)
-        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
+        self.known = pa.concat_arrays([self.known, pa.array(order, pa.large_string())])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size]).astype(np.int32)
         self.sizes = np.concatenate([self.sizes, size]).astype(np.int32)
         self.flat = np.concatenate([self.flat, *ids])
 
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        """Places in the cache; what it lacks is learnt first. Known pieces never become Python strings."""
+        codes = pc.index_in(pieces, value_set=self.known)
+        if codes.null_count:
+            self._learn(pc.unique(pieces.filter(codes.is_null())).to_pylist())
+            codes = pc.index_in(pieces, value_set=self.known)
+        return codes.to_numpy(zero_copy_only=False)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ").cast(pa.large_string())
@@ -124,6 +132,7 @@ class WordEncoder:
         coded = pc.dictionary_encode(pieces.flatten())
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
+        del spaced, pieces  # a slice's arrays are large: none outlives its use
         index = coded.indices.to_numpy(zero_copy_only=False)
         if not len(index):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -131,17 +140,15 @@ class WordEncoder:
         parts = pc.extract_regex(pieces, _WORD_AND_MARKS)
         cut = parts.is_valid()
         # letter case of ASCII makes no difference to the model; special tokens are not words, and stay as they are
-        heads = pc.if_else(cut, pc.ascii_lower(pc.struct_field(parts, "word")), pieces).to_pylist()
+        heads = pc.if_else(cut, pc.ascii_lower(pc.struct_field(parts, "word")), pieces)
         marks = pc.dictionary_encode(pc.if_else(cut, pc.struct_field(parts, "marks"), ""))
-        tails = marks.dictionary.to_pylist()
         if len(self.known) > _WORD_CACHE:
             self.clear()
-        if missing := list({p for p in [*heads, *tails] if p not in self.known}):
-            self._learn(missing)
         own = np.empty((len(heads), 2), np.int32)
-        own[:, 0] = np.fromiter(map(self.known.__getitem__, heads), np.int32, len(heads))
-        own[:, 1] = np.array([self.known[p] for p in tails], np.int32)[marks.indices.to_numpy()]
+        own[:, 0] = self._codes(heads)
+        own[:, 1] = self._codes(marks.dictionary)[marks.indices.to_numpy()]
         both = own[index].reshape(-1)  # word, its marks, next word, ...
+        del pieces, parts, cut, heads, marks, own, index, coded
         each = self.sizes[both]
         total = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
         place = np.repeat(self.starts[both] - total[:-1], each)
