@@ -52,13 +52,18 @@ def grams(words: list[str], n: int = 5) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def overlap(part: list[str], words: list[str]) -> float:
-    """The share of the part's word 5-grams that ``words`` holds; shorter parts are one n-gram, an empty part is held."""
+def overlap(part: list[str], words: list[str], held: dict[int, set[tuple[str, ...]]]) -> float:
+    """The share of the part's word 5-grams that ``words`` holds; shorter parts are one n-gram, an empty part is held.
+
+    ``held`` keeps the n-grams of ``words`` by n, for the next part that is compared with them.
+    """
     if not part:
         return 1.0
     own = grams(part)
     n = min(5, len(part))
-    return len(own & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(own)
+    if n not in held:
+        held[n] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    return len(own & held[n]) / len(own)
 
 
 @dataclass
@@ -197,22 +202,19 @@ def _scan(index: Index, docs: list[list[str]], threshold: float, min_overlap: fl
     pairs = np.concatenate([at * n_items + item, (at[inner] - 1) * n_items + item[inner]])
     pairs, where = np.unique(pairs, return_inverse=True)
     bound = np.bincount(where, weights=np.concatenate([weight, weight[inner]]), minlength=len(pairs)) + index.rest[pairs % n_items]
-    hits: dict[tuple[int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
     for k in np.unique(pairs[bound >= threshold - 1e-9] // n_items):
         doc = int(np.searchsorted(first, k, "right")) - 1
-        place = int(k - first[doc])
-        own = {index.terms.get(w, 0) for w in docs[doc][place * step : (place + 2) * step]} - {0}
-        for item, score in search(index, sorted(own), threshold):
-            if score > hits.get((doc, item), (0.0, 0))[0]:
-                hits[doc, item] = (score, place)
-    texts: dict[int, list[str]] = {}
-    for (doc, item), (score, place) in sorted(hits.items()):
-        words = texts.setdefault(doc, docs[doc])
+        place, words = int(k - first[doc]), docs[doc]
+        own = {index.terms.get(w, 0) for w in words[place * step : (place + 2) * step]} - {0}
         # the passage and a step to either side, so that no part of the item is cut off
-        near = words[max(0, (place - 1) * step) : (place + 3) * step]
-        q, a = overlap(index.questions[item], near), overlap(index.answers[item], near)
-        if q >= min_overlap and a >= min_overlap:
-            yield doc, item, score, q, a
+        near, held = words[max(0, (place - 1) * step) : (place + 3) * step], {}
+        for item, score in search(index, sorted(own), threshold):
+            q, a = overlap(index.questions[item], near, held), overlap(index.answers[item], near, held)
+            if q >= min_overlap and a >= min_overlap:
+                best[doc, item] = max(best.get((doc, item), (0.0, 0.0, 0.0, 0.0)), (min(q, a), score, q, a))
+    for (doc, item), (_, score, q, a) in sorted(best.items()):
+        yield doc, item, score, q, a
 
 
 _OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -234,7 +236,8 @@ def contaminated(
     Every passage of every document is a query against the index of the items. An
     item is a candidate where the passage's words make up ``threshold`` of its BM25
     weight, and a hit where ``min_overlap`` of the word 5-grams of its question and of
-    its answer are found there. The index is broadcast for at most ``items_at_once``
+    its answer are found there. Every candidate passage is compared; of those that hit,
+    the one with the best overlap, then the best score, is reported. The index is broadcast for at most ``items_at_once``
     items; more items take further passes over the documents, so its size is bounded.
 
     Null and empty texts hold nothing; items without a word are never found. A null

@@ -52,6 +52,19 @@ def test_a_question_without_its_answer_is_no_hit(spark, as_docs):
     assert [(r.doc_id, r.item_id) for r in dc.contaminated(docs, tests).collect()] == [(2, 1)]
 
 
+def test_a_copy_is_found_behind_a_passage_of_its_scattered_words(spark, as_docs):
+    rng = random.Random(4)
+    item = [f"v{i}" for i in range(20)]
+    filler = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    scattered = [w for v in rng.sample(item, 20) for w in (v, *filler(3))]
+    edited = [*item[:10], *item[11:]]
+    docs = [(1, scattered + filler(600) + item), (2, scattered + filler(600) + edited + filler(300)), (3, scattered + filler(600))]
+    tests = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = dc.contaminated(as_docs([(i, " ".join(ws), None, None) for i, ws in docs]), tests, min_overlap=0.5).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (2, 7)]
+    assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in got}[1] == (1.0, 1.0)
+
+
 def test_question_and_answer():
     assert dc.question_and_answer("Is it so? Yes it is") == (["is", "it", "so"], ["yes", "it", "is"])
     q, a = dc.question_and_answer("One two three four five. Six seven eight nine.")
