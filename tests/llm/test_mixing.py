@@ -46,6 +46,20 @@ def test_less_than_one_block_of_deviation():
     assert done == shares
 
 
+def test_exact_weights_stay_within_one_block_at_any_size():
+    sizes = [60_000, *[6_000 + 311 * i for i in range(19)]]
+    weights = [n**0.5 for n in sizes]
+    done, end = Counter(), 0
+    for part in mx.schedule(sizes, weights, 10_000):
+        for source, block, release, deadline, slot in zip(*part, strict=True):
+            assert (block, slot) == (done[source], end) and release <= slot < deadline
+            done[source] += 1
+            end += 1
+            if end <= 120_000 and end % 97 == 0:  # no source has run out
+                assert all(abs(done[s] - end * w / sum(weights)) < 1 for s, w in enumerate(weights))
+    assert done == Counter(dict(enumerate(sizes)))
+
+
 def test_every_row_once_and_prefixes_near_the_targets(as_docs):
     rows = [(i, None, None, "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
     weights = {"hot": 0.5, **{f"s{i}": 0.1 for i in range(5)}}
