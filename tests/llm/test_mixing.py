@@ -60,6 +60,19 @@ def test_exact_weights_stay_within_one_block_at_any_size():
     assert done == Counter(dict(enumerate(sizes)))
 
 
+def test_many_sources_of_many_sizes():
+    sizes = [1 + i * i % 23 for i in range(3000)]
+    got = [row for part in mx.schedule(sizes, [n**0.5 for n in sizes]) for row in zip(*part, strict=True)]
+    assert len({(r[0], r[1]) for r in got}) == len(got) == sum(sizes)
+    assert [r[4] for r in got] == list(range(len(got))) and all(r[2] <= r[4] < r[3] for r in got)
+
+
+def test_more_than_a_thousand_sources(as_docs):
+    got = mx.mix(as_docs([(i, None, None, f"s{i % 1100}") for i in range(2500)]), block=2).collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(2500)) and len({r.mix_pos for r in got}) == 2500
+    assert all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_every_row_once_and_prefixes_near_the_targets(as_docs):
     rows = [(i, None, None, "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
     weights = {"hot": 0.5, **{f"s{i}": 0.1 for i in range(5)}}
