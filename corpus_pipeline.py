@@ -30,8 +30,18 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each class of near duplicates."""
-    return _without(docs, ngram_join.similar_documents(docs).where(~F.col("kept")), "near-dropped")
+    """Keep the document of the least doc_id of each class of near duplicates; of rows that repeat it, one."""
+    found = ngram_join.similar_documents(docs)
+    # by key: whether a row is kept, which then stands for the rows of its key that are not
+    keys = found.groupBy("row_key").agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
+    decided = base.written(keys.where("NOT all_kept"), "near-decided")
+    rest = _without(docs, decided, "near-dropped")
+    again = decided.where("kept").select(F.col("row_key").alias("__key"))
+    if again.isEmpty():
+        return rest
+    repeated = docs.withColumn("__key", ngram_join.row_key("doc_id", "text")).join(again, "__key")
+    one = repeated.groupBy("__key").agg(F.any_value(F.struct(*_own(docs))).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

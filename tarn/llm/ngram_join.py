@@ -336,13 +336,13 @@ def similar_documents(
     A null or empty text, or one without a word, has no n-gram: it is alone, with no
     link. A text of fewer than ``n`` words is one n-gram. Rows with null ids take part;
     a class of such rows alone has a null class_id. Rows that repeat count as documents
-    of their own, but share one decision. Other columns are ignored; an empty table gives an empty one.
+    of their own: one row of each class is kept. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = texts.withColumn("row_key", row_key("doc_id", "text"))
-    signed = base.written(_signed(keyed, n, bands, rows), "ngram-signed")
+    signed = base.written(_signed(keyed, n, bands, rows).withColumn("row_no", F.monotonically_increasing_id()), "ngram-signed")
     nodes = (
         signed.where("n_grams > 0")
         .groupBy("set_key")
@@ -385,8 +385,8 @@ def similar_documents(
 
 
 def _place():
-    """Orders the documents of a class: by id, null ids last, then by what the row holds."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
+    """Orders the rows of a class: by id, null ids last, then by what the row holds, then by a number that no other row has."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"), F.col("row_no"))
 
 
 def _grams_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -35,6 +35,13 @@ def test_stages_do_what_they_say(spark, as_docs, saved):
     assert sorted(tuple(r) for r in cp.run(spark, sf).collect()) == sorted(tuple(r) for r in docs.collect())
 
 
+def test_one_row_of_a_repeated_document_stays(spark, as_docs):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "en", "a")] * 5 + [(2, text, "en", "b")] + [(None, f"{text} {text[::-1]}", "en", "c")] * 4 + [(3, "", "en", "d")] * 2 + [(4, "quite another text with words of its own", "en", "e")]
+    got = cp.drop_near_duplicates(spark, as_docs(rows), "").collect()
+    assert sorted(r.source for r in got) == ["a", "c", "d", "d", "e"] and {r.text for r in got if r.source == "a"} == {text}
+
+
 def test_odd_rows(spark, as_docs, saved):
     sf = saved(documents=as_docs(ODD), benchmark=spark.createDataFrame([], "item_id long, text string"))
     got = cp.run(spark, sf).collect()
