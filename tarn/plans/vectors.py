@@ -91,7 +91,7 @@ def spann_search(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     rows = _vectors(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
     rows = rows.select("vec_id", F.round(tn.dot(F.col("v"), _query(spark, sf_dir)), 6).alias("a"), F.when(F.col("label") % 2 == 0, F.col("n_chars")).cast("double").alias("b"))
-    return r.reciprocal_rank_fusion(rows, ["a", "b"], "vec_id", most=100_000).select("vec_id", F.round("relevance", 6).alias("relevance"))
+    return r.reciprocal_rank_fusion(rows, ["a", "b"], "vec_id", most=None).select("vec_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("hybrid_linear", f"SELECT vec_id, round(0.7 * list_inner_product(embedding::DOUBLE[], {_Q}) + 0.3 * coalesce(quality, 0), 6) AS relevance FROM embeddings LEFT JOIN labels ON vec_id = doc_id")

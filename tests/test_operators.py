@@ -185,3 +185,15 @@ def test_types_and_scans(spark):
 def test_mined_phrases(spark):
     df = spark.createDataFrame([("red ring",), ("the ring",), ("ab",), ("ring (new)",), ("x" * 65,), ("ring 24",)], "t string")
     assert rows(df.where(predicates.good_phrase(F.col("t")))) == [("red ring",)]
+
+
+def test_fusion_ranks_all_rows(spark):
+    rows = spark.range(120_000).selectExpr("id", "cast(pmod(xxhash64(id), 5000) AS double) AS a", "IF(id % 3 = 0, cast(id AS double), NULL) AS b")
+    got = ranking.reciprocal_rank_fusion(rows, ["a", "b"], "id", most=None)
+    placed = ranking.places(rows, "a", "id", "pa").join(ranking.places(rows.where("b IS NOT NULL"), "b", "id", "pb").select("id", "pb"), "id", "left")
+    want = placed.selectExpr("id", "1D / (60 + pa) + coalesce(1D / (60 + pb), 0) AS want")
+    both = got.join(want, "id")
+    assert got.count() == both.where("abs(relevance - want) < 1e-12").count() == 120_000
+    few = rows.limit(1000)
+    ranged = ranking.all_places(few, "a", "id", "at", rows_in_range=30)
+    assert ranged.join(ranking.places(few, "a", "id", "pa").select("id", "pa"), "id").where("at = pa").count() == 1000
