@@ -69,7 +69,13 @@ def build(templates=TEMPLATES, k: int = 4, window: int = 3) -> Index:
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """Local alignment within ``band`` of the diagonal ``text place - template place``: ``matched words, first, last + 1`` in the text.
+    """``matched words, first, last + 1`` of ``aligned``."""
+    return aligned(text, template, diagonal, band, match, mismatch, gap)[:3]
+
+
+def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int, int]:
+    """Local alignment within ``band`` of the diagonal ``text place - template place``: ``matched words, first, last + 1`` in the text, and
+    the same two places in the template.
 
     Ties prefer a diagonal step, then one in the text.
     """
@@ -92,7 +98,7 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, matc
                 if value > best:
                     best, end = value, (t, c)
     t, c = end
-    matched, last = 0, t + low + c - 1
+    matched, last, stop = 0, t + low + c - 1, t
     first = last
     while t > 0 and score[t, c] > 0:
         p = t + low + c - 1
@@ -105,7 +111,23 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, matc
             c -= 1
         else:
             t, c = t - 1, c + 1
-    return matched, first, last
+    return matched, first, last, t, stop
+
+
+def joined(pieces: list[tuple[int, int, int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """``matched words, first, last + 1`` of chains of aligned pieces that follow each other in text and template.
+
+    What two neighbours share counts once; a chain spans at most ``reach`` words of the text. Each piece ends the best chain it can.
+    """
+    pieces = sorted(set(pieces), key=lambda p: (p[1], p[3], p[2]))
+    best: list[tuple[int, int]] = []
+    for k, (matched, first, last, begin, stop) in enumerate(pieces):
+        chain = (matched, first)
+        for (_, first_, last_, begin_, stop_), (total, start) in zip(pieces[:k], best, strict=True):
+            if first_ < first and last_ < last and begin_ < begin and stop_ < stop and last - start <= reach:
+                chain = max(chain, (total + matched - max(0, last_ - first, stop_ - begin), start))
+        best.append(chain)
+    return [(total, start, p[2]) for (total, start), p in zip(best, pieces, strict=True)]
 
 
 def scan(index: Index, text: str, min_coverage: float, band: int) -> list[tuple[int, int, float, int, int]]:
@@ -121,6 +143,8 @@ def scan(index: Index, text: str, min_coverage: float, band: int) -> list[tuple[
     for template, own in seeds.items():
         own.sort(key=lambda s: (s[1], s[0]))
         length = len(index.texts[template])
+        if np.minimum(np.bincount(terms, minlength=len(index.terms) + 1), np.bincount(index.texts[template], minlength=len(index.terms) + 1)).sum() < min_coverage * length:
+            continue  # the whole text lacks the words, in any order
         # seeds of one copy follow each other in the text and stay near one diagonal
         runs: list[list[tuple[int, int]]] = []
         for diagonal, place in own:
@@ -130,15 +154,18 @@ def scan(index: Index, text: str, min_coverage: float, band: int) -> list[tuple[
                     break
             else:
                 runs.append([(diagonal, place)])
+        pieces = []
         for run in runs:
             diagonal = sorted(d for d, _ in run)[len(run) // 2]
             lo = max(0, diagonal - band)
             hi = min(len(terms), diagonal + length + band)
-            matched, first, last = align(terms[lo:hi], index.texts[template], diagonal - lo, band)
+            matched, first, last, begin, stop = aligned(terms[lo:hi], index.texts[template], diagonal - lo, band)
+            pieces.append((matched, lo + first, lo + last, begin, stop))
+        for matched, first, last in joined(pieces, 2 * length + band):
             if matched >= min_coverage * length:
-                found.append((template, matched, matched / length, words[lo + first].start(), words[lo + last - 1].end()))
-    # of overlapping matches the one with most matched words stays, then the better covered, then the first template
-    found.sort(key=lambda f: (-f[1], -f[2], f[0], f[3]))
+                found.append((template, matched, matched / length, words[first].start(), words[last - 1].end()))
+    # of overlapping matches the one stays with most matched words less the template's unmatched ones, then the better covered, then the first template
+    found.sort(key=lambda f: (len(index.texts[f[0]]) - 2 * f[1], -f[2], f[0], f[3]))
     kept: list[tuple[int, int, float, int, int]] = []
     for f in found:
         if all(f[4] <= g[3] or g[4] <= f[3] for g in kept):
@@ -156,8 +183,9 @@ def license_matches(
 
     A document whose words hold a fingerprint of a template is a candidate for it; the
     banded alignment of the words around its seeds must match ``min_coverage`` of the
-    template's words. Of matches that overlap the longest is reported; a document may
-    hold several. ``start`` and ``stop`` are code points, end exclusive.
+    template's words; runs that an insertion of any kind parts are joined, within twice
+    the template's length. Of matches that overlap, the one with most matched words less
+    the template's unmatched ones is reported; a document may hold several. ``start`` and ``stop`` are code points, end exclusive.
 
     Null and empty texts have no match. Null ids are reported as null, repeated rows
     each. Other columns are ignored; an empty table gives an empty one. The index holds

@@ -1,5 +1,20 @@
 """License templates. The texts are fixed values: the published wording of each license or of its usual notice."""
 
+_URL = "{w}. If not, see <https://www.gnu.org/licenses/>."
+_ADDRESS = "{w}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+
+
+def _gnu_notice(name: str, version: str, work: str = "program", end: str = _URL) -> str:
+    """The notice of the GNU licenses."""
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the "
+        f"Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {work} is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        f"or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} "
+        "along with this " + end.format(w=work)
+    )
+
+
 #: (name, license, text)
 TEMPLATES = (
     ("mit-line", "MIT", "Released under the MIT License."),
@@ -47,6 +62,22 @@ TEMPLATES = (
         "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
         "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
+    (
+        "bsd-3-clause",
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED "
+        "BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     (
         "apache-2.0-notice",
         "Apache-2.0",
@@ -89,4 +120,12 @@ TEMPLATES = (
         "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
         "non-commercial, and by any means.",
     ),
+    ("gpl-3.0-notice-address", "GPL-3.0-or-later", _gnu_notice("General Public License", "3", end=_ADDRESS)),
+    ("gpl-2.0-notice", "GPL-2.0-or-later", _gnu_notice("General Public License", "2", end=_ADDRESS)),
+    ("gpl-2.0-notice-url", "GPL-2.0-or-later", _gnu_notice("General Public License", "2")),
+    ("lgpl-2.1-notice", "LGPL-2.1-or-later", _gnu_notice("Lesser General Public License", "2.1", "library", _ADDRESS)),
+    ("lgpl-2.1-notice-url", "LGPL-2.1-or-later", _gnu_notice("Lesser General Public License", "2.1", "library")),
+    ("lgpl-3.0-notice", "LGPL-3.0-or-later", _gnu_notice("Lesser General Public License", "3")),
+    ("lgpl-3.0-notice-library", "LGPL-3.0-or-later", _gnu_notice("Lesser General Public License", "3", "library")),
+    ("agpl-3.0-notice", "AGPL-3.0-or-later", _gnu_notice("Affero General Public License", "3")),
 )

@@ -46,6 +46,19 @@ def test_banded_alignment_equals_the_plain_one_near_its_diagonal():
         assert plain_local_alignment(a[first:last].tolist(), b.tolist()) == score and 2 * matched >= score
 
 
+def test_insertions_and_close_licenses():
+    index, texts = ls.build(), {n: t for n, _, t in TEMPLATES}
+    half = MIT.split()
+    parted = " ".join([*half[:80], *(f"x{i}" for i in range(40)), *half[80:]])
+    named = lambda t: [(index.names[f[0]], index.licenses[f[0]]) for f in ls.scan(index, t, 0.8, 8)]
+    assert named(parted) == [("mit", "MIT")]
+    assert named(texts["bsd-2-clause"].replace("THIS SOFTWARE IS", "3. Neither the name of Foo nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS")) == [("bsd-3-clause", "BSD-3-Clause")]
+    gpl3 = texts["gpl-3.0-notice"]
+    assert named(gpl3.replace("General", "Affero General")) == [("agpl-3.0-notice", "AGPL-3.0-or-later")]
+    assert named(gpl3.replace("version 3", "version 2")) == [("gpl-2.0-notice-url", "GPL-2.0-or-later")]
+    assert named(gpl3.replace("General", "Lesser General")) == [("lgpl-3.0-notice", "LGPL-3.0-or-later")]
+
+
 def test_winnowing_keeps_a_print_in_each_window():
     hashes = np.random.default_rng(1).integers(0, 1 << 60, 200, dtype=np.uint64)
     picked = sorted(ls.winnow(hashes, 5))
