@@ -11,12 +11,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of long texts, in Arrow batches of the stages that are written.
 ROWS_IN_BATCH = 2000
+#: Of text that a task turns into Python objects at once.
+SLICE_BYTES = 4 << 20
 
 _own_dir: dict[str, str] = {}
 
@@ -83,6 +87,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most about ``most`` bytes of text and ``rows`` rows, and one row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(size[at - 1]) if at else 0
+        stop = min(batch.num_rows, at + rows, max(at + 1, int(np.searchsorted(size, before + most, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def frugal(run: Callable) -> Callable:
     """A task's generator that gives memory back when it ends: workers outlive tasks, and the next may do something else."""
 

@@ -1,11 +1,15 @@
-"""License scan: winnowed template fingerprints pick candidates, banded alignment reports coverage and spans."""
+"""License scan: winnowed template fingerprints pick candidates, banded alignment reports coverage and spans.
+
+Lines such as "Released under the MIT License" count word for word. Longer templates are
+aligned; versions and words that tell families apart must agree, whatever the coverage.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -14,9 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import base
-from tarn.llm.license_texts import TEMPLATES
+from tarn.llm import license_texts
 
 _WORDS = re.compile(r"\w+")
+_VERSION = re.compile(r"\b(?:version|v\.?)\s*(\d+(?:\.\d+)*)", re.I)
+#: Templates of so many words at most are lines.
+LINE_WORDS = 16
+#: In templates of more words only the first few hold what must agree; only the neighbourhood of seeds is aligned.
+_LONG_WORDS, _TITLE_WORDS, _MARGIN = 400, 12, 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,99 +61,170 @@ class Index:
     terms: dict[str, int]
     texts: list[np.ndarray]
     prints: np.ndarray  # sorted hashes
-    places: dict[int, list[tuple[int, int]]]
+    places: dict[int, list[tuple[int, int]]]  # (template, place); lines together, as template -1
     k: int
+    lines: dict[bytes, int] = field(default_factory=dict)  # words of a line to its template
+    lengths: list[int] = field(default_factory=list)  # of lines, falling
+    marks: dict[int, frozenset[int]] = field(default_factory=dict)  # places of a longer template that must agree
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words and their counts
+    family: frozenset[int] = frozenset()
+    numbers: frozenset[int] = frozenset()
+
+
+def mark_places(text: str) -> frozenset[int]:
+    """Places of the words that another license would not share: versions, words of families, and "later"."""
+    words = list(_WORDS.finditer(text))
+    spans = [m.span(1) for m in _VERSION.finditer(text)]
+    first = len(words) if len(words) <= _LONG_WORDS else _TITLE_WORDS
+    return frozenset(
+        k for k, m in enumerate(words[:first])
+        if m.group().lower() in license_texts.FAMILY_WORDS or m.group().lower() == "later" or any(a <= m.start() < b for a, b in spans)
+    )
+
 
+def build(templates=None, k: int = 4, window: int = 3) -> Index:
+    """Any run of ``k + window - 1`` template words in a text holds a fingerprint of it; so does each template as a whole.
 
-def build(templates=TEMPLATES, k: int = 4, window: int = 3) -> Index:
-    """Any run of ``k + window - 1`` template words in a text holds a fingerprint of it; so does each template as a whole."""
+    Templates of equal words are one (the first); those of fewer than ``k`` words cannot be found and are left out.
+    """
     terms: dict[str, int] = {}
-    texts = [np.array([terms.setdefault(w, len(terms) + 1) for w in words_of(t)], np.int64) for _, _, t in templates]
-    places = defaultdict(list)
-    for at, text in enumerate(texts):
-        hashes = _gram_hashes(text, k)
+    number = lambda w: terms.setdefault(w, len(terms) + 1)
+    family = frozenset(number(w) for w in sorted(license_texts.FAMILY_WORDS))
+    numbers = frozenset(number(str(n)) for n in range(1, 10))
+    index = Index([], [], terms, [], np.zeros(0, np.uint64), {}, k, family=family, numbers=numbers)
+    places: dict[int, dict[tuple[int, int], None]] = defaultdict(dict)
+    known: set[bytes] = set()
+    for name, license, text in license_texts.templates() if templates is None else templates:
+        words = np.array([number(w) for w in words_of(text)], np.int64)
+        if len(words) < k or words.tobytes() in known:
+            continue
+        known.add(words.tobytes())
+        at = len(index.texts)
+        index.names.append(name)
+        index.licenses.append(license)
+        index.texts.append(words)
+        if line := len(words) <= LINE_WORDS:
+            index.lines[words.tobytes()] = at
+        else:
+            index.marks[at] = mark_places(text)
+            index.bags[at] = np.unique(words, return_counts=True)
+        hashes = _gram_hashes(words, k)
         for p in winnow(hashes, window):
-            places[int(hashes[p])].append((at, p))
-    return Index([n for n, _, _ in templates], [x for _, x, _ in templates], terms, texts, np.array(sorted(places), np.uint64), dict(places), k)
+            places[int(hashes[p])][-1 if line else at, p] = None
+    index.lengths = sorted({len(index.texts[t]) for t in index.lines.values()}, reverse=True)
+    index.prints, index.places = np.array(sorted(places), np.uint64), {h: list(p) for h, p in places.items()}
+    return index
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
     """``matched words, first, last + 1`` of ``aligned``."""
-    return aligned(text, template, diagonal, band, match, mismatch, gap)[:3]
+    pairs = aligned(text, template, diagonal, band, match, mismatch, gap)
+    return (len(pairs), pairs[0][0], pairs[-1][0] + 1) if pairs else (0, 0, 0)
 
 
-def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int, int]:
-    """Local alignment within ``band`` of the diagonal ``text place - template place``: ``matched words, first, last + 1`` in the text, and
-    the same two places in the template.
+def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> list[tuple[int, int]]:
+    """The matched words (text place, template place) of the best local alignment within ``band`` of the diagonal ``text place - template place``.
 
-    Ties prefer a diagonal step, then one in the text.
+    A row of the band is computed at once: steps along the text are a running maximum. Ties prefer a diagonal step, then one in the text.
     """
     low, width = diagonal - band, 2 * band + 1
-    score = np.zeros((len(template) + 1, width + 2), np.int64)
-    step = np.zeros((len(template) + 1, width + 2), np.int8)
+    # column c of row t stands for text place t + low + c (from 0); the same column one row up is one text word earlier
+    score = np.zeros((len(template) + 1, width + 1), np.int64)
+    ramp = -gap * np.arange(width)
+    padded = np.concatenate([np.full(max(0, -low), -1), text, np.full(max(0, low + len(template) + width - len(text)), -1)]) if len(template) else text
+    shift = low + max(0, -low)
     best, end = 0, (0, 0)
     for t in range(1, len(template) + 1):
-        # column c stands for text place t + low + c - 1; the same column one row up is one text word earlier
-        for c in range(1, width + 1):
-            p = t + low + c - 1
-            if not 1 <= p <= len(text):
-                continue
-            same = text[p - 1] == template[t - 1]
-            options = (score[t - 1, c] + (match if same else mismatch), score[t, c - 1] + gap, score[t - 1, c + 1] + gap)
-            value = max(options)
-            if value > 0:
-                score[t, c] = value
-                step[t, c] = 1 + options.index(value)
-                if value > best:
-                    best, end = value, (t, c)
+        part = padded[t - 1 + shift : t - 1 + shift + width]
+        above = score[t - 1]
+        value = np.maximum(above[:width] + np.where(part == template[t - 1], match, mismatch), above[1:] + gap)
+        value = np.maximum.accumulate(np.maximum(value, 0) + ramp) - ramp
+        value[part < 0] = 0
+        score[t, :width] = value
+        top = int(value.max())
+        if top > best:
+            best, end = top, (t, int(value.argmax()))
     t, c = end
-    matched, last, stop = 0, t + low + c - 1, t
-    first = last
+    pairs = []
     while t > 0 and score[t, c] > 0:
-        p = t + low + c - 1
-        if step[t, c] == 1:
-            matched += int(text[p - 1] == template[t - 1])
-            first = p - 1
+        p = t - 1 + low + c
+        same = 0 <= p < len(text) and text[p] == template[t - 1]
+        if score[t, c] == score[t - 1, c] + (match if same else mismatch):
+            if same:
+                pairs.append((p, t - 1))
             t -= 1
-        elif step[t, c] == 2:
-            first = p - 1
+        elif c and score[t, c] == score[t, c - 1] + gap:
             c -= 1
         else:
             t, c = t - 1, c + 1
-    return matched, first, last, t, stop
+    return pairs[::-1]
 
 
-def joined(pieces: list[tuple[int, int, int, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """``matched words, first, last + 1`` of chains of aligned pieces that follow each other in text and template.
+def joined(pieces: list[list[tuple[int, int]]], reach: int) -> list[list[tuple[int, int]]]:
+    """Chains of aligned pieces that follow each other in text and template, as matched words.
 
     What two neighbours share counts once; a chain spans at most ``reach`` words of the text. Each piece ends the best chain it can.
     """
-    pieces = sorted(set(pieces), key=lambda p: (p[1], p[3], p[2]))
-    best: list[tuple[int, int]] = []
-    for k, (matched, first, last, begin, stop) in enumerate(pieces):
-        chain = (matched, first)
-        for (_, first_, last_, begin_, stop_), (total, start) in zip(pieces[:k], best, strict=True):
-            if first_ < first and last_ < last and begin_ < begin and stop_ < stop and last - start <= reach:
-                chain = max(chain, (total + matched - max(0, last_ - first, stop_ - begin), start))
+    pieces = sorted({tuple(p) for p in pieces if p}, key=lambda p: (p[0], p[-1]))
+    ends = [(p[0][0], p[-1][0] + 1, p[0][1], p[-1][1] + 1) for p in pieces]
+    best: list[tuple[int, int, int]] = []  # matched words, first text place, piece before
+    for k, (first, last, begin, stop) in enumerate(ends):
+        chain = (len(pieces[k]), first, -1)
+        for j, (_, last_, _, stop_) in enumerate(ends[:k]):
+            total, start, _ = best[j]
+            if ends[j][0] < first and last_ < last and ends[j][2] < begin and stop_ < stop and last - start <= reach:
+                chain = max(chain, (total + len(pieces[k]) - max(0, last_ - first, stop_ - begin), start, j))
         best.append(chain)
-    return [(total, start, p[2]) for (total, start), p in zip(best, pieces, strict=True)]
-
-
-def scan(index: Index, text: str, min_coverage: float, band: int) -> list[tuple[int, int, float, int, int]]:
-    """``template, matched words, coverage, start, end`` of a text; start and end in code points."""
-    words = list(_WORDS.finditer(text))
-    terms = np.fromiter((index.terms.get(m.group().lower(), 0) for m in words), np.int64, len(words))
-    seeds = defaultdict(list)
+    out = []
+    for k in range(len(pieces)):
+        path, at = [], k
+        while at >= 0:
+            path.append(at)
+            at = best[at][2]
+        pairs: list[tuple[int, int]] = []
+        for at in reversed(path):
+            p, t = pairs[-1] if pairs else (-1, -1)
+            pairs += [x for x in pieces[at] if x[0] > p and x[1] > t]
+        out.append(pairs)
+    return out
+
+
+def _agrees(index: Index, template: int, terms: np.ndarray, pairs: list[tuple[int, int]]) -> bool:
+    """Whether all marks of the template are matched, and no word between two neighbours of it makes it another license."""
+    if not index.marks[template] <= {t for _, t in pairs}:
+        return False
+    for (p, t), (q, u) in zip(pairs[:-1], pairs[1:], strict=True):
+        if u == t + 1 and 1 < q - p <= 4:
+            between = terms[p + 1 : q].tolist()
+            if not index.family.isdisjoint(between) or (t in index.marks[template] and between[0] in index.numbers):
+                return False
+    return True
+
+
+def _places(index: Index, terms: np.ndarray, min_coverage: float, band: int) -> list[tuple[int, int, float, int, int, float]]:
+    """``template, matched words, coverage, first, last + 1, share`` in words of a text; overlapping matches included."""
     hashes = _gram_hashes(terms, index.k)
-    for p in np.flatnonzero(np.isin(hashes, index.prints)):
+    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    starts = set()
+    for p in np.flatnonzero(np.isin(hashes, index.prints)).tolist():
         for template, place in index.places[int(hashes[p])]:
-            seeds[template].append((int(p) - place, int(p)))
+            if template < 0:
+                starts.add(p - place)
+            else:
+                seeds[template].append((p - place, p))
     found = []
+    for s in sorted(starts):
+        for n in index.lengths:
+            if s >= 0 and s + n <= len(terms) and (template := index.lines.get(terms[s : s + n].tobytes())) is not None:
+                found.append((template, n, 1.0, s, s + n, 1.0))
+                break
+    counts = np.bincount(terms, minlength=len(index.terms) + 1) if seeds else None
     for template, own in seeds.items():
-        own.sort(key=lambda s: (s[1], s[0]))
-        length = len(index.texts[template])
-        if np.minimum(np.bincount(terms, minlength=len(index.terms) + 1), np.bincount(index.texts[template], minlength=len(index.terms) + 1)).sum() < min_coverage * length:
+        goal, length = index.texts[template], len(index.texts[template])
+        words, times = index.bags[template]
+        if np.minimum(counts[words], times).sum() < min_coverage * length:
             continue  # the whole text lacks the words, in any order
+        own.sort(key=lambda s: (s[1], s[0]))
         # seeds of one copy follow each other in the text and stay near one diagonal
         runs: list[list[tuple[int, int]]] = []
         for diagonal, place in own:
@@ -156,39 +236,67 @@ def scan(index: Index, text: str, min_coverage: float, band: int) -> list[tuple[
                 runs.append([(diagonal, place)])
         pieces = []
         for run in runs:
+            a, b = 0, length
+            if length > _LONG_WORDS:
+                a = max(0, min(p - d for d, p in run) - _MARGIN)
+                b = min(length, max(p - d for d, p in run) + index.k + _MARGIN)
             diagonal = sorted(d for d, _ in run)[len(run) // 2]
-            lo = max(0, diagonal - band)
-            hi = min(len(terms), diagonal + length + band)
-            matched, first, last, begin, stop = aligned(terms[lo:hi], index.texts[template], diagonal - lo, band)
-            pieces.append((matched, lo + first, lo + last, begin, stop))
-        for matched, first, last in joined(pieces, 2 * length + band):
-            if matched >= min_coverage * length:
-                found.append((template, matched, matched / length, words[first].start(), words[last - 1].end()))
+            lo, hi = max(0, a + diagonal - band), min(len(terms), b + diagonal + band)
+            pieces.append([(lo + p, a + t) for p, t in aligned(terms[lo:hi], goal[a:b], diagonal + a - lo, band)])
+        for pairs in joined(pieces, 2 * length + band):
+            if len(pairs) >= min_coverage * length and _agrees(index, template, terms, pairs):
+                first, last = pairs[0][0], pairs[-1][0] + 1
+                found.append((template, len(pairs), len(pairs) / length, first, last, len(pairs) / (last - first)))
+    return found
+
+
+def scan(index: Index, text: str, min_coverage: float, band: int, terms: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, float]]:
+    """``template, matched words, coverage, start, end, share`` of a text; start and end in code points.
+
+    ``share`` is the share of the span's words that are matched.
+    """
+    words = None
+    if terms is None:
+        words = list(_WORDS.finditer(text))
+        terms = np.fromiter((index.terms.get(m.group().lower(), 0) for m in words), np.int64, len(words))
+    found = _places(index, terms, min_coverage, band)
+    if not found:
+        return []
+    words = words or list(_WORDS.finditer(text))
+    spans = [(t, m, c, words[a].start(), words[b - 1].end(), share) for t, m, c, a, b, share in found]
+    # a line whose last number goes on names another version
+    spans = [f for f in spans if f[0] in index.marks or not re.match(r"\.\d", text[f[4] : f[4] + 2])]
     # of overlapping matches the one stays with most matched words less the template's unmatched ones, then the better covered, then the first template
-    found.sort(key=lambda f: (len(index.texts[f[0]]) - 2 * f[1], -f[2], f[0], f[3]))
-    kept: list[tuple[int, int, float, int, int]] = []
-    for f in found:
+    spans.sort(key=lambda f: (len(index.texts[f[0]]) - 2 * f[1], -f[2], f[0], f[3]))
+    kept: list[tuple[int, int, float, int, int, float]] = []
+    for f in spans:
         if all(f[4] <= g[3] or g[4] <= f[3] for g in kept):
             kept.append(f)
     return sorted(kept, key=lambda f: (f[3], f[0]))
 
 
-_OUT = "doc_id long, template string, license string, matched_words long, coverage double, start long, stop long"
+_OUT = "doc_id long, template string, license string, matched_words long, coverage double, start long, stop long, text_share double"
 
 
 def license_matches(
     docs: DataFrame, index: Index | None = None, min_coverage: float = 0.8, band: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, template, license, matched_words, coverage, start, stop``: a row for each license text in each whole document.
-
-    A document whose words hold a fingerprint of a template is a candidate for it; the
-    banded alignment of the words around its seeds must match ``min_coverage`` of the
-    template's words; runs that an insertion of any kind parts are joined, within twice
-    the template's length. Of matches that overlap, the one with most matched words less
-    the template's unmatched ones is reported; a document may hold several. ``start`` and ``stop`` are code points, end exclusive.
+    """``doc_id, template, license, matched_words, coverage, start, stop, text_share``: a row for each license text in each whole document.
+
+    A document whose words hold a fingerprint of a template is a candidate for it. A template
+    of at most ``LINE_WORDS`` words must stand in the text word for word, and a number at its end
+    must not go on (".1"). Of a longer one the banded alignment of the words around its seeds
+    must match ``min_coverage`` of the words, among them all versions, words of families and
+    "later" (of a whole legal text those of its title); a word such as "Affero" put between two
+    matched ones rules it out, so that a license that is not in the index is not taken for its
+    sibling. Runs that an insertion of any kind parts are joined, within twice the template's
+    length. Of matches that overlap, the one with most matched words less the template's
+    unmatched ones is reported; a document may hold several. ``start`` and ``stop`` are code
+    points, end exclusive; ``text_share`` is the share of the span's words that are matched.
 
     Null and empty texts have no match. Null ids are reported as null, repeated rows
-    each. Other columns are ignored; an empty table gives an empty one. The index holds
+    each. Very long texts are read in slices of bounded bytes, a text at least. Other
+    columns are ignored; an empty table gives an empty one. The index holds
     the templates alone, whose number the caller sets; it is broadcast.
     """
     spark = docs.sparkSession
@@ -198,27 +306,28 @@ def license_matches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
         get = index.terms.get
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            rows = []
-            for at in range(0, len(texts), 500):
-                # all documents' words in one array, with a word of no template between documents
-                lists = [words_of(t) for t in texts[at : at + 500]]
-                size = np.array([len(x) + 1 for x in lists], np.int64)
-                terms = np.concatenate([np.zeros(0, np.int64), *[np.fromiter((*map(get, x, repeat(0)), 0), np.int64, len(x) + 1) for x in lists]])
-                live = terms > 0
-                run_of_k = np.ones(max(0, len(terms) - index.k + 1), bool)
-                for i in range(index.k):
-                    run_of_k &= live[i : len(terms) - index.k + 1 + i]
-                starts = np.flatnonzero(run_of_k)
-                grams = terms[starts[:, None] + np.arange(index.k)].reshape(-1) if len(starts) else np.zeros(0, np.int64)
-                hashes = _gram_hashes(grams, index.k)[:: index.k]
-                hit = starts[np.isin(hashes, index.prints)]
-                for k in np.unique(np.searchsorted(np.cumsum(size), hit, "right")):
-                    rows += [(ids[at + k], index.names[t], index.licenses[t], m, c, a, b) for t, m, c, a, b in scan(index, texts[at + k], min_coverage, band)]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "template", "license", "matched_words", "coverage", "start", "stop"])
+        for part in (part for batch in batches for part in base.slices(batch)):
+            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            # all documents' words in one array, with a word of no template between documents
+            lists = [words_of(t) for t in texts]
+            size = np.array([len(x) + 1 for x in lists], np.int64)
+            terms = np.concatenate([np.zeros(0, np.int64), *[np.fromiter((*map(get, x, repeat(0)), 0), np.int64, len(x) + 1) for x in lists]])
+            live = terms > 0
+            run_of_k = np.ones(max(0, len(terms) - index.k + 1), bool)
+            for i in range(index.k):
+                run_of_k &= live[i : len(terms) - index.k + 1 + i]
+            starts = np.flatnonzero(run_of_k)
+            grams = terms[starts[:, None] + np.arange(index.k)].reshape(-1) if len(starts) else np.zeros(0, np.int64)
+            hashes = _gram_hashes(grams, index.k)[:: index.k]
+            hit = starts[np.isin(hashes, index.prints)]
+            stop, rows = np.cumsum(size), []
+            for k in np.unique(np.searchsorted(stop, hit, "right")).tolist():
+                own = terms[stop[k] - size[k] : stop[k] - 1]
+                rows += [(ids[k], index.names[t], index.licenses[t], m, c, a, b, s) for t, m, c, a, b, s in scan(index, texts[k], min_coverage, band, own)]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+            names = ["doc_id", "template", "license", "matched_words", "coverage", "start", "stop", "text_share"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(base.frugal(run), _OUT)
 

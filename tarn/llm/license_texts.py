@@ -1,5 +1,7 @@
 """License templates. The texts are fixed values: the published wording of each license or of its usual notice."""
 
+from importlib.resources import files
+
 _URL = "{w}. If not, see <https://www.gnu.org/licenses/>."
 _ADDRESS = "{w}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
 
@@ -129,3 +131,178 @@ TEMPLATES = (
     ("lgpl-3.0-notice-library", "LGPL-3.0-or-later", _gnu_notice("Lesser General Public License", "3", "library")),
     ("agpl-3.0-notice", "AGPL-3.0-or-later", _gnu_notice("Affero General Public License", "3")),
 )
+
+TEMPLATES += (
+    (
+        "bsd-4-clause",
+        "BSD-4-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product "
+        "includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may "
+        "be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS "
+        "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "bsl-1.0",
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject "
+        "to the following: The copyright notices in the Software and this entire statement, including the above license grant, this "
+        "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative "
+        "works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by "
+        "a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "mit-0",
+        "MIT-0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+        "is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "epl-2.0-notice",
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "epl-1.0-notice",
+        "EPL-1.0",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    (
+        "wtfpl",
+        "WTFPL",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as "
+        "long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND "
+        "MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    ),
+)
+
+
+def _gnu_only(name: str, version: str, work: str = "program") -> str:
+    """The notice of the GNU licenses without "or any later version"."""
+    return (
+        f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {version} as "
+        f"published by the Free Software Foundation. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        f"{name} for more details."
+    )
+
+
+TEMPLATES += tuple(
+    (f"{spdx.lower()}-only-notice", f"{spdx}-only", _gnu_only(name, version, work))
+    for spdx, name, version, work in (
+        ("GPL-2.0", "General Public License", "2", "program"),
+        ("GPL-3.0", "General Public License", "3", "program"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1", "library"),
+        ("LGPL-3.0", "Lesser General Public License", "3", "library"),
+        ("AGPL-3.0", "Affero General Public License", "3", "program"),
+    )
+) + (("lgpl-2.0-notice", "LGPL-2.0-or-later", _gnu_notice("Library General Public License", "2", "library", _ADDRESS)),)
+
+#: Families of versioned licenses: (identifier, long name, short names, versions, whether "or later" is part of the license).
+FAMILIES = (
+    ("GPL", "GNU General Public License", ("GNU GPL", "GPL"), ("1.0", "2.0", "3.0"), True),
+    ("LGPL", "GNU Lesser General Public License", ("GNU LGPL", "LGPL"), ("2.1", "3.0"), True),
+    ("AGPL", "GNU Affero General Public License", ("GNU AGPL", "AGPL"), ("3.0",), True),
+    ("Apache", "Apache License", ("Apache",), ("1.0", "1.1", "2.0"), False),
+    ("MPL", "Mozilla Public License", ("MPL",), ("1.0", "1.1", "2.0"), False),
+    ("EPL", "Eclipse Public License", ("EPL",), ("1.0", "2.0"), False),
+    ("CDDL", "Common Development and Distribution License", ("CDDL",), ("1.0", "1.1"), False),
+    ("BSL", "Boost Software License", (), ("1.0",), False),
+    ("Artistic", "Artistic License", (), ("1.0", "2.0"), False),
+    ("EUPL", "European Union Public Licence", ("EUPL",), ("1.1", "1.2"), False),
+    ("AFL", "Academic Free License", ("AFL",), ("3.0",), False),
+    ("OSL", "Open Software License", ("OSL",), ("3.0",), False),
+    ("ODbL", "Open Database License", ("ODbL",), ("1.0",), False),
+    ("OFL", "SIL Open Font License", ("OFL",), ("1.1",), False),
+)
+#: Licenses without a version: (identifier, names).
+PLAIN = (
+    ("MIT", ("MIT License", "MIT licence", "Expat License", "X11 MIT License")),
+    ("ISC", ("ISC License",)),
+    ("Zlib", ("zlib License",)),
+    ("Unlicense", ("Unlicense License",)),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("BSD-4-Clause", ("BSD 4-Clause License", "4-Clause BSD License", "Original BSD License")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0 license", "Creative Commons Zero v1.0 Universal")),
+    ("MIT-0", ("MIT No Attribution License", "MIT-0 License")),
+)
+#: Clauses of the Creative Commons licenses by short and long name, and the versions' long forms.
+CLAUSES = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+CC_VERSIONS = (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+VERBS = ("Released", "Licensed", "Distributed", "Published", "Available")
+#: Words that make another license of one they are put into.
+FAMILY_WORDS = frozenset("affero lesser library nc nd sa noncommercial noderivatives noderivs sharealike".split())
+
+
+def _versions(version: str, short: bool) -> tuple[str, ...]:
+    """How a version is written: with or without "version" and "v", joined to a short name, and without a minor number of zero."""
+    major, _, minor = version.partition(".")
+    numbers = (version, major) if minor == "0" else (version,)
+    return tuple(f"{lead}{n}" for n in numbers for lead in (", version ", " v", " ", *(("v",) if short else ())))
+
+
+def line_templates() -> tuple[tuple[str, str, str], ...]:
+    """Lines such as "Released under the MIT License": each verb with each name of each license, by rule."""
+    names: list[tuple[str, str]] = []
+    for key, long, short, versions, later in FAMILIES:
+        for version in versions:
+            for name in (long, *short):
+                for v in _versions(version, name in short):
+                    names.append((f"{key}-{version}", f"the {name}{v}"))
+                    if name == "Apache":
+                        names.append((f"{key}-{version}", f"the {name}{v} License"))
+                    if later:
+                        names += [(f"{key}-{version}-or-later", f"the {name}{v} or {any_}later") for any_ in ("", "any ", "at your option any ")]
+    names += [(key, f"the {n}") for key, own in PLAIN for n in own]
+    for version, form in CC_VERSIONS:
+        for short, long in CLAUSES:
+            key = f"CC-{short}-{version}"
+            names += [(key, f"CC {short} {version}"), (key, f"the CC {short} {version} license")]
+            names += [(key, f"{a} Creative Commons {long} {version}{end}") for a in ("a", "the") for end in ("", f" {form}", f" {form} License", " License")]
+    return tuple((f"line:{license}", license, f"{verb} under {name}.") for verb in VERBS for license, name in names)
+
+
+#: Whole legal texts, one file each, by the SPDX identifier that the text alone stands for.
+FULL_TEXTS = (
+    ("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"),
+    ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"),
+)
+
+
+def full_templates() -> tuple[tuple[str, str, str], ...]:
+    folder = files("tarn.llm").joinpath("licenses")
+    return tuple((f"text:{license}", license, folder.joinpath(f"{name}.txt").read_text(encoding="utf-8")) for name, license in FULL_TEXTS)
+
+
+def templates() -> tuple[tuple[str, str, str], ...]:
+    """All templates: notices and short licenses, whole texts, and lines by rule."""
+    return TEMPLATES + full_templates() + line_templates()

@@ -1,6 +1,7 @@
 import numpy as np
 
 from tarn.llm import license_scan as ls
+from tarn.llm import license_texts
 from tarn.llm.license_texts import TEMPLATES
 from tests.llm.conftest import ODD
 
@@ -68,3 +69,75 @@ def test_winnowing_keeps_a_print_in_each_window():
 def test_odd_rows(as_docs):
     assert ls.license_matches(as_docs(ODD, "template", "start")).collect() == []
     assert ls.license_matches(as_docs([])).collect() == []
+
+
+def _named(index, text):
+    return [(index.names[f[0]], index.licenses[f[0]]) for f in ls.scan(index, text, 0.8, 8)]
+
+
+def test_siblings_are_told_apart_or_left_alone():
+    index = ls.build()
+    of = lambda text: [license for _, license in _named(index, text)]
+    line = "This work is licensed under the GNU {} Public License, version {}."
+    assert of(line.format("General", "3")) == ["GPL-3.0"] and of(line.format("Affero General", "3")) == ["AGPL-3.0"]
+    assert of(line.format("Lesser General", "3")) == ["LGPL-3.0"] and of(line.format("General", "3.1")) == []
+    for clause in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        assert of(f"Licensed under CC {clause} 4.0.") == [f"CC-{clause}-4.0"]
+    assert of("Licensed under the Apache License, Version 2.1") == [] and of("Licensed under CC BY-XX 4.0.") == []
+    assert of("Released under the MIT No Attribution License.") == ["MIT-0"] and of("Released under the Mighty License.") == []
+    texts = {n: t for n, _, t in TEMPLATES}
+    assert of(texts["agpl-3.0-notice"]) == ["AGPL-3.0-or-later"] and of(texts["bsd-4-clause"]) == ["BSD-4-Clause"] and of(texts["mit-0"]) == ["MIT-0"]
+    assert of(texts["apache-2.0-notice"].replace("Version 2.0", "Version 2.1")) == []
+    assert of(texts["gpl-3.0-notice"].replace("GNU General", "GNU Affero General").replace("version 3", "version 4")) == []
+    assert of(texts["gpl-2.0-only-notice"]) == ["GPL-2.0-only"]
+    # a family that has no template of this kind is not taken for its sibling
+    assert ls.scan(ls.build([("gpl", "GPL", texts["gpl-3.0-notice"])]), texts["agpl-3.0-notice"], 0.8, 8) == []
+
+
+def test_whole_legal_texts():
+    index = ls.build()
+    for name, license, text in license_texts.full_templates()[:1] + license_texts.full_templates()[-1:]:
+        words = text.split()
+        edited = " ".join(w for k, w in enumerate(words) if k % 40 != 7)
+        for shown in (text, edited):
+            found = ls.scan(index, f"before it {shown} after it", 0.8, 8)
+            assert [(index.names[f[0]], index.licenses[f[0]]) for f in found] == [(name, license)] and found[0][2] > 0.9
+    assert len(license_texts.line_templates()) > 1000
+
+
+def brute_matched(index, terms, template):
+    """Matched words of the best local alignment without index, band or window; a line must stand word for word."""
+    goal = index.texts[template]
+    if template not in index.marks:
+        return len(goal) * any((terms[s : s + len(goal)] == goal).all() for s in range(len(terms) - len(goal) + 1))
+    pairs = ls.aligned(terms, goal, 0, len(terms) + len(goal))
+    return len(pairs) * ls._agrees(index, template, terms, pairs)
+
+
+def test_scan_equals_brute_force_on_small_texts():
+    rng = np.random.default_rng(11)
+    chosen = [t for t in TEMPLATES if t[0] in ("mit-line", "apache-line", "mpl-2.0-notice", "isc", "lgpl-3.0-notice", "gpl-3.0-notice", "epl-2.0-notice")]
+    index = ls.build(chosen)
+    for _ in range(25):
+        source = ls.words_of(chosen[rng.integers(len(chosen))][2])
+        words = [w for w in source if rng.random() > 0.04]
+        for at in sorted(rng.integers(0, len(words) + 1, 2), reverse=True):
+            words[at:at] = ["extra"] * int(rng.integers(0, 3))
+        text = " ".join(["lead", *words, "tail"])
+        terms = np.array([index.terms.get(w, 0) for w in ls.words_of(text)], np.int64)
+        matched = {t: brute_matched(index, terms, t) for t in range(len(index.texts))}
+        good = {t: m for t, m in matched.items() if m >= 0.8 * len(index.texts[t])}
+        found = ls.scan(index, text, 0.8, 8)
+        assert len(found) == bool(good)
+        if found:
+            # the best by matched words less unmatched ones
+            assert found[0][0] == min(good, key=lambda t: (len(index.texts[t]) - 2 * good[t], -good[t] / len(index.texts[t]), t))
+            assert found[0][1] == good[found[0][0]]
+
+
+def test_very_long_texts_and_the_contract_query(as_docs, saved, spark):
+    long = "word " * 2_000_000 + "Released under the MIT License."
+    docs = as_docs([(k, long, None, None) for k in range(3)] + [(9, "x", None, None)])
+    got = ls.op4_license_scan(spark, saved(documents=docs)).collect()
+    assert [(r.doc_id, r.license, r.start) for r in sorted(got)] == [(k, "MIT", 10_000_000) for k in range(3)]
+    assert got[0].text_share == 1 and got[0].stop == len(long) - 1
