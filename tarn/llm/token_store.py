@@ -16,8 +16,8 @@ from tarn.llm import base
 
 END_ID = 1
 _BLOCK_IDS = 1 << 18  # ids in a block at most, unless one document has more
+_RANGE_BYTES = 32 << 20  # of ids that one task orders and packs
 _WORD_CACHE = 500_000  # pieces that a task keeps between slices
-_SLICE_BYTES = 4 << 20  # of text that is tokenised at once
 #: A word of Latin-1 letters (whose normal form has letters only), then ASCII punctuation without the underscore.
 _WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 
@@ -55,6 +55,23 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---- tokenising ---------------------------------------------------------------------------------------------------
 
 
+#: Rules of a vocabulary file whose texts can be encoded by pieces.
+_PIECE_RULES = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _splits_into_pieces(spec: dict) -> bool:
+    """Whether a vocabulary file's rules are those that ``WordEncoder`` relies on."""
+    model = spec["model"]
+    steps = [(spec.get(k) or {}).get("normalizers" if k == "normalizer" else "pretokenizers") == rules for k, rules in _PIECE_RULES.items()]
+    return all(steps) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, by pieces between white space.
 
@@ -63,7 +80,8 @@ class WordEncoder:
     within such a piece. A text's ids are thus those of its pieces one after another,
     and a distinct piece goes through the library once while it is in the bounded
     cache. Words of ASCII letters go many at a time, through the same model without
-    the normalizer, which does nothing to them but lower-case.
+    the normalizer, which does nothing to them but lower-case. A vocabulary file with
+    other rules than these goes through the library text by text.
     """
 
     def __init__(self, path: str):
@@ -72,8 +90,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.by_piece = _splits_into_pieces(spec)
         words = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []}))
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []})) if self.by_piece else None
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -126,6 +145,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
+        if not self.by_piece:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ").cast(pa.large_string())
         pieces = pc.split_pattern(spaced, " ")
         ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
@@ -249,7 +271,8 @@ def write_store(
         if own_ids:
             yield flush()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of about _RANGE_BYTES of ids, whatever the session's number of shuffle partitions
+    parts = max(1, -(-(tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // _RANGE_BYTES))
     ordered = tokens.repartitionByRange(parts, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(base.frugal(pack), _BLOCK_DDL).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(END_ID if not order else int(i), k) for k, i in enumerate(order or [END_ID])], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -261,22 +284,13 @@ _BLOCK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.lis
 _BLOCK_DDL = "part long, block long, within long, doc_ids array<long>, sizes array<long>, n_ids long, control binary, data binary, check long"
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most about ``_SLICE_BYTES`` of text, and one row at least."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """``seq, doc_id, ids`` as a table written under ``path``; ids take two bytes each where the vocabulary allows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         try:
-            for part in (part for batch in batches for part in _slices(batch)):
+            for part in (part for batch in batches for part in base.slices(batch, rows=batch.num_rows)):
                 ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
                 data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())

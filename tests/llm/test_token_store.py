@@ -74,3 +74,25 @@ def test_empty_table(spark, as_docs):
     path = base.fresh_path(spark, "t")
     ts.write_store(as_docs([]), path, ts.vocabulary())
     assert ts.read_store(spark, path).collect() == []
+
+
+def test_another_vocabulary_goes_through_the_library(spark, as_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = ts.WordEncoder(path)
+    assert ts.WordEncoder(ts.vocabulary()).by_piece and not encoder.by_piece
+    texts = [None, "", "Two  words", "Ünïcode 😀\n\n x"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_ranges_follow_the_bytes(spark, as_docs, monkeypatch):
+    monkeypatch.setattr(ts, "_RANGE_BYTES", 4000)
+    rows = [(i, f"Text {i}, with words{i % 7}! " * 20, None, None) for i in range(200)]
+    path = base.fresh_path(spark, "t")
+    ts.write_store(as_docs(rows), path, ts.vocabulary())
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 5
+    assert sorted(tuple(r) for r in ts.token_digests(ts.read_store(spark, path)).collect()) == expected(rows)
