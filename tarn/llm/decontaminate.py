@@ -89,14 +89,29 @@ class Index:
     flat_impacts: np.ndarray
 
 
-def build(items: list[tuple[int, str]], threshold: float, block: int = 8, k1: float = 1.2, b: float = 0.75) -> Index:
-    """Items without a word are left out; equal texts stay separate items."""
+@dataclass
+class Statistics:
+    """What all items together say: their number, mean and greatest length, and the document frequencies of (at least) the terms in use."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def statistics(bags: list[Counter]) -> Statistics:
+    sizes = [sum(c.values()) for c in bags]
+    return Statistics(len(bags), sum(sizes) / max(1, len(sizes)), max(sizes, default=1), Counter(w for c in bags for w in c))
+
+
+def build(items: list[tuple[int, str]], threshold: float, block: int = 8, k1: float = 1.2, b: float = 0.75, stats: Statistics | None = None) -> Index:
+    """Items without a word are left out; equal texts stay separate items. ``stats`` are those of ``items`` unless these are a part of more."""
     items = [(i, t) for i, t in items if words_of(t)]
     bags = [Counter(words_of(t)) for _, t in items]
-    sizes = [sum(c.values()) for c in bags]
-    mean = sum(sizes) / max(1, len(sizes))
-    df = Counter(w for c in bags for w in c)
-    idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    stats = stats or statistics(bags)
+    sizes, mean = [sum(c.values()) for c in bags], stats.mean
+    df = {w: stats.df[w] for c in bags for w in c}
+    idf = {w: math.log(1 + (stats.n - n + 0.5) / (n + 0.5)) for w, n in df.items()}
     terms = {w: k for k, w in enumerate(sorted(df), 1)}
     lists: list[tuple[list[int], list[float], list[float]]] = [([], [], []) for _ in range(len(terms) + 1)]
     for at, bag in enumerate(bags):
@@ -121,7 +136,7 @@ def build(items: list[tuple[int, str]], threshold: float, block: int = 8, k1: fl
     qa = [question_and_answer(t) for _, t in items]
     starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in lists])]).astype(np.int64)
     flat = [np.array([v for x in lists for v in x[c]], kind) for c, kind in ((0, np.int64), (1, np.float64))]
-    return Index([i for i, _ in items], [q for q, _ in qa], [a for _, a in qa], terms, lists, top, {w: t for w, t in terms.items() if t in essential}, held, block, max(sizes, default=1), starts, *flat)
+    return Index([i for i, _ in items], [q for q, _ in qa], [a for _, a in qa], terms, lists, top, {w: t for w, t in terms.items() if t in essential}, held, block, stats.longest, starts, *flat)
 
 
 def search(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -183,7 +198,8 @@ def search(index: Index, terms: list[int], threshold: float) -> list[tuple[int,
 def _scan(index: Index, docs: list[list[str]], threshold: float, min_overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
     """``document, item, score, question overlap, answer overlap`` of what a batch of documents holds.
 
-    Passages are two neighbouring steps of a document; a step is as long as the longest item (64 words at least), so
+    The bound is exact: essential postings summed over the passage, plus the most that an item can get from the other
+    terms, is never less than its score, so passages below it need no search. Passages are two neighbouring steps of a document; a step is as long as the longest item (64 words at least), so
     each item's words lie in one passage. Whole batches are tested against the bound before any passage is searched.
     """
     step, size, n_items = max(64, index.longest), len(index.postings), len(index.ids)
@@ -217,7 +233,7 @@ def _scan(index: Index, docs: list[list[str]], threshold: float, min_overlap: fl
         yield doc, item, score, q, a
 
 
-_OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+_OUT = "item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def contaminated(
@@ -230,6 +246,7 @@ def contaminated(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    id_type: str = "long",
 ) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: each pair of a document row and a test item it holds.
 
@@ -238,40 +255,64 @@ def contaminated(
     weight, and a hit where ``min_overlap`` of the word 5-grams of its question and of
     its answer are found there. Every candidate passage is compared; of those that hit,
     the one with the best overlap, then the best score, is reported. The index is broadcast for at most ``items_at_once``
-    items; more items take further passes over the documents, so its size is bounded.
+    items; more items take further passes over the documents, so its size is bounded, and all passes share the
+    statistics of all items.
 
     Null and empty texts hold nothing; items without a word are never found. A null
-    doc_id is reported as null. Rows that repeat are reported each; items of equal
-    text are each reported. Other columns are ignored; without documents or items the
-    result is empty.
+    doc_id is reported as null; ids are cast to ``id_type``. Rows that repeat are reported each; items of equal
+    text are each reported. Very long texts are read in slices of bounded bytes, a text at least. Other columns are
+    ignored; without documents or items the result is empty.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    n = tests.count()
-    passes = max(1, -(-n // items_at_once))
+    passes = max(1, -(-tests.count() // items_at_once))
+    shared = _shared_statistics(tests) if passes > 1 else None
     out = None
     for k in range(passes):
         part = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        index = build(sorted(((r.i, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), threshold)
-        hits = texts.mapInArrow(_search_batches(spark.sparkContext.broadcast(index), threshold, min_overlap), _OUT)
+        own = sorted(((r.i, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        index = build(own, threshold, stats=shared(part) if shared else None)
+        hits = texts.mapInArrow(_search_batches(spark.sparkContext.broadcast(index), threshold, min_overlap), f"doc_id {id_type}, {_OUT}")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def _shared_statistics(tests: DataFrame):
+    """A function from a part of the items to the statistics of all of them, with the frequencies of the part's terms alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [Counter(words_of(t)) for t in batch.column("t").to_pylist()]
+            rows = [(at, w, sum(c.values())) for at, c in enumerate(bags) for w in c]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            first = [n for _, n in sorted({at: n for at, _, n in rows}.items())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*columns[1], *[None] * len(first)], pa.string()), pa.array([*[None] * len(rows), *first], pa.int64())], names=["term", "size"]
+            )
+
+    words = tests.select("t").mapInArrow(count, "term string, size long")
+    size = words.where("size IS NOT NULL").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("longest")).first()
+    df = base.written(words.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), "leak-terms")
+
+    def of_part(part: DataFrame) -> Statistics:
+        used = part.select("t").mapInArrow(count, "term string, size long").where("term IS NOT NULL").select("term").distinct()
+        return Statistics(size.n, size.mean or 0.0, size.longest or 1, {r.term: r.df for r in df.join(used, "term", "left_semi").collect()})
+
+    return of_part
+
+
 def _search_batches(shipped, threshold: float, min_overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
-        for batch in batches:
-            for start in range(0, batch.num_rows if index.ids else 0, 500):
-                part = batch.slice(start, 500)
-                ids = part.column("doc_id").to_pylist()
-                rows = list(_scan(index, [words_of(t) for t in part.column("text").to_pylist()], threshold, min_overlap))
-                columns = [[ids[r[0]] for r in rows], [index.ids[r[1]] for r in rows], *[[r[c] for r in rows] for c in (2, 3, 4)]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)],
-                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
-                )
+        for part in (part for batch in batches for part in base.slices(batch) if index.ids):
+            rows = list(_scan(index, [words_of(t) for t in part.column("text").to_pylist()], threshold, min_overlap))
+            columns = [[index.ids[r[1]] for r in rows], *[[r[c] for r in rows] for c in (2, 3, 4)]]
+            ids = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [ids, *[pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)]],
+                names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+            )
 
     return base.frugal(run)
 

@@ -107,19 +107,17 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat, sizes = shingler.sets(part.column("text").to_pylist())
-                sig = signatures(flat, sizes, bands * rows)
-                stop = np.cumsum(sizes)
-                keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(stop - sizes, stop, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["doc_id", "row_key", "set_key", "n_grams", "sig"],
-                )
+        for part in (part for batch in batches for part in base.slices(batch)):
+            flat, sizes = shingler.sets(part.column("text").to_pylist())
+            sig = signatures(flat, sizes, bands * rows)
+            stop = np.cumsum(sizes)
+            keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(stop - sizes, stop, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("row_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "row_key", "set_key", "n_grams", "sig"],
+            )
 
-    return docs.mapInArrow(base.frugal(run), "doc_id long, row_key long, set_key binary, n_grams long, sig binary")
+    return docs.mapInArrow(base.frugal(run), "doc_id long, row_key binary, set_key binary, n_grams long, sig binary")
 
 
 # ---- blocks of buckets --------------------------------------------------------------------------------------------
@@ -178,17 +176,19 @@ def _pairs_in(group: pa.Table, bands: int, rows: int) -> tuple[np.ndarray, np.nd
     return i, j, sig
 
 
-def _likely(rows_in: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
-    """Of blocked rows with signatures, those with a pair of their own whose estimated similarity is ``least`` or more."""
+def _paired(rows_in: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Of blocked rows with signatures, those with a pair of their own whose sizes allow the similarity.
+
+    A pair cannot be more alike than the smaller set's share of the larger one, so nothing that verification would accept is lost.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, _GROUP):
             if group.num_rows < 2:
                 continue
-            i, j, sig = _pairs_in(group, bands, rows)
-            if not len(i):
-                continue
-            good = np.concatenate([(sig[i[a : a + 20_000]] == sig[j[a : a + 20_000]]).mean(1) >= least for a in range(0, len(i), 20_000)])
+            i, j, _ = _pairs_in(group, bands, rows)
+            size = group.column("n_grams").to_numpy()
+            good = np.minimum(size[i], size[j]) >= (threshold - 1e-12) * np.maximum(size[i], size[j])
             keep = np.union1d(i[good], j[good])
             if len(keep):
                 yield group.take(pa.array(keep)).combine_chunks().to_batches()[0]
@@ -309,8 +309,9 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
 
 
 def row_key(id_col: str, text_col: str):
-    """A hash that tells rows apart by id and text, where ids may be null or repeat."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.md5(F.col(text_col)), F.crc32(F.col(text_col)))
+    """128 bits that tell rows apart by id and text, where ids may be null or repeat."""
+    known = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("/", known, F.coalesce(F.md5(F.col(text_col)), F.lit("-")))))
 
 
 def similar_documents(
@@ -328,13 +329,12 @@ def similar_documents(
     ``n``-grams (lower-cased word characters) is ``threshold`` or more; ``n_links``
     counts the other documents that a document is linked to, copies included, and
     ``class_id`` is the least doc_id that links lead to, whose document is ``kept``. Band and row counts follow
-    from ``recall`` at the threshold. Pairs are looked at in the first band they share;
-    only nodes with a pair whose signatures agree in ``threshold - 0.15`` of their
-    places (four deviations below the threshold) have their sets fetched. Every such pair is then
-    verified on its full sets.
+    from ``recall`` at the threshold. Pairs are looked at in the first band they share, and every
+    such pair is verified on its full sets, but for those whose sets differ too much in size to
+    be that similar: links are lost by the bands alone.
 
     A null or empty text, or one without a word, has no n-gram: it is alone, with no
-    link. A text of fewer than ``n`` words is one n-gram. Rows with null ids take part;
+    link. A text of fewer than ``n`` words is one n-gram. Very long texts are read in slices of bounded bytes, a text at least. Rows with null ids take part;
     a class of such rows alone has a null class_id. Rows that repeat count as documents
     of their own: one row of each class is kept. Other columns are ignored; an empty table gives an empty one.
     """
@@ -346,7 +346,7 @@ def similar_documents(
     nodes = (
         signed.where("n_grams > 0")
         .groupBy("set_key")
-        .agg(F.count("*").alias("copies"), F.min(_place()).alias("first"), F.min("row_key").alias("row_key"), F.any_value("sig").alias("sig"))
+        .agg(F.count("*").alias("copies"), F.min(_place()).alias("first"), F.min("row_key").alias("row_key"), F.any_value("sig").alias("sig"), F.any_value("n_grams").alias("n_grams"))
     )
     nodes = base.written(nodes.withColumn("sid", F.monotonically_increasing_id()), "ngram-nodes")
 
@@ -356,14 +356,14 @@ def similar_documents(
     rows_of = nodes.select("sid", F.inline(band_keys))
     full = rows_of.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = rows_of.join(full, "bucket")
-    blocked = _blocked(members, block_rows).join(nodes.select("sid", "sig"), "sid")
+    blocked = _blocked(members, block_rows).join(nodes.select("sid", "sig", "n_grams"), "sid")
     dealt = blocked.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "sid")
-    likely = base.written(_likely(dealt, bands, rows, threshold - 0.15), "ngram-likely")
+    paired = base.written(_paired(dealt, bands, rows, threshold).drop("n_grams"), "ngram-paired")
 
-    # the full sets of nodes that still have a pair
-    wanted = likely.select("sid").distinct().join(nodes.select("sid", "row_key", "copies"), "sid")
+    # the full sets of nodes that have a pair
+    wanted = paired.select("sid").distinct().join(nodes.select("sid", "row_key", "copies"), "sid")
     grams = _grams_of(keyed, wanted, n)
-    with_sets = likely.join(grams, "sid").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "sid")
+    with_sets = paired.join(grams, "sid").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "sid")
     found = base.written(_verified(with_sets, bands, rows, threshold), "ngram-links")
 
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
@@ -394,13 +394,11 @@ def _grams_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat, sizes = shingler.sets(part.column("text").to_pylist())
-                stop = np.cumsum(sizes)
-                grams = pa.array([flat[a:b].tobytes() for a, b in zip(stop - sizes, stop, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), grams], names=["sid", "copies", "grams"])
+        for part in (part for batch in batches for part in base.slices(batch)):
+            flat, sizes = shingler.sets(part.column("text").to_pylist())
+            stop = np.cumsum(sizes)
+            grams = pa.array([flat[a:b].tobytes() for a, b in zip(stop - sizes, stop, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("sid"), part.column("copies"), grams], names=["sid", "copies", "grams"])
 
     rows = keyed.select("row_key", "text").join(wanted, "row_key").groupBy("sid", "copies").agg(F.any_value("text").alias("text"))
     return rows.mapInArrow(base.frugal(run), "sid long, copies long, grams binary")

@@ -78,3 +78,22 @@ def test_odd_rows(spark, as_docs):
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(d, i): n for d, n in ((None, 1), (4, 2), (5, 1)) for i in (3, 4)})
     assert dc.contaminated(as_docs([]), tests).collect() == []
     assert dc.contaminated(as_docs(ODD), tests.limit(0)).collect() == []
+
+
+def test_scores_do_not_depend_on_the_number_of_passes(spark, as_docs):
+    rng = random.Random(12)
+    items = [(i, make(rng, rng.randint(5, 50))) for i in range(30)]
+    docs = as_docs([(d, " ".join([make(rng, 60), rng.choice(items)[1], make(rng, 60)]), None, None) for d in range(40)])
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda n: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in dc.contaminated(docs, tests, items_at_once=n).collect())
+    assert rows(4) == rows(100) and len(rows(100)) >= 40
+
+
+def test_long_texts_and_the_contract_query(spark, as_docs, saved):
+    rng = random.Random(3)
+    item = make(rng, 30)
+    long = "filler words " * 800_000 + item
+    sf = saved(documents=as_docs([(1, long, None, None), (2, long, None, None), (3, "x", None, None)]), benchmark=spark.createDataFrame([(5, item)], "item_id long, text string"))
+    got = dc.op7_decontamination(spark, sf)
+    assert got.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 5), (2, 5)]

@@ -101,3 +101,32 @@ def test_components(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r.node: r.root for r in nj.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_recall_of_links_on_a_skewed_corpus(as_docs):
+    """Every banded pair is verified, so what is lost is lost by the bands: one in 10,000 at the threshold, less above it."""
+    rng = random.Random(23)
+    words, rows = 90, []
+    hot = [f"h{i}" for i in range(words)]
+    for i in range(260):  # a third of the rows around one text, most pairs near the threshold
+        text = list(hot)
+        for _ in range(rng.choice([0, 1, 1, 1])):
+            text[rng.randrange(words)] = f"y{rng.randrange(40)}"
+        rows.append((i, " ".join(text), None, None))
+    rows += [(1000 + i, t, None, None) for i, (_, t, *_) in enumerate(corpus(rng, 90, 12))]
+    sets = [grams(t) for _, t, *_ in rows]
+    want = Counter()
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.update((rows[i][0], rows[j][0]))
+    got = {r.doc_id: r.n_links for r in nj.similar_documents(as_docs(rows), block_rows=64).collect()}
+    total = sum(want.values())
+    assert total > 20_000 and all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9999 * total
+
+
+def test_long_texts_and_the_contract_query(spark, as_docs, saved):
+    long = " ".join(f"w{i}" for i in range(600_000))
+    rows = [(1, long, None, None), (2, long + " more", None, None), (3, long.upper(), None, None), (4, "a b c", None, None)]
+    got = nj.op8_ngram_join(spark, saved(documents=as_docs(rows))).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2, 599_996), (2, 1, 2, 599_997), (3, 1, 2, 599_996), (4, 4, 0, 1)]
