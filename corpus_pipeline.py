@@ -47,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     keyed = docs.select(ngram_join.row_key("doc_id", "text").alias("row_key"), "text")
-    hits = decontaminate.contaminated(keyed, base.table(spark, sf_dir, "benchmark"), id_col="row_key")
+    hits = decontaminate.contaminated(keyed, base.table(spark, sf_dir, "benchmark"), id_col="row_key", id_type="binary")
     return _without(docs, hits.select(F.col("doc_id").alias("row_key")), "leaks-dropped")
 
 
