@@ -271,8 +271,8 @@ def write_store(
         if own_ids:
             yield flush()
 
-    # ranges of about _RANGE_BYTES of ids, whatever the session's number of shuffle partitions
-    parts = max(1, -(-(tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // _RANGE_BYTES))
+    # ranges of about _RANGE_BYTES of ids (one a core at least), whatever the session's number of shuffle partitions
+    parts = max(spark.sparkContext.defaultParallelism, -(-(tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // _RANGE_BYTES))
     ordered = tokens.repartitionByRange(parts, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(base.frugal(pack), _BLOCK_DDL).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(END_ID if not order else int(i), k) for k, i in enumerate(order or [END_ID])], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
