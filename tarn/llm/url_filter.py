@@ -20,15 +20,15 @@ ALLOW, BLOCK = "allow", "block"
 #: Contract rules: (host, path) to verdict.
 RULES = {("org", "/"): ALLOW, ("example.org", "/es/"): BLOCK, ("example.org", "/en/1"): BLOCK, ("com", "/fr/"): ALLOW, ("com", "/de/"): BLOCK}
 
-#: Seeds for the labels of the training sample: a URL with one of these words in host or path is unwanted.
+#: Words that hardly stand in pages one wants. Pages full of them are unwanted, and examples of unwanted URLs are made with them.
 SEED_WORDS = frozenset(
-    "adult ads adserver bet bets betting bingo casino cheap cialis clickbait escort farm gambling hookup jackpot loan loans "
-    "lottery malware payday phishing pills poker porn replica roulette sex slots spam torrent track tracker tracking "
-    "viagra warez win winner xxx".split()
+    "adserver betting bingo casino cialis clickbait escort gambling hookup jackpot malware payday phishing pills poker porn roulette viagra warez xxx".split()
 )
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W\d_]+|\d+")
+_LINK = re.compile(r"<a\b[^>]*>(.*?)</a>", re.S | re.I)
+_SHOUT = re.compile(r"[!%*#$&]{2}|\b[^\W\d_a-zß-öø-ÿ]{4,}\b")
 _MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S | re.I)
 
 
@@ -97,7 +97,7 @@ def segmenter(counts: dict[str, int], total: int) -> Segmenter:
 def word_shares(pages: DataFrame, html_col: str, least_share: float) -> tuple[dict[str, int], int]:
     """Counts of the words whose share of all words in all pages is ``least_share`` or more, and the number of all words.
 
-    The share bounds the table (at most ``1 / least_share`` words) at any input size.
+    The share bounds the table (at most ``1 / least_share`` words) at any input size; rarer words are unknown to the segmenter.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,6 +116,29 @@ def word_shares(pages: DataFrame, html_col: str, least_share: float) -> tuple[di
     return {r.word: r.n for r in rows}, total
 
 
+# ---- labels from pages --------------------------------------------------------------------------------------------
+
+
+def unwanted_page(html: str | None, seeds: frozenset[str] = SEED_WORDS, seed_share: float = 0.02, shout_share: float = 0.3, link_share: float = 0.7) -> bool | None:
+    """A weak label from what a page shows, never from its URL; None where it shows no word.
+
+    Unwanted are pages with ``seed_share`` of their words among ``seeds``, with ``shout_share`` of
+    them in capitals or with runs of marks, or with ``link_share`` of them in links.
+    """
+    if not html:
+        return None
+    shown = _MARKUP.sub(" ", html)
+    pieces, words = shown.split(), _LETTERS.findall(shown.lower())
+    if not words:
+        return None
+    linked = sum(len(_LETTERS.findall(_MARKUP.sub(" ", m.group(1)))) for m in _LINK.finditer(html))
+    return (
+        sum(w in seeds for w in words) >= seed_share * len(words)
+        or sum(_SHOUT.search(p) is not None for p in pieces) >= shout_share * len(pieces)
+        or linked >= link_share * len(words)
+    )
+
+
 # ---- classification -----------------------------------------------------------------------------------------------
 
 
@@ -132,14 +155,13 @@ def url_tokens(host: str, path: str, split: Segmenter) -> list[str]:
 
 @dataclass
 class NaiveBayes:
-    """Multinomial: log odds of ``block`` by token, with add-one smoothing, and of the prior."""
+    """Multinomial: log odds of ``block`` by token, and of the prior. A token outside the vocabulary says nothing."""
 
     prior: float
     odds: dict[str, float]
-    unseen: float
 
     def score(self, tokens: list[str]) -> float:
-        x = self.prior + sum(self.odds.get(t, self.unseen) for t in tokens)
+        x = self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
@@ -150,15 +172,20 @@ def train(rows: list[tuple[list[str], bool]], smooth: float = 0.2) -> NaiveBayes
     for tokens, label in rows:
         counts[label].update(tokens)
     vocabulary = counts[True].keys() | counts[False].keys()
-    mass = {c: sum(counts[c].values()) + smooth * (len(vocabulary) + 1) for c in counts}
+    mass = {c: sum(counts[c].values()) + smooth * len(vocabulary) for c in counts}
     logp = lambda t, c: math.log(counts[c][t] + smooth) - math.log(mass[c])
     return NaiveBayes(
         prior=math.log(docs[True] + 1) - math.log(docs[False] + 1),
         odds={t: logp(t, True) - logp(t, False) for t in vocabulary},
-        unseen=math.log(mass[False]) - math.log(mass[True]),
     )
 
 
+def seed_examples(seeds: frozenset[str], urls: list[list[str]]) -> list[tuple[list[str], bool]]:
+    """An unwanted URL for each seed: a sampled URL with the seed put into host and path, so that only the seed stands out."""
+    shape = lambda k: urls[k * len(urls) // len(seeds)] if urls else []
+    return [([f"h:{s}", f"p:{s}", *shape(k)], True) for k, s in enumerate(sorted(seeds))]
+
+
 def judge(
     pages: DataFrame,
     rules: dict[tuple[str, str], str] = RULES,
@@ -172,9 +199,10 @@ def judge(
     """``page_id, host, path, rule, verdict, score`` of every row.
 
     Word costs come from the words of all pages, to which ``seeds`` are added. The
-    classifier is fitted on about ``max_train`` URLs chosen by a hash of the URL, which
-    ``seeds`` label after segmentation; each seed also gives one example, so that an
-    unseen one is known. Where a rule fits it decides; else a score of 0.5 or more
+    classifier is fitted on about ``max_train`` URLs chosen by a hash of the URL; their labels come
+    from what their pages show (``unwanted_page``; of several pages of a URL the greater part
+    decides), and pages without a word give none; only where a seed is a word of the URL, it is unwanted
+    whatever its page shows. Each seed also gives one example (``seed_examples``). Tokens that the sample lacks say nothing. Where a rule fits it decides; else a score of 0.5 or more
     blocks. ``score`` is null where a rule decides.
 
     A null URL, or one without ``://``, has empty host and path, and is allowed (score
@@ -189,17 +217,23 @@ def judge(
     split = segmenter(counts, max(total, 2 * sum(counts.values())))
 
     host, path = host_and_path(F.col("__url"))
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"))
+    own = own.select("page_id", host.alias("host"), path.alias("path"), "html")
+    urls = own.select("page_id", "host", "path")
     n = pages.select(url_col).count()
     buckets = 1 << 20
     limit = math.ceil(min(1.0, max_train / max(1, n)) * buckets)
-    # distinct URLs: a host with a third of all rows is no third of the sample
-    sample = urls.where((F.col("host") != "") & (F.pmod(F.xxhash64("host", "path"), F.lit(buckets)) < limit)).select("host", "path").distinct().collect()
-    rows = []
-    for r in sample:
-        tokens = url_tokens(r.host, r.path, split)
-        rows.append((tokens, any(t[0] in "hp" and t[2:] in seeds for t in tokens)))
-    rows += [([f"h:{s}", f"p:{s}"], True) for s in sorted(seeds)]
+
+    @F.pandas_udf("boolean")
+    def unwanted(html: pd.Series) -> pd.Series:
+        return pd.Series([unwanted_page(h, seeds) for h in html], dtype=object)
+
+    # one example a URL: a host with a third of all rows is no third of the sample
+    picked = own.where((F.col("host") != "") & (F.pmod(F.xxhash64("host", "path"), F.lit(buckets)) < limit))
+    picked = picked.select("host", "path", unwanted("html").cast("double").alias("y")).groupBy("host", "path").agg(F.avg("y").alias("y")).where("y IS NOT NULL")
+    known = [(url_tokens(r.host, r.path, split), r.y >= 0.5) for r in sorted(picked.collect())]
+    rows = [(tokens, y or any(t[0] in "hp" and t[2:] in seeds for t in tokens)) for tokens, y in known]
+    rows += seed_examples(seeds, [tokens for tokens, _ in rows])
     shipped = spark.sparkContext.broadcast((split, train(rows)))
 
     @F.pandas_udf("double")

@@ -1,3 +1,5 @@
+import math
+import random
 from itertools import product
 
 import pytest
@@ -62,3 +64,62 @@ def _cuts(n):
 
 def test_empty_table(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_unseen_tokens_say_nothing():
+    """Ordinary hosts that no sample held are allowed, however few URLs are unwanted."""
+    split = uf.segmenter({w: 100 for w in "museum of modern art nature articles wiki cat cheese monger about farm track cheap slots visit edu".split()}, 10_000)
+    rows = [(uf.url_tokens(f"www.site{k % 40}.example.com", f"/en/{k}", split), k % 20 == 0) for k in range(2000)]
+    model = uf.train(rows + [([f"h:{s}", f"p:{s}"], True) for s in sorted(uf.SEED_WORDS)])
+    for host, path in (("museumofmodernart.edu", "/visit"), ("nature.com", "/articles/1"), ("en.wikipedia.net", "/wiki/Cat"), ("cheesemonger.co.uk", "/about"), ("cheapfarmtrack.org", "/slots")):
+        assert model.score(uf.url_tokens(host, path, split)) < 0.5
+    assert model.score(["h:never", "p:seen"]) == pytest.approx(1 / (1 + math.exp(-model.prior)))
+
+
+def test_naive_bayes_equals_brute_force():
+    rng = random.Random(4)
+    rows = [([f"t{rng.randrange(12)}" for _ in range(rng.randint(1, 8))], rng.random() < 0.3) for _ in range(200)]
+    model, smooth = uf.train(rows), 0.2
+    vocabulary = {t for ts, _ in rows for t in ts}
+
+    def probability(tokens, label):
+        all_tokens = [t for ts, y in rows if y == label for t in ts]
+        p = (sum(y == label for _, y in rows) + 1) / (len(rows) + 2)
+        for t in tokens:
+            if t in vocabulary:
+                p *= (all_tokens.count(t) + smooth) / (len(all_tokens) + smooth * len(vocabulary))
+        return p
+
+    for tokens, _ in rows[:60] + [(["t1", "unknown"], True), ([], True)]:
+        yes, no = probability(tokens, True), probability(tokens, False)
+        assert model.score(tokens) == pytest.approx(yes / (yes + no))
+
+
+def test_labels_come_from_what_pages_show():
+    good = "<html><head><style>p{}</style></head><body><p>A page about art with many ordinary words in it.</p><a href='/x'>more</a></body></html>"
+    assert uf.unwanted_page(good) is False and uf.unwanted_page(None) is None and uf.unwanted_page("<p></p>") is None
+    assert uf.unwanted_page("<p>casino poker roulette for you</p>") and uf.unwanted_page("<p>BUY!! NOW!! best### thing</p>")
+    assert uf.unwanted_page("<a href='/a'>one two three</a><a href='/b'>four five</a> six")
+
+
+def test_held_out_hosts(spark):
+    """Hosts of words that go with unwanted pages are blocked though no sample held them; the others are allowed."""
+    rng = random.Random(7)
+    bad, fine = "zorb quim flax drub".split(), "lake hill barn moss".split()
+    rows, truth = [], {}
+    for k in range(1200):
+        names = rng.sample(bad if k % 4 == 0 else fine, 2)
+        host = "".join(names) + f".site{k % 50}.example.net"
+        text = "WIN!! NOW!! BIG!! prize!!" if k % 4 == 0 else "an ordinary page on " + " ".join(rng.sample(bad + fine, 5))
+        rows.append((k, f"http://{host}/en/{k}", f"<p>{text} {' '.join(names)}</p>" if k < 1000 else None))
+        truth[k] = "block" if k % 4 == 0 else "allow"
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    held = [k for k in range(1000, 1200) if got[k].rule is None]
+    assert sum(got[k].verdict == truth[k] for k in held) >= 0.97 * len(held)
+
+
+def test_the_contract_query(spark, saved):
+    pages = spark.createDataFrame([(k, u, "<p>the thing</p>") for k, u in enumerate(URLS)], "page_id long, url string, html string")
+    got = uf.op5_url_filter(spark, saved(pages=pages))
+    assert got.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    assert {(r.page_id, r.host, r.path, r.rule) for r in got.collect()} == {(k, *brute(u)) for k, u in enumerate(URLS)}
