@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,45 +18,87 @@ from pyspark.sql import functions as F
 from tarn.llm import base
 
 #: Kinds in the order that sorts spans of one start.
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret", "address")
 BASE_KINDS = KINDS[:4]
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _HOST = r"[A-Za-z0-9-]"
+_LABEL = r"(?i:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|credential)s?"
+_STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Square|Sq|Terrace|Way"
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A regex labeler. A text with a match holds one of ``needs`` (where there are any) and matches ``gate``: others are not searched."""
+
+    kind: str
+    regex: str
+    needs: tuple[str, ...] = ()
+    gate: str | None = None
+
+
 # Possessive loops keep the engine's stack flat and its time linear on long runs. Where a run cannot start a match at its
 # first character it cannot at a later one either, so only run starts and the end of the previous match are tried.
-#: (kind, pattern, substring that any match contains or None)
 PATTERNS = (
-    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++", "@"),
-    ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", None),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    # loose forms: candidates for the classifier only
-    ("email", rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[]at[)\]] ?{_HOST}++(?: ?(?:[(\[]dot[)\]]|\.) ?{_HOST}++)++", "at"),
-    ("phone", r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", None),
-    ("name", r"\b(?:Mrs?|Ms|Dr|Prof)\b\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", None),
-)
+    Pattern("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++", ("@",)),
+    Pattern("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", gate=r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+    # matches of fewer than 14 digits are neither spans nor candidates
+    Pattern("card", r"[0-9](?:[\x20-]?[0-9])++", gate=r"[0-9](?:[\x20-]?[0-9]){13}"),
+    Pattern("phone", r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
+    # candidates for the classifier only
+    Pattern("email", rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[]at[)\]] ?{_HOST}++(?: ?(?:[(\[]dot[)\]]|\.) ?{_HOST}++)++", ("(at)", "[at]", "(at]", "[at)")),
+    Pattern("phone", r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", gate=r"[0-9]{3}[ .-][0-9]{4}"),
+    Pattern("name", r"\b(?:Mrs?|Ms|Dr|Prof)\b\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", ("Mr", "Ms", "Dr", "Prof")),
+    Pattern(
+        "secret", rf"(?<=\b{_LABEL}[\x22']?\s{{0,2}}[:=]\s{{0,2}}[\x22']?)(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{8,}}+",
+        ("oken", "ecret", "assw", "redential", "OKEN", "ECRET", "ASSW", "REDENTIAL", "key", "Key", "KEY"), "[:=]",
+    ),
+    Pattern("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])", ("AKIA", "gh", "sk-", "xox")),
+    Pattern("address", rf"(?<![0-9])[0-9]{{1,5}} (?:[A-Z][a-z]+ ){{1,3}}(?:{_STREET})\b", gate=r"[0-9] [A-Z][a-z]"),
+)
 _N_BASE = len(BASE_KINDS)
+_UNSURE = (6, 7)  # patterns that only name a candidate
 _CONTEXT = 28  # characters before a span that the context labeler sees
 
-# Gazetteers and cues of the labelers.
-_TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at", "be", "ca", "us")
-_DIAL = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "91")
-_FIRST_NAMES = ("anna", "david", "emma", "james", "jean", "john", "juan", "karl", "laura", "maria", "mark", "mary", "michael", "paul", "peter", "robert", "sarah", "thomas")
-_ISSUER = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30[0-5])"
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists and rules of the gazetteer labelers."""
+
+    #: Any country code of two letters, and these.
+    domains: tuple[str, ...] = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "online", "site", "shop", "cloud", "tech", "blog", "eu")
+    #: Country calling codes by the zones of the numbering plan.
+    dialling: str = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9])"
+    issuers: str = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30[0-5])"
+    streets: tuple[str, ...] = ("street", "avenue", "road", "lane", "boulevard", "drive", "square", "terrace", "court")
+    first_names: tuple[str, ...] = tuple(
+        "adam ahmed alan albert alex alice amy ana andrea andrew angela ann anna anne anthony antonio barbara ben benjamin bernard bob brian carl carlos "
+        "carmen carol catherine charles charlotte chris christian christine claire clara claudia daniel david deborah diana donald dorothy edward elena "
+        "elisabeth elizabeth ellen emily emma eric ernst eva fatima felix francis francisco frank fred friedrich george gerald grace hannah hans harry "
+        "helen helga henry hugo ines ingrid isabel ivan jack jacob james jan jane janet jason javier jean jennifer jessica jim joan joe john jonathan "
+        "jorge jose joseph juan judith julia julie karen karl katharina kate kevin klaus larry laura lee leo linda lisa louis louise lucas lucia luis "
+        "manuel marc marcel margaret maria marie mark marta martin mary matthew max michael miguel mohammed monica nancy nicholas nicole nina olga oliver "
+        "oscar otto pablo patricia patrick paul pedro peter philip pierre rachel ralf ramon raymond rebecca richard robert roger rosa ruth samuel sandra "
+        "sara sarah scott sofia sophie stephen steven susan sylvia teresa thomas tim ursula victor vincent walter werner william yusuf yves".split()
+    )
+
+
 _CUES = {
     "email": r"\b(e-?mail|mail|contact|write|reach)\b",
     "ip": r"\b(ip|host|server|address|from|login)\b",
     "card": r"\b(card|visa|mastercard|amex|credit|debit|payment)\b",
     "phone": r"\b(call|phone|tel|telephone|mobile|cell|fax|contact|dial)\b",
     "name": r"\b(name|dear|signed|patient|by|from|contact)\b",
+    "secret": r"(token|secret|passw|key|credential|bearer|auth)",
+    "address": r"\b(live|lives|living|address|at|home|located|ship|visit|office)\b",
 }
 _ANTI_CUES = r"\b(version|ver|order|isbn|issn|build|release|serial|ticket|invoice|section|chapter|doi)\W*$"
 
 
 def _hits(text: Column, number: int) -> Column:
     """All matches of a pattern: ``array<struct<pat, i, gap, m, before>>``; ``gap`` is the length of the text since the last one."""
-    _, pattern, needs = PATTERNS[number]
+    own = PATTERNS[number]
+    pattern = own.regex
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
     found = F.transform(
         zipped,
@@ -68,7 +111,9 @@ def _hits(text: Column, number: int) -> Column:
         ),
     )
     found = F.filter(found, lambda h: h["m"].isNotNull())
-    return F.when(F.instr(text, needs) > 0, found) if needs else found
+    worth = [reduce(lambda a, b: a | b, [text.contains(n) for n in own.needs])] if own.needs else []
+    worth += [text.rlike(own.gate)] if own.gate else []
+    return F.when(reduce(lambda a, b: a & b, worth), found)
 
 
 def _digits(match: Column) -> Column:
@@ -105,11 +150,11 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _HITS = "array<struct<pat: int, i: int, gap: int, m: string, before: string>>"
 
 
-def _located(found: DataFrame) -> DataFrame:
+def _located(found: DataFrame, lists: Gazetteers) -> DataFrame:
     """A row for each base span or candidate: its place in code points, its votes and features."""
     rows = found.where(F.size("hits") > 0).select("rid", F.inline("hits"))
     rows = rows.selectExpr("*", "sum(gap + length(m)) OVER (PARTITION BY rid, pat ORDER BY i) AS stop")
-    kind = F.element_at(F.array(*[F.lit(k) for k, _, _ in PATTERNS]), F.col("pat") + 1)
+    kind = F.element_at(F.array(*[F.lit(p.kind) for p in PATTERNS]), F.col("pat") + 1)
     rows = rows.select(
         "rid", "pat", kind.alias("kind"), (F.col("stop") - F.length("m")).cast("long").alias("start"), F.col("stop").cast("long").alias("stop"),
         "m", "before", _passes(F.col("pat"), F.col("m")).alias("is_base"),
@@ -121,13 +166,16 @@ def _located(found: DataFrame) -> DataFrame:
     last = F.regexp_extract(lower, r"([a-z0-9-]+)$", 1)
     by_kind = lambda **v: F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in v.items()])
     sign = lambda yes, no=0: F.when(yes, F.lit(1)).otherwise(F.lit(no))
-    regex = F.when(F.col("is_base"), 1).when(F.col("kind") == "card", -1).when(F.col("kind") == "name", 0).otherwise(1)
+    regex = F.when(F.col("is_base"), 1).when(F.col("kind") == "card", -1).when(F.col("pat").isin(*_UNSURE), 0).otherwise(1)
     gazetteer = by_kind(
-        email=sign(last.isin(*_TLDS)),
+        email=sign(last.isin(*lists.domains) | last.rlike("^[a-z]{2}$")),
         ip=sign(~F.col("m").rlike(r"^0*(0|22[4-9]|2[345][0-9])\."), -1),
-        card=sign(digits.rlike(_ISSUER), -1),
-        phone=sign(F.regexp_extract("m", r"^\+([0-9]+)", 1).isin(*_DIAL)),
-        name=sign(F.regexp_extract(lower, r"^\w+\.? (\w+)", 1).isin(*_FIRST_NAMES)),
+        card=sign(digits.rlike(lists.issuers), -1),
+        phone=sign(F.col("m").rlike(lists.dialling)),
+        name=sign(F.regexp_extract(lower, r"^\w+\.? (\w+)", 1).isin(*lists.first_names)),
+        # a key of known form; else a value with letters and digits, which is no word
+        secret=sign(~F.col("pat").isin(*_UNSURE) | (F.length(digits) >= 4) & (F.length(F.regexp_replace("m", "[^A-Za-z]", "")) >= 4), -1),
+        address=sign(last.isin(*lists.streets)),
     )
     cue = by_kind(**{k: F.col("before").rlike(p) for k, p in _CUES.items()})
     context = F.when(F.col("before").rlike(_ANTI_CUES), -1).when(cue, 1).otherwise(0)
@@ -201,7 +249,7 @@ def train_span_classifier(rows: list[dict], model: Reliability, smooth: float =
     return out
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, lists: Gazetteers = Gazetteers()) -> DataFrame:
     """One row per input row: ``doc_id, base, spans``, arrays of ``struct<start, kind_no, stop>`` in code points, sorted.
 
     ``base`` holds what the base patterns find; ``spans`` adds the candidates whose
@@ -210,13 +258,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     documents; their number is bounded by the label and feature sets, not by the
     input. Arrays belong to one document each.
 
-    A null text is empty; empty texts give empty arrays. Null and repeated ids stay
+    Kinds beyond the base ones are names after titles, secrets (values after a label such as
+    "token =", and keys of known form) and street addresses.
+
+    A null text is empty; empty texts give empty arrays. Texts are read whole, however long. Null and repeated ids stay
     apart, since rows are told apart by their place in the written table. Other
     columns are ignored, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     found = found_spans(docs, id_col, text_col)
-    spans = base.written(_located(found), "pii-spans")
+    spans = base.written(_located(found, lists), "pii-spans")
     counts = [r.asDict() for r in spans.groupBy(*_FEATURES).agg(F.count("*").alias("n")).collect()]
     patterns: dict = {}
     for r in counts:
@@ -248,8 +299,8 @@ def spans_text(spans: Column) -> Column:
 
 
 def op1_pii(spark, sf_dir):
-    """Contract query over whole texts of ``documents``."""
+    """Contract query over whole texts of ``documents``; ``n_spans`` counts all spans, added ones too."""
     found = detect(base.table(spark, sf_dir, "documents"))
     of_kind = lambda number: lambda s: s["kind_no"] == number  # noqa: E731  (a second parameter would be the index)
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS, 1)]
-    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
