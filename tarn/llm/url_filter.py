@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,16 +101,16 @@ def word_shares(pages: DataFrame, html_col: str, least_share: float) -> tuple[di
     The share bounds the table (at most ``1 / least_share`` words) at any input size; rarer words are unknown to the segmenter.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One row for each word of a batch; batches are bounded, so is the dictionary
-        for batch in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One row for each word of a slice; slices are bounded, so is the dictionary
+        for part in (part for batch in batches for part in base.slices(batch, "html")):
             found: Counter = Counter()
-            for html in batch["html"]:
+            for html in part.column("html").to_pylist():
                 if html:
                     found.update(_LETTERS.findall(_MARKUP.sub(" ", html).lower()))
-            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
-    words = pages.select(F.col(html_col).alias("html")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = pages.select(F.col(html_col).alias("html")).mapInArrow(base.frugal(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = base.written(words, "page-words")
     total = words.agg(F.sum("n")).first()[0] or 0
     rows = words.where(F.col("n") >= F.lit(least_share) * total).where(F.length("word") > 1).collect()
