@@ -42,7 +42,7 @@ class Model:
     #: Pieces of more characters are not kept.
     LONGEST = 64
 
-    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: dict[int, tuple[list[str], np.ndarray]], cache: int = 400_000):
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: dict[int, tuple[list[str], np.ndarray]], cache: int = 600_000):
         self.langs, self.cache = langs, cache
         self.words = dict(zip(words[0], range(1, len(words[0]) + 1), strict=True))
         tables, at = [np.zeros((1, len(langs))), words[1]], len(words[0]) + 1
@@ -59,21 +59,32 @@ class Model:
         self.pieces = {"": 0}
         self.scored = np.zeros((1, len(self.langs) + 1))  # of pieces: a column for each language, and the number of words
 
-    def backoff(self, word: str) -> np.ndarray:
-        """The mean over the word's longest n-grams that are known at all."""
-        for n, table in self.grams.items():
-            if known := [table[g] for g in grams_of(word, n) if g in table]:
-                return self.rows[known].mean(0)
-        return self.rows[0]
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean over its longest n-grams that are known at all."""
+        if not words:
+            return self.rows[:0]
+        flat: list[int] = []
+        sizes = []
+        for word in words:
+            known = [0]
+            for n, table in self.grams.items():
+                padded = f"<{word}>" if n > 1 else word
+                if found := [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]:
+                    known = found
+                    break
+            flat += known
+            sizes.append(len(known))
+        size = np.array(sizes, np.int64)
+        return np.add.reduceat(self.rows[np.array(flat, np.int64)], np.cumsum(size) - size) / size[:, None]
 
     def sums(self, pieces: list[str]) -> np.ndarray:
         """A row for each piece: summed log frequencies of its words, and their number."""
         lists = [words_of(p) for p in pieces]
         size = np.array([len(x) for x in lists], np.int64)
         flat = [w for x in lists for w in x]
-        unseen = dict.fromkeys(w for w in flat if w not in self.words)
+        unseen = [*dict.fromkeys(w for w in flat if w not in self.words)]
         place = dict(zip(unseen, range(len(self.rows), len(self.rows) + len(unseen)), strict=True))
-        rows = np.concatenate([self.rows, [self.backoff(w) for w in unseen]]) if unseen else self.rows
+        rows = np.concatenate([self.rows, self.backoff(unseen)])
         at = np.fromiter((self.words.get(w) or place[w] for w in flat), np.int64, len(flat))
         own = np.repeat(np.arange(len(pieces)), size)
         each = [np.bincount(own, weights=rows[at, k], minlength=len(pieces)) for k in range(rows.shape[1])]
