@@ -35,19 +35,19 @@ def bm25_weight(tf: Column, length: Column, average: Column, k1: float, b: float
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def _of_terms(posts: DataFrame, queries: DataFrame) -> DataFrame:
+def of_terms(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """Postings of the terms in use. The semi-join moves below the postings' own aggregate, so that other terms are never shuffled."""
     return posts.join(queries.select("term").distinct(), "term", "left_semi")
 
 
 def matched(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """Postings of the terms of ``query_id, term`` rows: an equi-join, so many queries share one pass."""
-    return _of_terms(posts, queries).join(queries.select("query_id", "term").distinct(), "term")
+    return of_terms(posts, queries).join(queries.select("query_id", "term").distinct(), "term")
 
 
 def document_frequency(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """``field, term, df`` of the terms that queries use, counted over all postings."""
-    return _of_terms(posts, queries).groupBy("field", "term").agg(F.count("*").alias("df"))
+    return of_terms(posts, queries).groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -58,6 +58,14 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2
     return rows.groupBy("query_id", "id").agg(F.sum(weight).alias("score"), F.countDistinct("term").alias("n_terms"))
 
 
+def weak_and_top(posts: DataFrame, stats: DataFrame, queries: DataFrame, target_hits: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """of the documents with any query term the ``target_hits`` best of each query, with their rounded scores; ties go by id."""
+    from tarn.operators.ranking import places
+
+    scored = bm25(posts, stats, queries, k1, b).withColumn("score", F.round("score", digits))
+    return places(scored, "score", "id", "place", "query_id").where(F.col("place") <= target_hits)
+
+
 def bm25f(posts: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, most_terms: int = 8) -> DataFrame:
     """``sum idf wtf / (k1 + wtf)`` with ``wtf`` the weighted, length-normalised frequency over fields.
 

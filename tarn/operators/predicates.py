@@ -90,6 +90,21 @@ def equivalent(field: str, words) -> Node:
     return Node("equiv", field, tuple(words))
 
 
+def nearest_to(field: str, query, k: int, distance: str = "euclidean") -> Node:
+    """The ``k`` rows nearest to a vector, as a predicate that joins with others; needs :func:`searched`."""
+    return Node("nearest", field, (tuple(float(x) for x in query), k, distance))
+
+
+def element_phrase(field: str, words: str, gap: int | None = None) -> Node:
+    """a phrase within one text of an array field; with a ``gap`` it may go on in the next text, whose first word is that many places on."""
+    return Node("element_phrase", field, (words, gap))
+
+
+def stored_expression(field: str, attributes: dict[str, object]) -> Node:
+    """as ``stored_predicate`` for expressions of :func:`with_expressions`, with ``or``, ``not in`` and parentheses."""
+    return Node("expression", field, stored_predicate(field, attributes).args)
+
+
 def weak_and(field: str, words: str) -> Node:
     """any of the analysed words; ranking decides the rest."""
     return Node("any", field, (words,))
@@ -144,8 +159,8 @@ def compiled(node: Node, fields: Fields = Fields()) -> Column:
     if op in ("and", "or"):
         parts = [compiled(a, fields) for a in args]
         return reduce((lambda a, b: a & b) if op == "and" else (lambda a, b: a | b), parts)
-    if op == "not":
-        return ~compiled(args[0], fields)
+    if op == "not":  # a document without the field is no match of what is negated
+        return ~F.coalesce(compiled(args[0], fields), F.lit(False))
     if op in ("true", "false"):
         return F.lit(op == "true")
     if name in fields.sets:
@@ -172,6 +187,14 @@ def compiled(node: Node, fields: Fields = Fields()) -> Column:
         return F.size(F.array_except(F.array(*[F.lit(g) for g in own]), tx.character_grams(F.lower(column), n))) == 0
     if op == "stored":
         return _stored(column, dict(args[0]))
+    if op == "expression":
+        return column.isNotNull() & F.exists(column, lambda both: F.forall(both, lambda c: F.when(c["negated"], ~_clause_holds(c, dict(args[0]))).otherwise(_clause_holds(c, dict(args[0])))))
+    if op == "nearest":
+        raise ValueError("nearest_to needs searched()")
+    if op == "flag":
+        return F.coalesce(column, F.lit(False))
+    if op == "element_phrase":
+        return _element_phrase(column, *args)
     if name not in fields.text:
         if op in ("term", "phrase"):
             return F.array_contains(column, args[0]) if name in fields.arrays else column == F.lit(args[0])
@@ -225,22 +248,138 @@ def with_clauses(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, parse(F.col(column)))
 
 
-def _stored(clauses: Column, attributes: dict[str, tuple]) -> Column:
+def _clause_holds(c: Column, attributes: dict[str, tuple]) -> Column:
+    """Whether one of the attributes' values is in the clause's list or range; false without the attribute."""
     texts = {k: [v for v in vs if isinstance(v, str)] for k, vs in attributes.items()}
     numbers = {k: [float(v) for v in vs if not isinstance(v, str)] for k, vs in attributes.items()}
 
-    def holds(c: Column) -> Column:
-        any_of = F.lit(False)
-        for k, vs in texts.items():
-            if vs:
-                any_of = any_of | ((c["attribute"] == k) & F.arrays_overlap(c["values"], F.array(*[F.lit(v) for v in vs])))
-        for k, vs in numbers.items():
-            for v in vs:
-                inside = F.coalesce(c["low"] <= v, F.lit(True)) & F.coalesce(c["high"] >= v, F.lit(True))
-                any_of = any_of | ((c["attribute"] == k) & c["values"].isNull() & inside)
-        return F.coalesce(any_of, F.lit(False))
+    any_of = F.lit(False)
+    for k, vs in texts.items():
+        if vs:
+            any_of = any_of | ((c["attribute"] == k) & F.arrays_overlap(c["values"], F.array(*[F.lit(v) for v in vs])))
+    for k, vs in numbers.items():
+        for v in vs:
+            inside = F.coalesce(c["low"] <= v, F.lit(True)) & F.coalesce(c["high"] >= v, F.lit(True))
+            any_of = any_of | ((c["attribute"] == k) & c["values"].isNull() & inside)
+    return F.coalesce(any_of, F.lit(False))
+
+
+def _stored(clauses: Column, attributes: dict[str, tuple]) -> Column:
+    return clauses.isNotNull() & F.forall(clauses, lambda c: _clause_holds(c, attributes))
+
+
+EXPRESSIONS = "array<array<struct<attribute: string, values: array<string>, low: double, high: double, negated: boolean>>>"
+_PIECE = re.compile(r"\s*(\(|\)|and\b|or\b|not\b|\w+\s+(?:not\s+)?in\s+\[[^\]]*\])", re.I)
+
+
+def parse_expression(expression: str | None) -> list[list[dict]] | None:
+    """Clauses joined by ``and``, ``or``, ``not`` and parentheses, as alternatives of clauses that must all hold; an empty one always holds."""
+    if expression is None:
+        return None
+    if not expression.strip():
+        return [[]]
+    pieces, at = [], 0
+    while at < len(expression.rstrip()):
+        m = _PIECE.match(expression, at)
+        if not m:
+            raise ValueError(f"cannot read {expression[at:]!r}")
+        pieces.append(m.group(1))
+        at = m.end()
+
+    def either(no: bool) -> list[list[dict]]:
+        out = both(no)
+        while pieces and pieces[0].lower() == "or":
+            pieces.pop(0)
+            more = both(no)
+            out = [a + b for a in out for b in more] if no else out + more
+        return out
+
+    def both(no: bool) -> list[list[dict]]:
+        out = single(no)
+        while pieces and pieces[0].lower() == "and":
+            pieces.pop(0)
+            more = single(no)
+            out = out + more if no else [a + b for a in out for b in more]
+        return out
+
+    def single(no: bool) -> list[list[dict]]:
+        if not pieces:
+            raise ValueError(f"cannot read {expression!r}")
+        piece = pieces.pop(0)
+        if piece.lower() == "not":
+            return single(not no)
+        if piece == "(":
+            out = either(no)
+            if not pieces or pieces.pop(0) != ")":
+                raise ValueError(f"no closing parenthesis in {expression!r}")
+            return out
+        turned = re.sub(r"\s+not\s+in\s+", " in ", piece, flags=re.I)
+        return [[parse_predicate(turned)[0] | {"negated": no != (turned != piece)}]]
+
+    out = either(False)
+    if pieces:
+        raise ValueError(f"cannot read {expression!r}")
+    return out
+
+
+def with_expressions(df: DataFrame, column: str, out: str) -> DataFrame:
+    """parse stored expressions once, on the write path."""
+
+    @F.pandas_udf(EXPRESSIONS)
+    def parse(expressions: pd.Series) -> pd.Series:
+        return expressions.map(lambda e: parse_expression(e if isinstance(e, str) else None))
+
+    return df.withColumn(out, parse(F.col(column)))
+
+
+def _element_phrase(texts: Column, words: str, gap: int | None) -> Column:
+    """Tokens joined by spaces, elements by a mark that no token holds and, with a gap of one, by a space."""
+    own = _query_words(words)
+    if not own:
+        return F.lit(False)
+    joined = F.transform(texts, lambda t: F.concat(F.lit(" "), F.array_join(tx.word_tokens(t), " "), F.lit(" ")))
+    if gap == 1:
+        joined = F.array(F.regexp_replace(F.array_join(joined, ""), " +", " "))
+    return F.coalesce(F.exists(joined, lambda t: t.contains(" " + " ".join(own) + " ")), F.lit(False))
+
+
+# ---- F20: nearest neighbours in a query tree, F23: what adds to the score -------------------------------------------
+
+
+def searched(docs: DataFrame, node: Node, fields: Fields, id_col: str) -> DataFrame:
+    """Rows that match a tree with ``nearest_to`` nodes: each gives ``k`` ids (a bounded list, broadcast), which then count like any predicate."""
+    from tarn.functions import tensor as tn
+    from tarn.operators.vector import nearest
+
+    flags: list[DataFrame] = []
+
+    def flagged(n: Node) -> Node:
+        if n.op == "nearest":
+            query, k, distance = n.args
+            best = nearest(docs, n.field, tn.literal(query), id_col, k, tn.DISTANCES[distance])
+            flags.append(best.select(F.col(id_col).alias(f"__id{len(flags)}"), F.lit(True).alias(f"__near{len(flags)}")))
+            return Node("flag", f"__near{len(flags) - 1}")
+        return Node(n.op, n.field, tuple(flagged(a) for a in n.args), n.ranked) if n.op in ("and", "or", "not") else n
+
+    tree, rows = flagged(node), docs
+    for k, best in enumerate(flags):
+        rows = rows.join(F.broadcast(best), F.col(id_col) == F.col(f"__id{k}"), "left").drop(f"__id{k}")
+    return rows.where(compiled(tree, fields)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def ranking_terms(node: Node) -> list[Node]:
+    """the positive terms that add to the score; unranked parts of the tree only filter."""
+    if not node.ranked:
+        return []
+    if node.op in ("and", "or"):
+        return [t for a in node.args for t in ranking_terms(a)]
+    return [node] if node.op in ("term", "phrase", "prefix", "fuzzy", "equiv", "any") else []
+
 
-    return clauses.isNotNull() & F.forall(clauses, holds)
+def matched_terms(node: Node, fields: Fields) -> Column:
+    """How many of the ranking terms a document holds."""
+    held = [F.coalesce(compiled(t, fields), F.lit(False)).cast("int") for t in ranking_terms(node)]
+    return reduce(lambda a, b: a + b, held, F.lit(0))
 
 
 # ---- F5: JSON form, C6-C8: rewrites -------------------------------------------------------------------------------
@@ -313,7 +452,8 @@ def rewritten(query: Node, *rules: Callable[[Node], Node]) -> Node:
 
 
 def allowed_tokens(tokens: Column, blocked=(), allowed=()) -> Column:
-    """no blocked token, and no token outside the allow-list where there is one."""
+    """no blocked token, and no token outside the allow-list where there is one. No tokens at all are allowed."""
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     ok = ~F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in blocked])) if blocked else F.lit(True)
     return ok & (F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in allowed]))) == 0) if allowed else ok
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Scorer = Callable[["Scope"], Column]
 
@@ -33,9 +37,9 @@ class Profile:
     name: str
     first: Scorer | None = None
     second: Scorer | None = None
-    rerank: int = 100
+    rerank: int | None = None
     last: Scorer | None = None
-    last_rerank: int = 100
+    last_rerank: int | None = None
     inputs: dict[str, object] = field(default_factory=dict)
     functions: dict[str, Scorer] = field(default_factory=dict)
     features: tuple[str, ...] = ()
@@ -43,12 +47,12 @@ class Profile:
     parents: tuple[Profile, ...] = ()
 
     def resolved(self) -> Profile:
-        """With what it inherits, later parents over earlier ones."""
+        """With what it inherits, later parents over earlier ones. Counts of re-ranked hits that nobody sets are 100."""
         chain = [p.resolved() for p in self.parents] + [self]
         pick = lambda a: next((getattr(p, a) for p in reversed(chain) if getattr(p, a) is not None), None)
         merged = lambda a: reduce(lambda x, y: {**x, **y}, [getattr(p, a) for p in chain], {})
         return Profile(
-            self.name, pick("first"), pick("second"), self.rerank, pick("last"), self.last_rerank, merged("inputs"), merged("functions"),
+            self.name, pick("first"), pick("second"), pick("rerank"), pick("last"), pick("last_rerank"), merged("inputs"), merged("functions"),
             tuple(dict.fromkeys(f for p in chain for f in p.features)), pick("drop_below"),
         )
 
@@ -70,7 +74,7 @@ def ranked(hits: DataFrame, profile: Profile, id_col: str, inputs: dict[str, obj
     rows = rows.withColumn("first_phase", F.col("relevance"))
     for phase, scorer, n in ((2, p.second, p.rerank), (3, p.last, p.last_rerank)):
         if scorer is not None:
-            rows = reranked(rows, scorer(scope), id_col, n, phase)
+            rows = reranked(rows, scorer(scope), id_col, 100 if n is None else n, phase)
     ordered = rows.orderBy(F.desc("phase"), F.desc("relevance"), id_col)
     return ordered if limit is None else ordered.limit(limit)
 
@@ -179,22 +183,50 @@ def xgboost_trees(model: list[dict]) -> list[dict]:
     return [node(t) for t in model]
 
 
+def linear_onnx(weights: list[float], bias: float) -> bytes:
+    """A linear model as an ONNX file (one Gemm node from ``x`` to ``y``), written field by field."""
+    import struct
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def part(field_no: int, value: int | bytes | str) -> bytes:
+        if isinstance(value, int):
+            return number(field_no << 3) + number(value)
+        raw = value.encode() if isinstance(value, str) else value
+        return number(field_no << 3 | 2) + number(len(raw)) + raw
+
+    def tensor(name: str, dims: list[int], values: list[float]) -> bytes:
+        return b"".join(part(1, d) for d in dims) + part(2, 1) + part(8, name) + part(9, struct.pack(f"<{len(values)}f", *values))
+
+    def matrix(name: str, width: int) -> bytes:
+        shape = part(1, part(2, "n")) + part(1, part(1, width))
+        return part(1, name) + part(2, part(1, part(1, 1) + part(2, shape)))
+
+    node = part(1, "x") + part(1, "w") + part(1, "b") + part(2, "y") + part(4, "Gemm")
+    graph = part(1, node) + part(2, "linear") + part(5, tensor("w", [len(weights), 1], weights)) + part(5, tensor("b", [1], [bias]))
+    graph += part(11, matrix("x", len(weights))) + part(12, matrix("y", 1))
+    return part(1, 8) + part(7, graph) + part(8, part(2, 13))
+
+
 def onnx_scorer(model_bytes: bytes, inputs: list[str], output: str | None = None):
-    """A UDF over float columns for an ONNX model of one input matrix; one session for each Python worker."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
+    """A UDF over float columns for an ONNX model of one input matrix; one session for each Python worker and model."""
+
+    key = hashlib.sha256(model_bytes).hexdigest()
 
     @F.pandas_udf(T.DoubleType())
-    def run(*columns: pd.Series) -> pd.Series:
+    def run(rows: pd.DataFrame) -> pd.Series:
         import onnxruntime
 
-        session = _sessions.get(id(model_bytes)) or _sessions.setdefault(id(model_bytes), onnxruntime.InferenceSession(model_bytes))
-        x = np.stack([c.to_numpy(np.float32) for c in columns], 1)
+        session = _sessions.get(key) or _sessions.setdefault(key, onnxruntime.InferenceSession(model_bytes))
+        x = rows.to_numpy(np.float32)
         out = session.run([output] if output else None, {session.get_inputs()[0].name: x})[0]
         return pd.Series(np.asarray(out, np.float64).reshape(len(x), -1)[:, 0])
 
-    return run(*[F.col(c) for c in inputs])
+    return run(F.struct(*[F.col(c) for c in inputs]))
 
 
 _sessions: dict = {}

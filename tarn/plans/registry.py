@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,4 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tarn.plans import facets, joining, matching, texts, updating, vectors  # noqa: E402,F401  these register their queries
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer splits than that (a small file of one row group); large inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tarn-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+from tarn.plans import analysis, facets, feeding, joining, matching, modelling, tensors, texts, updating, vectors  # noqa: E402,F401  these register their queries

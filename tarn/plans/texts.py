@@ -8,12 +8,19 @@ from tarn.functions import text as tx
 from tarn.operators import grouping as g
 from tarn.operators import postings as ps
 from tarn.operators.ranking import places
-from tarn.plans.registry import query, table
+from tarn.plans.registry import query, scratch, spread, table
 
 _WORDS = "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> ''"
 
 
-@query("soundex_tokens")
+#: Letters to digits, after a first letter, without H and W; runs of a digit count once, vowels part them.
+_SOUNDEX = "translate(regexp_replace(upper({w}), '[HW]', '', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')"
+for _d in "0123456":
+    _SOUNDEX = f"regexp_replace({_SOUNDEX}, '{_d}+', '{_d}', 'g')"
+_SOUNDEX = f"rpad(substr(upper({{w}}), 1, 1) || substr(replace(substr({_SOUNDEX}, 2), '0', ''), 1, 3), 4, '0')"
+
+
+@query("soundex_tokens", f"SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_SOUNDEX.format(w='w')}), ' ') AS codes FROM part")
 def soundex_tokens(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", tx.phonetic(tx.word_tokens(F.col("p_name"))).alias("codes"))
     return parts.select("p_partkey", F.array_join("codes", " ").alias("codes"))
@@ -46,7 +53,7 @@ def path_levels(spark, sf_dir):
     """,
 )
 def term_ngram_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return g.term_counts(docs, tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
 
 
@@ -62,10 +69,13 @@ _BM25 = """
 
 
 def _posted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
+    """Postings of the terms in use, written once, as frequencies, matches and features all read them."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
     fields = {"text": F.col("tokens")}
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term"))
-    return ps.postings(docs, "doc_id", fields), ps.field_statistics(docs, fields), queries
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term")).distinct()
+    path = scratch(spark, "postings")
+    ps.of_terms(ps.postings(docs, "doc_id", fields), queries).write.parquet(path)
+    return spark.read.parquet(path), ps.field_statistics(docs, fields), queries
 
 
 @query("bm25_topk", _BM25 + "SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS place FROM m) WHERE place <= 10")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tarn.operators import metrics as m
 from tarn.operators import updates as u
-from tarn.plans.registry import query, table
+from tarn.plans.registry import query, scratch, table
 from tarn.streaming import counters
 
 
@@ -59,9 +56,10 @@ def remove_by_selection(spark, sf_dir):
     return u.removed_where(table(spark, sf_dir, "orders"), (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)).select("o_orderkey")
 
 
-@query("index_refresh_diff", "SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("index_refresh_diff", "SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def index_refresh_diff(spark, sf_dir):
-    return u.stale_ids(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
+    feed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    return u.stale_ids(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), feed.select(F.col("o_custkey").alias("id")), "id")
 
 
 @query("union_first_wins", "SELECT c_nationkey AS k, min(c_custkey) AS id FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, min(s_suppkey) FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1")
@@ -141,20 +139,18 @@ def _streamed(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _scratch(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='tarn-stream-')}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_rating_counts", "SELECT user_id, round(sum(value), 4) AS rating_stars, count(*) AS rating_count FROM events GROUP BY 1")
 def stream_rating_counts(spark, sf_dir):
     state = counters.running_ratings(_streamed(spark, sf_dir), "user_id", "value")
-    return counters.into_memory(state, f"ratings_{uuid.uuid4().hex}", _scratch(spark)).withColumn("rating_stars", F.round("rating_stars", 4))
+    path = scratch(spark, "ratings")
+    return counters.into_table(state, f"{path}/state", f"{path}/checkpoint").withColumn("rating_stars", F.round("rating_stars", 4))
 
 
 @query("stream_batch_merge", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
 def stream_batch_merge(spark, sf_dir):
     ops = counters.filtered_operations(_streamed(spark, sf_dir), F.col("event_type") != "error").select("event_type", F.lit(1).cast("long").alias("n"))
-    path = _scratch(spark)
+    path = scratch(spark, "totals")
     counters.merged_each_batch(ops, f"{path}/totals", f"{path}/checkpoint", "event_type", ["n"])
     return counters.batch_totals(spark, f"{path}/totals", "event_type", ["n"])

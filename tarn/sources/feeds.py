@@ -68,6 +68,12 @@ _VECTORS = T.StructType([T.StructField("id", T.LongType()), T.StructField("vecto
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Files of ``count, dimension`` (32-bit little endian) and that many signed bytes a vector; ids count from 0 in a file."""
 
+    return vectors_of(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def vectors_of(files: DataFrame) -> DataFrame:
+    """The vectors of files in a column ``content``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
@@ -77,7 +83,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
                     part = data[at : at + 10_000]
                     yield pd.DataFrame({"id": np.arange(at, at + len(part)), "vector": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, _VECTORS)
+    return files.select("content").mapInPandas(run, _VECTORS)
 
 
 def read_group(spark: SparkSession, path: str, group: str) -> DataFrame:
@@ -95,6 +101,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(table, key, "left")
 
 
+def visit(rows: DataFrame, key: str, limit: int, after=None) -> DataFrame:
+    """The next ``limit`` rows in key order after a continuation, the last key of the part before: a range of the key, no offset."""
+    return (rows if after is None else rows.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """One page of an order."""
     return rows.orderBy(*order).offset(offset).limit(limit)

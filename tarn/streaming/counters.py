@@ -21,11 +21,20 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def into_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source holds now and return the state as a table; for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what its source holds now and return its state as a table under ``path``.
+
+    Each micro-batch's state is written in parallel to a folder of its own; the last one is the state.
+    """
+    last: list[int] = []
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state={batch_id}")
+        last[:] = [batch_id]
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/state={last[0]}" if last else path)
 
 
 def merged_each_batch(stream: DataFrame, path: str, checkpoint: str, key: str, counters: list[str]):
