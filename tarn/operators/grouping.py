@@ -90,13 +90,13 @@ def as_mapped_tensor(rows: DataFrame, label: str, value: str, name: str = "cells
 def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     """How often each term occurs, and in how many documents (rows).
 
-    A row's different terms are found within the row, so one aggregate by term, combined in each task
-    first, gives both numbers; no row per term and document is shuffled.
+    A row's terms are sorted within the row, where the first of equal neighbours stands for the document, so
+    one aggregate by term, combined in each task first, gives both numbers; no row per term and document is shuffled.
     """
-    held = docs.select(terms.alias("terms"))
-    once = lambda a, n, d: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d")))
-    rows = held.select(F.inline(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))))
-    return rows.groupBy("term").agg(F.sum("n").alias("corpus_count"), F.sum("d").alias("document_count"))
+    held = docs.select(F.sort_array(terms).alias("term"))
+    pairs = F.arrays_zip("term", F.concat(F.array(F.lit(None).cast("string")), F.col("term")).alias("before"))
+    rows = held.select(F.inline(pairs)).where("term IS NOT NULL")  # the zip is one longer than the terms
+    return rows.groupBy("term").agg(F.count("*").alias("corpus_count"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("document_count"))
 
 
 def constant_columns(rows: DataFrame) -> list[str]:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.sources.scan import spread  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,12 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the scan has fewer splits than that (a small file of one row group); large inputs stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

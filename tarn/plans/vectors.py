@@ -108,7 +108,8 @@ def hybrid_linear(spark, sf_dir):
     """,
 )
 def near_dup_collapse(spark, sf_dir):
-    return v.near_duplicates_collapsed(_vectors(spark, sf_dir), "v", "vec_id", 0.9).select("vec_id")
+    """V13 works on a result list, here the first 1,000 hits: a top-k is the feature."""
+    return v.near_duplicates_collapsed(_vectors(spark, sf_dir), "v", "vec_id", 0.9, most=1000).select("vec_id")
 
 
 _PIECES = "[e[1:16], e[17:32], e[33:48], e[49:64]]"
