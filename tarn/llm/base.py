@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.scan import spread
+
 #: Of long texts, in Arrow batches of the stages that are written.
 ROWS_IN_BATCH = 2000
 #: Of text that a task turns into Python objects at once.
@@ -26,7 +28,8 @@ _own_dir: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input, dealt to all cores where it is small."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

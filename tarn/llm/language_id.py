@@ -246,6 +246,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op10_language_id(spark, sf_dir):
     """Contract query: fit on the rows that are not held out, predict every row."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
