@@ -23,14 +23,24 @@ def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose language stays unclear."""
+    """Drop documents without a letter, and those whose language stays unclear.
+
+    Null and empty texts go; null ids, ties and repeated rows are judged row by row, however long a text is. All columns
+    stay, whatever their names; an empty table gives an empty one.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
-    guessed = language_id.predict(docs, model)
-    return guessed.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*_own(docs))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column clashes with the prediction's
+    text = names[docs.columns.index("text")]
+    guessed = language_id.predict(docs.toDF(*names), model, text_col=text)
+    return guessed.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each class of near duplicates; of rows that repeat it, one."""
+    """Keep the document of the least doc_id of each class of near duplicates; of rows that repeat it, one.
+
+    Null and empty texts, and those without a word, are near to nothing and stay, all of them. Null ids come after
+    others; a class of them alone keeps one row. All columns stay; an empty table gives an empty one.
+    """
     found = ngram_join.similar_documents(docs)
     # by key: whether a row is kept, which then stands for the rows of its key that are not
     keys = found.groupBy("row_key").agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
@@ -45,22 +55,40 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item.
+
+    Null and empty texts hold nothing and stay, as do all rows where there are no items. Rows of equal id and text
+    share their fate; ids may be null or repeat. All columns stay; an empty table gives an empty one.
+    """
     keyed = docs.select(ngram_join.row_key("doc_id", "text").alias("row_key"), "text")
     hits = decontaminate.contaminated(keyed, base.table(spark, sf_dir, "benchmark"), id_col="row_key", id_type="binary")
     return _without(docs, hits.select(F.col("doc_id").alias("row_key")), "leaks-dropped")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their position in the mix as ``mix_pos`` beside the columns of ``documents``."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns if c != MIX_POSITION], MIX_POSITION)
+    """All documents, with their position in the mix as a last column ``mix_pos`` beside the columns of ``documents``.
+
+    Where ``documents`` has a column of that name, underscores are added to the new one. Null sources are one source,
+    null ids and repeated rows have positions of their own; texts are not read. An empty table gives an empty one.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column clashes with the schedule's
+    at = dict(zip(docs.columns, names, strict=True))
+    mixed = mixing.mix(docs.toDF(*names), source_col=at["source"], id_col=at["doc_id"])
+    position = MIX_POSITION
+    while position in docs.columns:
+        position += "_"
+    return mixed.select(*names, "mix_pos").toDF(*docs.columns, position)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token store in mixed order (by doc_id where there is none), read it back: a row for each document."""
+    """Write the token store in mixed order (by doc_id where there is none), read it back: a row for each document.
+
+    Null and empty texts have the end id alone. Rows of equal order are written by id, else in no set order; null ids
+    are stored as null. Columns but for id, text and position are left out; an empty table gives an empty one.
+    """
     path = base.fresh_path(spark, "pipeline-tokens")
-    order = MIX_POSITION if MIX_POSITION in docs.columns else "doc_id"
+    last, kind = docs.dtypes[-1]
+    order = last if last.rstrip("_") == MIX_POSITION and kind == "bigint" else "doc_id"
     token_store.write_store(docs, path, token_store.vocabulary(), order_col=order)
     return token_store.token_digests(token_store.read_store(spark, path))
 
