@@ -47,3 +47,18 @@ def test_odd_rows(spark, as_docs, saved):
     got = cp.run(spark, sf).collect()
     assert {r.doc_id for r in got} <= {r[0] for r in ODD}
     assert cp.run(spark, saved(documents=as_docs([]), benchmark=spark.createDataFrame([], "item_id long, text string"))).collect() == []
+
+
+def test_columns_that_clash_stay(spark, as_docs, saved):
+    rng = random.Random(2)
+    rows = [(i, make(rng, rng.choice(["en", "fr"]), 30), "en", f"s{i % 2}") for i in range(60)]
+    extra = ("mix_pos", "slot", "score", "lang_pred", "row_key", "kept")
+    docs, sf = as_docs(rows, *extra), saved(benchmark=spark.createDataFrame([(1, make(rng, "de", 20))], "item_id long, text string"))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and {tuple(r[c] for c in extra) for r in out.collect()} == {("x",) * len(extra)}
+        docs = out
+    assert docs.columns[-1] == "mix_pos_"
+    got = cp.write_tokens(spark, docs, sf).collect()
+    order = [r.doc_id for r in sorted(docs.collect(), key=lambda r: r["mix_pos_"])]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == order
