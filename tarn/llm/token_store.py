@@ -138,10 +138,15 @@ class WordEncoder:
     def _codes(self, pieces: pa.Array) -> np.ndarray:
         """Places in the cache; what it lacks is learnt first. Known pieces never become Python strings."""
         codes = pc.index_in(pieces, value_set=self.known)
-        if codes.null_count:
-            self._learn(pc.unique(pieces.filter(codes.is_null())).to_pylist())
-            codes = pc.index_in(pieces, value_set=self.known)
-        return codes.to_numpy(zero_copy_only=False)
+        if not codes.null_count:
+            return codes.to_numpy(zero_copy_only=False)
+        absent, before = codes.is_null(), len(self.known)
+        missing = pieces.filter(absent)
+        self._learn(pc.unique(missing).to_pylist())
+        out = pc.fill_null(codes, 0).to_numpy(zero_copy_only=False).copy()
+        # looked up among the new ones alone: the table of all known ones is built once a slice
+        out[absent.to_numpy(zero_copy_only=False)] = before + pc.index_in(missing, value_set=self.known.slice(before)).to_numpy(zero_copy_only=False)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
@@ -166,11 +171,12 @@ class WordEncoder:
         marks = pc.dictionary_encode(pc.if_else(cut, pc.struct_field(parts, "marks"), ""))
         if len(self.known) > _WORD_CACHE:
             self.clear()
+        codes = self._codes(pa.concat_arrays([heads, marks.dictionary]))
         own = np.empty((len(heads), 2), np.int32)
-        own[:, 0] = self._codes(heads)
-        own[:, 1] = self._codes(marks.dictionary)[marks.indices.to_numpy()]
+        own[:, 0] = codes[: len(heads)]
+        own[:, 1] = codes[len(heads) :][marks.indices.to_numpy()]
         both = own[index].reshape(-1)  # word, its marks, next word, ...
-        del pieces, parts, cut, heads, marks, own, index, coded
+        del pieces, parts, cut, heads, marks, codes, own, index, coded
         each = self.sizes[both]
         total = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
         place = np.repeat(self.starts[both] - total[:-1], each)
