@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    return df.where(F.col(start) <= F.col(end)).withColumn("__cell", F.explode(F.sequence(first, last)))
+    return df.withColumn("__cell", F.explode(F.sequence(first, last)))
 
 
 def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", cell: int | None = None) -> DataFrame:
@@ -21,6 +21,7 @@ def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str =
     intervals is spread over tasks; a pair is reported in the cell of its later start only, so no
     distinct is needed. Null bounds and empty intervals (start after end) join nothing.
     """
+    a, b = (df.where(F.col(start) <= F.col(end)) for df in (a, b))
     if cell:
         a, b = _cells(a, start, end, cell), _cells(b, start, end, cell)
     name = lambda df, p: df.select(*[F.col(k) for k in keys], *([F.col("__cell")] if cell else []), *[F.col(c).alias(p + c) for c in df.columns if c not in keys and c != "__cell"])
@@ -35,7 +36,8 @@ def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str =
 
 
 def interval_semi_join(b: DataFrame, a: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Rows of ``b`` that meet an interval of ``a`` of the same key, each once."""
+    """Rows of ``b`` that meet an interval of ``a`` of the same key, each once; null and empty intervals meet nothing."""
+    a, b = (df.where(F.col(start) <= F.col(end)) for df in (a, b))
     other = a.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(start).alias("__s"), F.col(end).alias("__e"))
     cond = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [F.col("__s") <= F.col(end), F.col(start) <= F.col("__e")]
     return b.join(other, cond, "left_semi")

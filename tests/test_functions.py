@@ -116,3 +116,19 @@ def test_query_network_layer_normalises(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
     net = tn.query_network([(np.eye(2), np.zeros(2))], np.array([1.0, 1.0]))
     assert df.select(net("v").alias("x")).first().x == pytest.approx(3.0, abs=1e-4)
+
+
+def test_subword_ids_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["small ring", "Ünï code 😀", "", None]
+    library = Tokenizer.from_file(path)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.subword_ids(F.col("t"), F.lit(path)).alias("x")).collect()
+    assert [r.x for r in got] == [None if t is None else library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_soundex_follows_its_rules(spark):
+    words = ["Robert", "Rupert", "Tymczak", "Pfister", "Honeyman", "Ashcraft"]
+    got = value(spark, tx.phonetic(lits([w.lower() for w in words])))
+    assert got == ["R163", "R163", "T522", "P236", "H555", "A261"]

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.sources import feeds
@@ -65,3 +66,43 @@ def test_batch_merge_is_exact_when_a_stream_goes_on(spark, tmp_path):
 def test_windowed_counts(spark):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:50:00", "x"), ("2024-01-01 01:00:00", "x")], "t string, k string").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted(r.n for r in counters.windowed_counts(events, "t", "k").collect()) == [1, 2]
+
+
+def test_states_of_a_stream_are_a_table(spark, tmp_path):
+    schema = "k string, n long"
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", None)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = counters.into_table(counters.running_ratings(stream, "k", "n"), str(tmp_path / "t"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 4, 2), ("b", 2, 1)]
+
+
+def test_visit_goes_on_after_the_last_key(spark):
+    from tarn.sources.feeds import visit
+
+    rows, seen, after = spark.range(25), [], None
+    while part := [r.id for r in visit(rows, "id", 10, after).collect()]:
+        seen.append(part)
+        after = part[-1]
+    assert [len(p) for p in seen] == [10, 10, 5] and sum(seen, []) == list(range(25))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tarn.plans.registry import scratch
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch(remote, "x")
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://shared/"))
+    assert scratch(shared, "x").startswith("hdfs://shared/x-")
+
+
+def test_only_small_scans_are_dealt_out(spark, tmp_path, monkeypatch):
+    from tarn.sources import scan
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert scan.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(scan, "SMALL_BYTES", 1)
+    assert scan.spread(rows) is rows
