@@ -42,7 +42,7 @@ class Model:
     #: Pieces of more characters are not kept.
     LONGEST = 64
 
-    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: dict[int, tuple[list[str], np.ndarray]], cache: int = 600_000):
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: dict[int, tuple[list[str], np.ndarray]], cache: int = 250_000):
         self.langs, self.cache = langs, cache
         self.words = dict(zip(words[0], range(1, len(words[0]) + 1), strict=True))
         tables, at = [np.zeros((1, len(langs))), words[1]], len(words[0]) + 1
