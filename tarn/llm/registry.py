@@ -1,6 +1,6 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, pii, sharding, token_store, url_filter
+from tarn.llm import decontaminate, exact_dedup, filter_audit, language_id, license_scan, mixing, ngram_join, pii, sharding, token_store, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
