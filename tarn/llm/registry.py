@@ -1,6 +1,6 @@
 """Queries of the subpackage and their DuckDB twins."""
 
-from tarn.llm import decontaminate, exact_dedup, filter_audit, language_id, license_scan, mixing, ngram_join, pii, sharding, spelling, token_store, url_filter
+from tarn.llm import decontaminate, exact_dedup, filter_audit, html_extract, language_id, license_scan, mixing, ngram_join, pii, sharding, spelling, token_store, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_html_extract": html_extract.op12_html_extract,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
