@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.functions import tensor as tn
+from tarn.operators import ann
 from tarn.operators import ranking as r
 from tarn.operators import vector as v
-from tarn.plans.registry import query, table
+from tarn.plans.registry import query, scratch, table
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
 
@@ -80,6 +81,43 @@ def spann_search(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _trained(spark, sf_dir):
+    """An index of all vectors with about a list for each root of their number, and the stated queries."""
+    vectors = _vectors(spark, sf_dir)
+    path = scratch(spark, "ann")
+    lists = max(1, min(65_536, round(vectors.count() ** 0.5)))
+    ann.write_index(vectors, "vec_id", "v", ann.train(vectors, "vec_id", "v", lists, rounds=6), path, copies=2, factor=0.8)
+    return ann.open_index(spark, path), vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector"))
+
+
+@query(
+    "ivf_exact_knn",
+    """
+    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+         d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], qv) AS distance FROM embeddings, q),
+         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d)
+    SELECT query_id, vec_id, round(distance, 6) AS distance, place FROM p WHERE place <= 10
+    """,
+)
+def ivf_exact_knn(spark, sf_dir):
+    index, queries = _trained(spark, sf_dir)
+    found = ann.exact_search(index, queries, "query_id", "query_vector", 10, 8, 100)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "place")
+
+
+@query("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """For each stated query the recall of ten neighbours by lists and codes, against the true ones; probes are tuned on other vectors."""
+    index, queries = _trained(spark, sf_dir)
+    others = ann.sampled(_vectors(spark, sf_dir).where("vec_id % 50 = 25"), "vec_id", "v", 200).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector"))
+    probes = ann.tuned_probes(index, others, "query_id", "query_vector", 10, 0.97)
+    true = ann.exact_search(index, queries, "query_id", "query_vector", 10, probes, 200)
+    near = ann.search(index, queries, "query_id", "query_vector", 10, probes, 200).select("query_id", F.col("distance").alias("near"), "place")
+    both = true.join(near, ["query_id", "place"], "left").groupBy("query_id").agg(F.count("*").alias("n_true"), F.max("distance").alias("far"), F.collect_list("near").alias("near"))
+    hits = F.size(F.filter("near", lambda x: x <= F.col("far") + 1e-6))  # ties count
+    return both.select("query_id", "n_true", hits.alias("n_found"), (hits / F.col("n_true")).alias("recall"), F.lit(probes).alias("probes"), F.lit(len(index.sizes)).alias("lists"))
+
+
 @query(
     "hybrid_rrf",
     f"""
