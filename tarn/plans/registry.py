@@ -41,4 +41,4 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-from tarn.plans import analysis, facets, feeding, joining, matching, modelling, tensors, texts, updating, vectors  # noqa: E402,F401  these register their queries
+from tarn.plans import analysis, facets, feeding, indexed, joining, matching, modelling, tensors, texts, updating, vectors  # noqa: E402,F401  these register their queries

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
 from tarn.operators import grouping as g
+from tarn.operators import inverted as iv
 from tarn.operators import postings as ps
 from tarn.operators.ranking import places
 from tarn.plans.registry import query, scratch, spread, table
@@ -69,13 +70,17 @@ _BM25 = """
 
 
 def _posted(spark, sf_dir):
-    """Postings of the terms in use, written once, as frequencies, matches and features all read them."""
+    """Postings of the terms in use and statistics of all documents, from one pass over the texts that is written once."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
-    fields = {"text": F.col("tokens")}
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term")).distinct()
     path = scratch(spark, "postings")
-    ps.of_terms(ps.postings(docs, "doc_id", fields), queries).write.parquet(path)
-    return spark.read.parquet(path), ps.field_statistics(docs, fields), queries
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term")).distinct()
+    queries.write.parquet(f"{path}/queries")
+    queries = spark.read.parquet(f"{path}/queries")
+    rows = iv.term_rows(docs, "doc_id", {"text": F.col("tokens")}).select("id", "field", "term", "tf", F.get("positions", F.lit(0)).alias("first_position"), "length")
+    used = queries.select(F.col("term").alias("__used")).distinct()
+    rows.join(used, F.col("term") == F.col("__used"), "left").where("term IS NULL OR __used IS NOT NULL").drop("__used").write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.where("term IS NOT NULL"), iv.statistics(rows), queries
 
 
 @query("bm25_topk", _BM25 + "SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS place FROM m) WHERE place <= 10")
