@@ -7,32 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.dyadic import meeting_intervals, points_in_intervals
 
-def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    return df.withColumn("__cell", F.explode(F.sequence(first, last)))
 
-
-def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", cell: int | None = None) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", unit: float | None = None) -> DataFrame:
     """Pairs with equal keys and ``max(start) <= min(end)``; bounds are closed, duplicates stay.
 
     Other columns of the sides get the prefixes ``a_`` and ``b_``; ``start`` and ``end`` are the
-    intersection. With ``cell`` both sides are dealt to cells of that width, so that a key with many
-    intervals is spread over tasks; a pair is reported in the cell of its later start only, so no
-    distinct is needed. Null bounds and empty intervals (start after end) join nothing.
+    intersection. With a ``unit`` (and always without keys) intervals meet by dyadic cells of that many units and its doublings,
+    so that a key with many intervals, of seconds and of years, is spread over tasks, and an interval is at most twice as many rows as the logarithm
+    of its length in units. Null bounds and empty intervals (start after end) join nothing.
     """
     a, b = (df.where(F.col(start) <= F.col(end)) for df in (a, b))
-    if cell:
-        a, b = _cells(a, start, end, cell), _cells(b, start, end, cell)
-    name = lambda df, p: df.select(*[F.col(k) for k in keys], *([F.col("__cell")] if cell else []), *[F.col(c).alias(p + c) for c in df.columns if c not in keys and c != "__cell"])
-    on = list(keys) + (["__cell"] if cell else [])
+    name = lambda df, p: df.select(*[F.col(k).alias(f"__{p}{k}") for k in keys], *[F.col(c).alias(p + c) for c in df.columns if c not in keys])
     left, right = name(a, "a_"), name(b, "b_")
-    pairs = left.join(right, on) if on else left.crossJoin(right)
-    low, high = F.greatest(f"a_{start}", f"b_{start}"), F.least(f"a_{end}", f"b_{end}")
-    pairs = pairs.where((F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")))
-    if cell:
-        pairs = pairs.where(F.col("__cell") == F.floor(low / cell)).drop("__cell")
-    return pairs.withColumn("start", low).withColumn("end", high)
+    on = [(f"__a_{k}", f"__b_{k}") for k in keys]
+    if unit or not keys:
+        pairs = meeting_intervals(left, right, on, (f"a_{start}", f"a_{end}"), (f"b_{start}", f"b_{end}"), unit or 1)
+    else:
+        pairs = left.join(right, [F.col(x) == F.col(y) for x, y in on])
+        pairs = pairs.where((F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")))
+    own = [F.col(f"__a_{k}").alias(k) for k in keys]
+    pairs = pairs.select(*own, *[F.col(c) for c in left.columns + right.columns if not c.startswith("__")])
+    return pairs.withColumn("start", F.greatest(f"a_{start}", f"b_{start}")).withColumn("end", F.least(f"a_{end}", f"b_{end}"))
 
 
 def interval_semi_join(b: DataFrame, a: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -71,6 +68,16 @@ def two_sided_match(left: DataFrame, right: DataFrame, condition: Column, score:
     return pairs.withColumn("score", score).withColumn("place", place).where(F.col("place") <= n)
 
 
+def band_match(left: DataFrame, right: DataFrame, low: str, high: str, value: str, score: Column, left_id: str, right_id: str, n: int, on: Sequence[tuple[str, str]] = (), unit: float = 1) -> DataFrame:
+    """For each left row the ``n`` best right rows whose ``value`` lies in its ``low`` to ``high``, with or without equal columns; columns must differ between the sides.
+
+    Values meet bands by dyadic cells, an equal join; each task keeps ``n`` rows of a left row before they are shuffled by it.
+    """
+    pairs = points_in_intervals(right, left, value, low, high, [(r, k) for k, r in on], unit)
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), F.col(right_id)))
+    return pairs.withColumn("score", score).withColumn("place", place).where(F.col("place") <= n)
+
+
 def bucket_join(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_buckets: str, query_buckets: str) -> DataFrame:
     """Pairs of a query and a document that share a bucket, once each."""
     d = docs.withColumn("__bucket", F.explode(F.array_distinct(doc_buckets)))

@@ -20,7 +20,7 @@ def _side(spark, sf_dir, kind, seconds):
 
 @query("interval_join_pairs", f'WITH {_A}, {_B} SELECT a.id, a_key, b_key, greatest(a.s, b.s) AS "start", least(a.e, b.e) AS "end" FROM a JOIN b ON a.id = b.id AND a.s <= b.e AND b.s <= a.e')
 def interval_join_pairs(spark, sf_dir):
-    pairs = j.interval_join(_side(spark, sf_dir, "view", 3600), _side(spark, sf_dir, "click", 1800), ["id"], cell=14400)
+    pairs = j.interval_join(_side(spark, sf_dir, "view", 3600), _side(spark, sf_dir, "click", 1800), ["id"], unit=1800)
     return pairs.select("id", "a_key", "b_key", "start", "end")
 
 
@@ -67,6 +67,45 @@ def lookup_enrich(spark, sf_dir):
     return j.enriched(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", "quality").withColumn("quality", F.col("quality").cast("double"))
 
 
+_SPAN = "CASE WHEN {k} % 64 = 0 THEN {year} WHEN {k} % 4 = 1 THEN 86400 WHEN {k} % 4 = 2 THEN 3600 ELSE 5 END"
+
+
+@query(
+    "interval_join_lengths",
+    f"""
+    WITH a AS (SELECT o_orderkey AS a_key, floor(epoch(o_orderdate))::BIGINT AS s, floor(epoch(o_orderdate))::BIGINT + {_SPAN.format(k="o_orderkey", year=94608000)} AS e FROM orders),
+         b AS (SELECT s_suppkey AS b_key, 700000000 + 1234567 * (s_suppkey % 151) AS s, 700000000 + 1234567 * (s_suppkey % 151) + {_SPAN.format(k="s_suppkey", year=63072000)} AS e FROM supplier)
+    SELECT b_key, count(*) AS n, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS seconds, max(a_key) AS last_key FROM a JOIN b ON a.s <= b.e AND b.s <= a.e GROUP BY 1
+    """,
+)
+def interval_join_lengths(spark, sf_dir):
+    """J1 without keys: orders and suppliers with windows of seconds, hours, days and years."""
+    begin = epoch_seconds(F.col("o_orderdate"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), begin.alias("start"), (begin + F.expr(_SPAN.format(k="o_orderkey", year=94_608_000))).alias("end"))
+    begin = F.expr("700000000 + 1234567 * (s_suppkey % 151)")
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), begin.alias("start"), (begin + F.expr(_SPAN.format(k="s_suppkey", year=63_072_000))).alias("end"))
+    pairs = j.interval_join(a, b, [])
+    return pairs.groupBy(F.col("b_key")).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("seconds"), F.max("a_key").alias("last_key"))
+
+
+@query(
+    "band_match",
+    """
+    SELECT s_suppkey, c_custkey, round(score, 6) AS score, place FROM (
+      SELECT s_suppkey, c_custkey, 1 / (1 + abs(c_acctbal - s_acctbal)) AS score,
+             CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY 1 / (1 + abs(c_acctbal - s_acctbal)) DESC, c_custkey) AS INTEGER) AS place
+      FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 100 AND s_acctbal + 100) WHERE place <= 3
+    """,
+)
+def band_match(spark, sf_dir):
+    """J18 without any equal column."""
+    left = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") - 100).alias("low"), (F.col("s_acctbal") + 100).alias("high"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    score = 1 / (1 + F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
+    best = j.band_match(left, right, "low", "high", "c_acctbal", score, "s_suppkey", "c_custkey", 3, unit=25)
+    return best.select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), "place")
+
+
 @query(
     "two_sided_match",
     """

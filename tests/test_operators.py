@@ -23,9 +23,9 @@ def brute_pairs(left, right):
     return sorted((k, a, b, c, d) for k, a, b in left for m, c, d in right if k == m and whole(a, b) and whole(c, d) and max(a, c) <= min(b, d))
 
 
-@pytest.mark.parametrize("cell", [None, 7, 1000])
-def test_interval_join(spark, cell):
-    got = joins.interval_join(spark.createDataFrame(LEFT, _DDL), spark.createDataFrame(RIGHT, _DDL), ["k"], cell=cell)
+@pytest.mark.parametrize("unit", [None, 1, 7, 1000])
+def test_interval_join(spark, unit):
+    got = joins.interval_join(spark.createDataFrame(LEFT, _DDL), spark.createDataFrame(RIGHT, _DDL), ["k"], unit=unit)
     assert rows(got, "k", "a_start", "a_end", "b_start", "b_end") == brute_pairs(LEFT, RIGHT)
     assert all(r.start == max(r.a_start, r.b_start) and r.end == min(r.a_end, r.b_end) for r in got.collect())
     assert len(brute_pairs(LEFT, RIGHT)) == 8
