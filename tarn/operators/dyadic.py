@@ -41,6 +41,8 @@ def interval_cells(start: Column, end: Column, unit: float = 1) -> Column:
 def point_cells(point: Column, levels: Sequence[int], unit: float = 1) -> Column:
     """The cells of the given levels that hold a point."""
     at = _units(point, unit)
+    if not levels:
+        return F.array().cast("array<struct<level: int, cell: bigint>>")
     return F.when(point.isNotNull(), F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("cell")) for k in levels]))
 
 
@@ -58,7 +60,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, point: str, sta
     covered = intervals.where(F.col(start) <= F.col(end)).withColumn("__cells", interval_cells(_number(intervals, start), _number(intervals, end), unit))
     levels = used_levels(covered, "__cells")
     sides = [F.col(a) == F.col(b) for a, b in on]
-    left = points.where(F.col(point).isNotNull()).withColumn("__p", F.explode(point_cells(_number(points, point), levels, unit)) if levels else F.lit(None).cast("struct<level: int, cell: long>"))
+    left = points.where(F.col(point).isNotNull()).withColumn("__p", F.explode(point_cells(_number(points, point), levels, unit)))
     right = covered.withColumn("__i", F.explode("__cells")).drop("__cells")
     pairs = left.join(right, [*sides, F.col("__p.level") == F.col("__i.level"), F.col("__p.cell") == F.col("__i.cell")]).drop("__p", "__i")
     return pairs.where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))

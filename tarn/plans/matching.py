@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import scalar as sc
 from tarn.functions import text as tx
 from tarn.operators import predicates as p
+from tarn.operators import stored as st
 from tarn.operators import vector as v
 from tarn.plans.registry import query, table
 from tarn.sources.feeds import page
@@ -98,6 +99,36 @@ def stored_predicate(spark, sf_dir):
     return rows.where(p.compiled(p.stored_predicate("target", {"segment": ["BUILDING", "MACHINERY"], "income": 3000}))).select("c_custkey")
 
 
+@query(
+    "predicate_index",
+    """
+    SELECT c_custkey, s_suppkey FROM customer, supplier
+    WHERE CASE s_suppkey % 4
+            WHEN 0 THEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = s_nationkey AND c_acctbal BETWEEN floor(s_acctbal) AND floor(s_acctbal) + 2000
+            WHEN 1 THEN c_acctbal <= -900 AND NOT (c_mktsegment = 'AUTOMOBILE') OR c_nationkey = s_nationkey AND c_acctbal >= 9000
+            WHEN 2 THEN c_nationkey BETWEEN s_nationkey AND s_nationkey + 1 AND c_acctbal BETWEEN floor(s_acctbal) AND floor(s_acctbal) + 300
+            ELSE NOT (c_acctbal >= -950) AND NOT (c_mktsegment IN ('BUILDING', 'FURNITURE')) END
+    """,
+)
+def predicate_index(spark, sf_dir):
+    """every customer as a request against the stored expression of every supplier."""
+    nation, low = F.col("s_nationkey").cast("string"), F.floor("s_acctbal")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    kind = F.col("s_suppkey") % 4
+    own = (
+        F.when(kind == 0, text("segment in ['BUILDING', 'MACHINERY'] and nation in ['", nation, "'] and balance in [", low, "..", low + 2000, "]"))
+        .when(kind == 1, text("balance in [..-900] and segment not in ['AUTOMOBILE'] or nation in ['", nation, "'] and balance in [9000..]"))
+        .when(kind == 2, text("nations in [", nation, "..", F.col("s_nationkey") + 1, "] and balance in [", low, "..", low + 300, "]"))
+        .otherwise(F.lit("not (balance in [-950..] or segment in ['BUILDING', 'FURNITURE'])"))
+    )
+    stored = p.with_expressions(table(spark, sf_dir, "supplier").select("s_suppkey", own.alias("target")), "target", "parsed")
+    one = lambda c: F.array(c)
+    texts = F.create_map(F.lit("segment"), one(F.col("c_mktsegment")), F.lit("nation"), one(F.col("c_nationkey").cast("string")))
+    numbers = F.create_map(F.lit("balance"), one(F.col("c_acctbal").cast("double")), F.lit("nations"), one(F.col("c_nationkey").cast("double")))
+    met = st.matches(stored, "s_suppkey", "parsed", table(spark, sf_dir, "customer"), "c_custkey", texts, numbers)
+    return met.select(F.col("request_id").alias("c_custkey"), F.col("id").alias("s_suppkey"))
+
+
 @query(
     "wand_sparse_dot",
     "SELECT o_custkey, CAST(sum(CASE l_partkey WHEN 1 THEN 2 WHEN 5 THEN 1 ELSE 3 END) AS DOUBLE) AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey IN (1, 5, 9) GROUP BY 1 ORDER BY score DESC, o_custkey LIMIT 25",
