@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.order import exact_percentiles
+
 
 def facet(hits: DataFrame, key: Column, aggregates: Sequence[Column], order: Sequence[Column] = (), limit: int | None = None, name: str = "key") -> DataFrame:
     """A1-A5: one group per value, aggregates, groups in an order of aggregates (then by key), the first ``limit``."""
@@ -116,9 +118,11 @@ def group_sizes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, at: Sequence[float], accuracy: int | None = None) -> DataFrame:
-    """Exact percentiles, interpolated; with ``accuracy`` approximate ones, whose state stays small on any input."""
-    one = (lambda p: F.percentile(value, F.lit(p))) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
-    return rows.agg(*[one(p).alias(f"p{round(100 * p)}") for p in at])
+    """One row of exact percentiles, interpolated, found by passes that narrow to their ranks; with ``accuracy`` approximate ones."""
+    if accuracy is not None:
+        return rows.agg(*[F.percentile_approx(value, p, accuracy).alias(f"p{round(100 * p)}") for p in at])
+    found = exact_percentiles(rows, value, at)
+    return rows.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(f"p{round(100 * p)}") for p, x in zip(at, found, strict=True)])
 
 
 def standardised_logistic(rows: DataFrame, features: Sequence[str], label: str):

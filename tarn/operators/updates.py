@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.order import numbered
+
 
 def latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Of several puts of an id the last one."""
@@ -79,7 +81,7 @@ def padded_distinct(values: Column, n: int, fill: str = "") -> Column:
     return F.slice(F.concat(F.array_distinct(values), F.array_repeat(F.lit(fill), n)), 1, n)
 
 
-def dense_codes(rows: DataFrame, value: str, order: str, name: str = "code") -> DataFrame:
-    """``value, code``: codes from 0 by first occurrence. The codes of a vocabulary, not of all rows, pass one task."""
+def dense_codes(rows: DataFrame, value: str, order: str, path: str, name: str = "code") -> DataFrame:
+    """``value, code``: codes from 0 by first occurrence; the vocabulary is numbered in ranges, which are written under ``path``."""
     first = rows.groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("__first", value)) - 1).alias(name))
+    return numbered(first, ["__first", value], name, path).select(value, name)

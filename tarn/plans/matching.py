@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import scalar as sc
 from tarn.functions import text as tx
+from tarn.operators import fuzzy
 from tarn.operators import predicates as p
 from tarn.operators import stored as st
 from tarn.operators import vector as v
@@ -63,6 +64,24 @@ def fuzzy_search(spark, sf_dir):
     return _part(spark, sf_dir, p.fuzzy("p_name", "wigdet") | p.fuzzy("p_name", "red"), "p_name")
 
 
+@query(
+    "fuzzy_words",
+    """
+    WITH v AS (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> ''),
+         b AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark) WHERE w <> ''),
+         q AS (SELECT w AS word FROM b UNION SELECT w[1:3] || w[5:] FROM b UNION SELECT w[1:4] || 'q' || w[5:] || 'z' FROM b),
+         n AS (SELECT word, term, CASE WHEN word = term THEN 0 ELSE levenshtein(word, term) END AS distance, length(word) AS n FROM q JOIN v ON word[1:2] = term[1:2] AND abs(length(word) - length(term)) <= 2)
+    SELECT word, term, CAST(distance AS INTEGER) AS distance FROM n WHERE distance <= CASE WHEN n <= 3 THEN 0 WHEN n <= 6 THEN 1 ELSE 2 END
+    """,
+)
+def fuzzy_words(spark, sf_dir):
+    """the words of all test items, right and misspelt, against the vocabulary of all documents."""
+    words = lambda name: table(spark, sf_dir, name).select(F.explode(tx.word_tokens(F.col("text"))).alias("w")).distinct()
+    b, w = words("benchmark"), F.col("w")
+    wrong = F.array(w, F.concat(F.substring(w, 1, 3), F.expr("substring(w, 5)")), F.concat(F.substring(w, 1, 4), F.lit("q"), F.expr("substring(w, 5)"), F.lit("z")))
+    return fuzzy.fuzzy_terms(fuzzy.deletion_index(words("documents"), "w"), b.select(F.explode(wrong).alias("word")), "word")
+
+
 @query("gram_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'idg') AND contains(lower(p_name), 'dge')")
 def gram_search(spark, sf_dir):
     return table(spark, sf_dir, "part").where(p.compiled(p.grams("p_name", "idge", 3))).select("p_partkey", "p_name")

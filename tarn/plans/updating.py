@@ -70,7 +70,14 @@ def union_first_wins(spark, sf_dir):
 
 @query("dense_codes", "SELECT p_brand, CAST(row_number() OVER (ORDER BY min(p_partkey), p_brand) - 1 AS INTEGER) AS code FROM part GROUP BY 1")
 def dense_codes(spark, sf_dir):
-    return u.dense_codes(table(spark, sf_dir, "part"), "p_brand", "p_partkey")
+    return u.dense_codes(table(spark, sf_dir, "part"), "p_brand", "p_partkey", scratch(spark, "codes"))
+
+
+@query("word_codes", "SELECT word, CAST(row_number() OVER (ORDER BY first, word) - 1 AS INTEGER) AS code FROM (SELECT w AS word, min(doc_id) AS first FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1)")
+def word_codes(spark, sf_dir):
+    """U6 for the words of all documents."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
+    return u.dense_codes(words, "word", "doc_id", scratch(spark, "codes"))
 
 
 _RUN = "r AS (SELECT label AS query_id, vec_id, embedding[1]::DOUBLE AS score, CASE WHEN vec_id % 4 = 0 THEN 3 WHEN vec_id % 4 = 1 THEN 1 ELSE 0 END AS y FROM embeddings)"
