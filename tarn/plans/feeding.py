@@ -13,7 +13,7 @@ from tarn.operators import updates as u
 from tarn.operators import vector as v
 from tarn.operators.ranking import places
 from tarn.plans.registry import query, scratch, table
-from tarn.sources import feeds
+from tarn.sources import feeds, vectors
 
 _ITEM = "p_name string, p_size int, p_retailprice double"
 
@@ -110,6 +110,18 @@ def binary_vectors(spark, sf_dir):
     return feeds.vectors_of(files).groupBy("id").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
 
 
+@query("binary_vectors_split", "SELECT CAST(i - 1 AS INTEGER) AS dim, count(*) AS n, CAST(sum(CAST(trunc(embedding[i]::DOUBLE * 127) AS BIGINT)) AS BIGINT) AS total FROM embeddings, unnest(range(1, 65)) AS t(i) GROUP BY 1")
+def binary_vectors_split(spark, sf_dir):
+    """Vectors written as two files of signed bytes and read again by ranges of 4,096 bytes."""
+    vectors.register(spark)
+    path = scratch(spark, "vectors")
+    small = F.transform("embedding", lambda x: (x.cast("double") * 127).cast("int").cast("tinyint"))
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("file"), F.col("vec_id").alias("id"), small.alias("vector"))
+    rows.repartition(2, "id").write.format("vectors").mode("append").save(path)
+    cells = spark.read.format("vectors").option("split", 4096).load(path).select(F.posexplode("vector").alias("dim", "x"))
+    return cells.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("long")).alias("total"))
+
+
 def _lenient(spark, sf_dir):
     path = scratch(spark, "lenient")
     key = F.col("s_suppkey").cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.operators import metrics as m
 from tarn.operators import updates as u
 from tarn.plans.registry import query, scratch, table
-from tarn.streaming import counters
+from tarn.streaming import counters, keyed
 
 
 @query("rating_rollup_batch", "SELECT c_custkey, CAST(coalesce(sum(floor(o_totalprice)), 0) AS BIGINT) AS rating_stars, count(o_orderkey) AS rating_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -161,3 +161,24 @@ def stream_batch_merge(spark, sf_dir):
     path = scratch(spark, "totals")
     counters.merged_each_batch(ops, f"{path}/totals", f"{path}/checkpoint", "event_type", ["n"])
     return counters.batch_totals(spark, f"{path}/totals", "event_type", ["n"])
+
+
+@query(
+    "stream_partial_updates",
+    """
+    SELECT user_id AS key, event_type AS field, round(sum(value), 4) AS value FROM events GROUP BY 1, 2
+    UNION ALL SELECT user_id, 'last', round(arg_max(value, event_id), 4) FROM events GROUP BY 1
+    """,
+)
+def stream_partial_updates(spark, sf_dir):
+    """An assignment and an increment for each event, out of order in four micro-batches, a fifth of them twice."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark, "operations")
+    kinds = F.array(F.struct(F.lit("assign").alias("kind"), F.lit("last").alias("field")), F.struct(F.lit("increment").alias("kind"), F.col("event_type").alias("field")))
+    ops = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value", F.col("ts").cast("timestamp").alias("at"), F.posexplode(kinds).alias("k", "o"))
+    ops = ops.select("key", (F.col("seq") * 2 + F.col("k")).alias("op_id"), "seq", "o.kind", "o.field", "value", "at")
+    twice = ops.withColumn("copy", F.explode(F.when(F.col("seq") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    twice.repartition(4, F.xxhash64("op_id", "copy")).drop("copy").write.parquet(f"{path}/ops")
+    stream = spark.readStream.schema(keyed.OPERATIONS).option("maxFilesPerTrigger", 1).parquet(f"{path}/ops")
+    found = keyed.run_documents(keyed.keyed_documents(stream, 400 * 86_400_000), f"{path}/documents", f"{path}/checkpoint")
+    each = found.select("key", F.explode(F.arrays_zip("field", "value")).alias("x"))
+    return each.select("key", F.col("x.field").alias("field"), F.round("x.value", 4).alias("value"))
