@@ -21,15 +21,26 @@ ALLOW, BLOCK = "allow", "block"
 #: Contract rules: (host, path) to verdict.
 RULES = {("org", "/"): ALLOW, ("example.org", "/es/"): BLOCK, ("example.org", "/en/1"): BLOCK, ("com", "/fr/"): ALLOW, ("com", "/de/"): BLOCK}
 
-#: Words that hardly stand in pages one wants. Pages full of them are unwanted, and examples of unwanted URLs are made with them.
+# Words of trades that pages one wants do not advertise, in the languages of the web's larger part. One of them says nothing; a page that is full
+# of different ones is unwanted, and examples of unwanted URLs are made with them. Words with an ordinary sense ("bet", "cams", "slots") are left out.
 SEED_WORDS = frozenset(
-    "adserver betting bingo casino cialis clickbait escort gambling hookup jackpot malware payday phishing pills poker porn roulette viagra warez xxx".split()
+    # gambling
+    "apuestas betting bingo blackjack casino casinos gambling glücksspiel jackpot lotto poker roulette sportsbook tragaperras wetten казино ставки "
+    # medicines without a prescription, loans
+    "cialis clenbuterol levitra payday pills potenzmittel steroids tramadol valium viagra xanax виагра кредит prestamos "
+    # adult
+    "camgirls escort escorts hentai hookup milf nude nudes porn porno pornos sexo sexshop swinger xxx порно секс "
+    # stolen or harmful software, deceit
+    "adserver adware clickbait cracked keygen malware nulled phishing serials spyware trojan warez "
+    # copies of brands
+    "fakewatches replicas knockoffs".split()
 )
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"[^\W\d_]+|\d+")
-_LINK = re.compile(r"<a\b[^>]*>(.*?)</a>", re.S | re.I)
-_SHOUT = re.compile(r"[!%*#$&]{2}|\b[^\W\d_a-zß-öø-ÿ]{4,}\b")
+_LINK = re.compile(r"<a\b([^>]*)>(.*?)</a>", re.S | re.I)
+_FOREIGN = re.compile(r"href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/\"'\s>?#]+)", re.I)
+_MARKS = re.compile(r"[!%*#$&]{2}")
 _MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S | re.I)
 
 
@@ -120,11 +131,27 @@ def word_shares(pages: DataFrame, html_col: str, least_share: float) -> tuple[di
 # ---- labels from pages --------------------------------------------------------------------------------------------
 
 
-def unwanted_page(html: str | None, seeds: frozenset[str] = SEED_WORDS, seed_share: float = 0.02, shout_share: float = 0.3, link_share: float = 0.7) -> bool | None:
+def shouted(piece: str) -> bool:
+    """Runs of marks, or four letters or more that are all capitals. Letters of scripts that have no capitals, and small letters of any script, are none."""
+    if _MARKS.search(piece):
+        return True
+    return any(len(run) >= 4 and run.isupper() and run.lower() != run for run in _LETTERS.findall(piece))
+
+
+def unwanted_page(
+    html: str | None,
+    seeds: frozenset[str] = SEED_WORDS,
+    seed_share: float = 0.05,
+    least_seeds: int = 4,
+    shout_share: float = 0.3,
+    link_share: float = 0.7,
+    least_hosts: int = 8,
+) -> bool | None:
     """A weak label from what a page shows, never from its URL; None where it shows no word.
 
-    Unwanted are pages with ``seed_share`` of their words among ``seeds``, with ``shout_share`` of
-    them in capitals or with runs of marks, or with ``link_share`` of them in links.
+    Unwanted are pages with ``seed_share`` of their words among ``seeds``, ``least_seeds`` different ones (all, where a page has fewer different words); with ``shout_share`` of their
+    pieces shouted (:func:`shouted`); or link farms, with ``link_share`` of their words in links to ``least_hosts`` different hosts. Links within a
+    site, such as menus and lists of chapters, are no farm, and a text that names trades is no advertisement.
     """
     if not html:
         return None
@@ -132,12 +159,17 @@ def unwanted_page(html: str | None, seeds: frozenset[str] = SEED_WORDS, seed_sha
     pieces, words = shown.split(), _LETTERS.findall(shown.lower())
     if not words:
         return None
-    linked = sum(len(_LETTERS.findall(_MARKUP.sub(" ", m.group(1)))) for m in _LINK.finditer(html))
-    return (
-        sum(w in seeds for w in words) >= seed_share * len(words)
-        or sum(_SHOUT.search(p) is not None for p in pieces) >= shout_share * len(pieces)
-        or linked >= link_share * len(words)
-    )
+    held = [w for w in words if w in seeds]
+    if len(held) >= seed_share * len(words) and len(set(held)) >= min(least_seeds, len(set(words))):
+        return True
+    if sum(map(shouted, pieces)) >= shout_share * len(pieces):
+        return True
+    hosts, linked = set(), 0
+    for m in _LINK.finditer(html):
+        if found := _FOREIGN.search(m.group(1)):
+            hosts.add(found.group(1).lower())
+            linked += len(_LETTERS.findall(_MARKUP.sub(" ", m.group(2))))
+    return len(hosts) >= least_hosts and linked >= link_share * len(words)
 
 
 # ---- classification -----------------------------------------------------------------------------------------------

@@ -98,8 +98,53 @@ def test_naive_bayes_equals_brute_force():
 def test_labels_come_from_what_pages_show():
     good = "<html><head><style>p{}</style></head><body><p>A page about art with many ordinary words in it.</p><a href='/x'>more</a></body></html>"
     assert uf.unwanted_page(good) is False and uf.unwanted_page(None) is None and uf.unwanted_page("<p></p>") is None
-    assert uf.unwanted_page("<p>casino poker roulette for you</p>") and uf.unwanted_page("<p>BUY!! NOW!! best### thing</p>")
-    assert uf.unwanted_page("<a href='/a'>one two three</a><a href='/b'>four five</a> six")
+    assert uf.unwanted_page("<p>casino poker roulette bingo for you</p>") and uf.unwanted_page("<p>BUY!! NOW!! best### thing</p>")
+    assert uf.unwanted_page("<p>casino viagra</p>") and not uf.unwanted_page("<p>The law of 1906 names casino, gambling and poker; courts read it narrowly ever since.</p>")
+    farm = "".join(f"<a href='https://h{k}.example/x'>one two three</a>" for k in range(9))
+    assert uf.unwanted_page(farm) and not uf.unwanted_page(farm.replace("https://h", "/h"))
+    assert not uf.unwanted_page("".join(f"<a href='chapter{k}.html'>Chapter {k}: of things</a>" for k in range(40)))
+    assert not uf.unwanted_page("".join(f"<a href='//one.example/{k}'>of things</a>" for k in range(40)))
+
+
+#: Ordinary sentences in small letters, and the shouted one where the script has capitals.
+SCRIPTS = {
+    "english": "the old bridge over the river was closed for repairs during the winter",
+    "russian": "старый мост через реку был закрыт на ремонт в течение всей зимы",
+    "greek": "η παλιά γέφυρα πάνω από το ποτάμι ήταν κλειστή όλο τον χειμώνα",
+    "chinese": "冬天的时候 河上的旧桥 因为维修而关闭 人们只能坐船过河",
+    "arabic": "كان الجسر القديم فوق النهر مغلقا للإصلاح طوال فصل الشتاء",
+    "georgian": "ძველი ხიდი მდინარეზე დაკეტილი იყო მთელი ზამთარი",
+    "armenian": "գետի վրայի հին կամուրջը փակ էր ամբողջ ձմռանը",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_no_script_is_unwanted_by_itself(script):
+    text = SCRIPTS[script]
+    assert not uf.unwanted_page(f"<p>{text}</p>") and not uf.unwanted_page(f"<p>{text.capitalize()}. {text.title()}</p>")
+    if script in ("english", "russian", "greek", "armenian"):
+        assert uf.unwanted_page(f"<p>{text.upper()}</p>")
+
+
+def test_verdicts_do_not_follow_the_script(spark):
+    """Ordinary hosts of pages in four scripts are allowed, shouting ones blocked, held out too."""
+    rng = random.Random(9)
+    rows, truth = [], {}
+    names = {"english": "lake hill barn moss", "russian": "озеро холм амбар мох", "greek": "λίμνη λόφος αχυρώνας βρύα", "armenian": "լիճ բլուր գոմ մամուռ"}
+    for k in range(1600):
+        script = list(names)[k % 4]
+        bad = k % 20 < 4
+        host = "".join(rng.sample("zorb quim flax drub".split() if bad else names[script].split(), 2)) + f".site{k % 50}.example.net"
+        words = SCRIPTS[script].split()
+        rng.shuffle(words)
+        text = " ".join(words)
+        rows.append((k, f"http://{host}/en/{k}", f"<p>{text.upper() if bad else text} {' '.join(names[script].split())}</p>" if k < 1300 else None))
+        truth[k] = "block" if bad else "allow"
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for first, last in ((0, 1300), (1300, 1600)):
+        for j in range(4):
+            own = [k for k in range(first, last) if k % 4 == j and got[k].rule is None]
+            assert sum(got[k].verdict == truth[k] for k in own) >= 0.97 * len(own), (first, list(names)[j])
 
 
 def test_held_out_hosts(spark):
