@@ -22,6 +22,13 @@ from tarn.llm import license_texts
 
 _WORDS = re.compile(r"\w+")
 _VERSION = re.compile(r"\b(?:version|v\.?)\s*(\d+(?:\.\d+)*)", re.I)
+#: What a line of its own gives a license after; what parts the licenses of a choice; and what turns a line into its opposite.
+_LABEL = re.compile(r"\b(?:SPDX[-\s]License[-\s]Identifier|licen[sc]e)[\"']?\s*[:=]\s*[\"'(\s]*", re.I)
+_BETWEEN = re.compile(r"[\s,()\"'/]*(?:(?:and/or|and|or|as well as|with the option of)\b[\s(\"',]*|/\s*)(?:(?:at your option|alternatively|under|the|a)\b[\s,]*)*", re.I)
+_EXCEPTION = re.compile(r"\s+with\s+[\w.-]+", re.I)
+_EITHER = re.compile(r"\b(?:" + "|".join(license_texts.VERBS) + r")\s+under\s+(?:the\s+terms\s+of\s+)?(?:either|both|any)(?:\s+of)?:?\s+(?:the\s+|a\s+)?", re.I)
+_NEGATED = re.compile(r"(?:\b(?:not|never|neither|no\s+longer|cannot)|n['\u2019]t)\s+(?:\w+\s+){0,2}$", re.I)
+_CUES = ("license", "licence", "either", "both", "any", "under")
 #: Templates of so many words at most are lines.
 LINE_WORDS = 16
 #: In templates of more words only the first few hold what must agree; only the neighbourhood of seeds is aligned.
@@ -69,6 +76,9 @@ class Index:
     bags: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # words and their counts
     family: frozenset[int] = frozenset()
     numbers: frozenset[int] = frozenset()
+    called: dict[tuple[str, ...], int] = field(default_factory=dict)  # words of a name or an identifier to a template
+    by_license: dict[str, int] = field(default_factory=dict)
+    longest_name: int = 0
 
 
 def mark_places(text: str) -> frozenset[int]:
@@ -111,6 +121,18 @@ def build(templates=None, k: int = 4, window: int = 3) -> Index:
         hashes = _gram_hashes(words, k)
         for p in winnow(hashes, window):
             places[int(hashes[p])][-1 if line else at, p] = None
+    # names and identifiers alone, for labels and for what goes on after a line; no fingerprint leads to them
+    for license, name in [*((i, i) for i in license_texts.identifiers()), *license_texts.names()] if templates is None else []:
+        words = words_of(re.sub(r"^(?:the|a) ", "", name))
+        if license not in index.by_license:
+            index.by_license[license] = len(index.texts)
+            index.names.append(f"name:{license}")
+            index.licenses.append(license)
+            index.texts.append(np.array([number(w) for w in words], np.int64))
+        index.called.setdefault(tuple(words), index.by_license[license])
+    index.longest_name = max(map(len, index.called), default=0)
+    for w in _CUES:
+        number(w)
     index.lengths = sorted({len(index.texts[t]) for t in index.lines.values()}, reverse=True)
     index.prints, index.places = np.array(sorted(places), np.uint64), {h: list(p) for h, p in places.items()}
     return index
@@ -201,6 +223,89 @@ def _agrees(index: Index, template: int, terms: np.ndarray, pairs: list[tuple[in
     return True
 
 
+def _runs(seeds: list[tuple[int, int]], band: int, reach: int) -> list[list[tuple[int, int]]]:
+    """Seeds ``(diagonal, text place)`` in text order, parted into runs that stay near one diagonal and within a reach of the text."""
+    runs: list[list[tuple[int, int]]] = []
+    last: dict[int, int] = {}  # by band of diagonals, the run that was there last
+    for diagonal, place in seeds:
+        own = diagonal // (band + 1)
+        near = [r for b in (own, own - 1, own + 1) if (r := last.get(b)) is not None and abs(runs[r][-1][0] - diagonal) <= band and place - runs[r][0][1] <= reach]
+        if near:
+            r = max(near)
+            runs[r].append((diagonal, place))
+        else:
+            r = len(runs)
+            runs.append([(diagonal, place)])
+        last[own] = r
+    return runs
+
+
+def _room(run: list[tuple[int, int]], k: int, length: int, band: int, n_terms: int) -> tuple[int, int, int, int, int]:
+    """The part of a long template that is aligned for a run, its diagonal, and the part of the text."""
+    a, b = max(0, min(p - d for d, p in run) - _MARGIN), min(length, max(p - d for d, p in run) + k + _MARGIN)
+    diagonal = sorted(d for d, _ in run)[len(run) // 2]
+    return a, b, diagonal, max(0, a + diagonal - band), min(n_terms, b + diagonal + band)
+
+
+def _chains(runs: list[list[tuple[int, int]]], extent: np.ndarray, reach: int, least: float) -> Iterator[list[int]]:
+    """Runs that follow each other in text and template, most seeds first; each chain whose ``extent``, of words that may match, is ``least`` or more.
+
+    A copy of a template gives one run for each stretch between insertions; its inner repeats give runs across it, which are in no chain with it and are not
+    aligned. What lies in the text of a chain is settled with it.
+    """
+    first, last = np.array([r[0][1] for r in runs]), np.array([r[-1][1] for r in runs])
+    low, high = np.array([min(p - d for d, p in r) for r in runs]), np.array([max(p - d for d, p in r) for r in runs])
+    weight = np.array([len(r) for r in runs])
+    alive = np.argsort(first, kind="stable")
+    while len(alive):
+        best, width, start, back = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int64), first[alive].copy(), np.full(len(alive), -1)
+        f, e, a, b = first[alive], last[alive], low[alive], high[alive]
+        for i in range(len(alive)):
+            ok = np.flatnonzero((f[:i] < f[i]) & (e[:i] < e[i]) & (a[:i] < a[i]) & (b[:i] < b[i]) & (e[i] - start[:i] <= reach))
+            best[i], width[i] = weight[alive[i]], extent[alive[i]]
+            if len(ok):
+                j = ok[int(best[ok].argmax())]
+                best[i], start[i], back[i] = best[i] + best[j], start[j], j
+                width[i] += int(width[ok].max())
+        if width.max() < least:
+            return
+        at, chain = int(best.argmax()), []
+        while at >= 0:
+            chain.append(int(alive[at]))
+            at = int(back[at])
+        chain.reverse()
+        if extent[chain].sum() >= least:
+            yield chain
+        inside = (first[alive] >= first[chain[0]]) & (last[alive] <= last[chain[-1]])
+        alive = alive[~inside]
+
+
+def _short_pieces(index: Index, template: int, terms: np.ndarray, runs: list[list[tuple[int, int]]], reach: int, least: float, piece) -> list[list[tuple[int, int]]]:
+    """The alignments of the runs of a template that is aligned whole, most seeds first.
+
+    Left out are runs round which the text, as far as a chain reaches, lacks the template's words in any order, and runs in the text of an
+    alignment that is a match by itself.
+    """
+    words, times = index.bags[template]
+    place = np.full(len(index.terms) + 1, -1)
+    place[words] = np.arange(len(words))
+    at = place[terms]
+    pieces: list[list[tuple[int, int]]] = []
+    settled: list[tuple[int, int]] = []
+    for run in sorted(runs, key=lambda r: (-len(r), r[0][1])):
+        first, last = run[0][1], run[-1][1]
+        if any(a <= first and last < b for a, b in settled):
+            continue
+        near = at[max(0, first - reach) : last + index.k + reach]
+        if np.minimum(np.bincount(near[near >= 0], minlength=len(words)), times).sum() < least:
+            continue
+        pairs = piece(run, False)
+        pieces.append(pairs)
+        if len(pairs) >= least:
+            settled.append((pairs[0][0], pairs[-1][0] + 1))
+    return pieces
+
+
 def _places(index: Index, terms: np.ndarray, min_coverage: float, band: int) -> list[tuple[int, int, float, int, int, float]]:
     """``template, matched words, coverage, first, last + 1, share`` in words of a text; overlapping matches included."""
     hashes = _gram_hashes(terms, index.k)
@@ -225,31 +330,91 @@ def _places(index: Index, terms: np.ndarray, min_coverage: float, band: int) ->
         if np.minimum(counts[words], times).sum() < min_coverage * length:
             continue  # the whole text lacks the words, in any order
         own.sort(key=lambda s: (s[1], s[0]))
-        # seeds of one copy follow each other in the text and stay near one diagonal
-        runs: list[list[tuple[int, int]]] = []
-        for diagonal, place in own:
-            for run in reversed(runs):
-                if abs(run[-1][0] - diagonal) <= band and place - run[0][1] <= 2 * length:
-                    run.append((diagonal, place))
-                    break
+        runs, reach = _runs(own, band, 2 * length), 2 * length + band
+        done: dict[tuple, list[tuple[int, int]]] = {}
+
+        def piece(run, long, goal=goal, length=length, done=done):
+            """The alignment of the words around a run; of equal words it is made once."""
+            if long:
+                a, b, diagonal, lo, hi = _room(run, index.k, length, band, len(terms))
             else:
-                runs.append([(diagonal, place)])
-        pieces = []
-        for run in runs:
-            a, b = 0, length
-            if length > _LONG_WORDS:
-                a = max(0, min(p - d for d, p in run) - _MARGIN)
-                b = min(length, max(p - d for d, p in run) + index.k + _MARGIN)
-            diagonal = sorted(d for d, _ in run)[len(run) // 2]
-            lo, hi = max(0, a + diagonal - band), min(len(terms), b + diagonal + band)
-            pieces.append([(lo + p, a + t) for p, t in aligned(terms[lo:hi], goal[a:b], diagonal + a - lo, band)])
-        for pairs in joined(pieces, 2 * length + band):
-            if len(pairs) >= min_coverage * length and _agrees(index, template, terms, pairs):
-                first, last = pairs[0][0], pairs[-1][0] + 1
-                found.append((template, len(pairs), len(pairs) / length, first, last, len(pairs) / (last - first)))
+                a, b, diagonal = 0, length, sorted(d for d, _ in run)[len(run) // 2]
+                lo, hi = max(0, diagonal - band), min(len(terms), length + diagonal + band)
+            key = (a, b, diagonal - lo, terms[lo:hi].tobytes())
+            if key not in done:
+                done[key] = aligned(terms[lo:hi], goal[a:b], diagonal + a - lo, band)
+            return [(lo + p, a + t) for p, t in done[key]]
+
+        if length > _LONG_WORDS:
+            extent = np.zeros(len(runs), np.int64)  # words that the two parts share, in any order
+            for r, run in enumerate(runs):
+                a, b, _, lo, hi = _room(run, index.k, length, band, len(terms))
+                extent[r] = np.minimum(*(np.bincount(x, minlength=len(index.terms) + 1)[1:] for x in (goal[a:b], terms[lo:hi]))).sum()
+            groups = [[piece(runs[r], True) for r in chain] for chain in _chains(runs, extent, reach, min_coverage * length)]
+        else:
+            groups = [_short_pieces(index, template, terms, runs, reach, min_coverage * length, piece)]
+        for pieces in groups:
+            for pairs in joined(pieces, reach):
+                if len(pairs) >= min_coverage * length and _agrees(index, template, terms, pairs):
+                    first, last = pairs[0][0], pairs[-1][0] + 1
+                    found.append((template, len(pairs), len(pairs) / length, first, last, len(pairs) / (last - first)))
     return found
 
 
+def _named(index: Index, text: str, at: int) -> tuple[int, int, int] | None:
+    """``template, words, end`` of the longest name or identifier of a license that starts at a place of the text; a "+" after it means "or later"."""
+    words = []
+    for m in _WORDS.finditer(text, at):
+        # a name goes on over spaces, hyphens, points and commas only
+        if (m.start() > at if not words else re.search(r"[^\s.,-]|\n\s*\n", text[words[-1].end() : m.start()])) or len(words) == index.longest_name:
+            break
+        words.append(m)
+    for n in range(len(words), 0, -1):
+        template = index.called.get(tuple(m.group().lower() for m in words[:n]))
+        end = words[n - 1].end()
+        if template is not None and not re.match(r"\.\d|-\w", text[end : end + 2]):
+            return _or_later(index, text, template, end) + (n,) if text[end : end + 1] == "+" else (template, end, n)
+    return None
+
+
+def _or_later(index: Index, text: str, template: int, end: int) -> tuple[int, int]:
+    later = license_texts.has_later(index.licenses[template])
+    return (index.by_license[later], end + 1) if later in index.by_license else (template, end)
+
+
+def _choices(index: Index, text: str, at: int) -> Iterator[tuple[int, int, float, int, int, float]]:
+    """Licenses named one after another from a place on, parted by "and", "or" and the like; an exception after "with" is passed over."""
+    while (found := _named(index, text, at)) is not None:
+        template, end, n = found
+        yield template, n, 1.0, at, end, 1.0
+        if m := _EXCEPTION.match(text, end):
+            end = m.end()
+        m = _BETWEEN.match(text, end)
+        if not m:
+            return
+        at = m.end()
+
+
+def _ruled(index: Index, text: str, spans: list[tuple[int, int, float, int, int, float]]) -> list[tuple[int, int, float, int, int, float]]:
+    """Lines with what their neighbourhood makes of them: negated ones go, a "+" means "or later", further licenses of a choice are added; and labels, by rule."""
+    out = []
+    for f in spans:
+        if f[0] in index.marks:
+            out.append(f)
+            continue
+        if re.match(r"\.\d", text[f[4] : f[4] + 2]) or _NEGATED.search(text[max(0, f[3] - 40) : f[3]]):
+            continue  # a number that goes on names another version
+        template, end = _or_later(index, text, f[0], f[4]) if text[f[4] : f[4] + 1] == "+" else (f[0], f[4])
+        out.append((template, *f[1:4], end, f[5]))
+        if m := _BETWEEN.match(text, end):
+            out += _choices(index, text, m.end())
+    for pattern in (_LABEL, _EITHER):
+        for m in pattern.finditer(text):
+            if not _NEGATED.search(text[max(0, m.start() - 40) : m.start()]):
+                out += _choices(index, text, m.end())
+    return out
+
+
 def scan(index: Index, text: str, min_coverage: float, band: int, terms: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, float]]:
     """``template, matched words, coverage, start, end, share`` of a text; start and end in code points.
 
@@ -260,12 +425,8 @@ def scan(index: Index, text: str, min_coverage: float, band: int, terms: np.ndar
         words = list(_WORDS.finditer(text))
         terms = np.fromiter((index.terms.get(m.group().lower(), 0) for m in words), np.int64, len(words))
     found = _places(index, terms, min_coverage, band)
-    if not found:
-        return []
-    words = words or list(_WORDS.finditer(text))
-    spans = [(t, m, c, words[a].start(), words[b - 1].end(), share) for t, m, c, a, b, share in found]
-    # a line whose last number goes on names another version
-    spans = [f for f in spans if f[0] in index.marks or not re.match(r"\.\d", text[f[4] : f[4] + 2])]
+    words = words or (list(_WORDS.finditer(text)) if found else [])
+    spans = _ruled(index, text, [(t, m, c, words[a].start(), words[b - 1].end(), share) for t, m, c, a, b, share in found])
     # of overlapping matches the one stays with most matched words less the template's unmatched ones, then the better covered, then the first template
     spans.sort(key=lambda f: (len(index.texts[f[0]]) - 2 * f[1], -f[2], f[0], f[3]))
     kept: list[tuple[int, int, float, int, int, float]] = []
@@ -285,7 +446,9 @@ def license_matches(
 
     A document whose words hold a fingerprint of a template is a candidate for it. A template
     of at most ``LINE_WORDS`` words must stand in the text word for word, and a number at its end
-    must not go on (".1"). Of a longer one the banded alignment of the words around its seeds
+    must not go on (".1"); a "+" there means "or later", a negation before it rules it out, and
+    licenses that follow after "or" or "and" are reported too. SPDX lines, labels ("License: MIT")
+    and "under either of" are read by rule: a name or an identifier of the list must follow. Of a longer one the banded alignment of the words around its seeds
     must match ``min_coverage`` of the words, among them all versions, words of families and
     "later" (of a whole legal text those of its title); a word such as "Affero" put between two
     matched ones rules it out, so that a license that is not in the index is not taken for its
@@ -306,6 +469,8 @@ def license_matches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
         get = index.terms.get
+        cued, chosen, under = (np.zeros(len(index.terms) + 2, bool) for _ in range(3))
+        cued[[get("license"), get("licence")]] = chosen[[get("either"), get("both"), get("any")]] = under[get("under")] = True
         for part in (part for batch in batches for part in base.slices(batch)):
             ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             # all documents' words in one array, with a word of no template between documents
@@ -319,7 +484,7 @@ def license_matches(
             starts = np.flatnonzero(run_of_k)
             grams = terms[starts[:, None] + np.arange(index.k)].reshape(-1) if len(starts) else np.zeros(0, np.int64)
             hashes = _gram_hashes(grams, index.k)[:: index.k]
-            hit = starts[np.isin(hashes, index.prints)]
+            hit = np.concatenate([starts[np.isin(hashes, index.prints)], np.flatnonzero(cued[terms]), np.flatnonzero(under[terms[:-1]] & chosen[terms[1:]])])
             stop, rows = np.cumsum(size), []
             for k in np.unique(np.searchsorted(stop, hit, "right")).tolist():
                 own = terms[stop[k] - size[k] : stop[k] - 1]

@@ -247,7 +247,10 @@ PLAIN = (
     ("BSD-4-Clause", ("BSD 4-Clause License", "4-Clause BSD License", "Original BSD License")),
     ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0 license", "Creative Commons Zero v1.0 Universal")),
     ("MIT-0", ("MIT No Attribution License", "MIT-0 License")),
+    ("BSD", ("BSD License", "BSD-style License")),
 )
+# Further identifiers of the SPDX list.
+OTHER_IDS = tuple("0BSD AFL-2.1 BlueOak-1.0.0 CPL-1.0 curl IPL-1.0 LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later MS-PL MS-RL NCSA OpenSSL PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Unicode-3.0 UPL-1.0 Vim W3C WTFPL X11".split())
 #: Clauses of the Creative Commons licenses by short and long name, and the versions' long forms.
 CLAUSES = (
     ("BY", "Attribution"),
@@ -270,25 +273,43 @@ def _versions(version: str, short: bool) -> tuple[str, ...]:
     return tuple(f"{lead}{n}" for n in numbers for lead in (", version ", " v", " ", *(("v",) if short else ())))
 
 
-def line_templates() -> tuple[tuple[str, str, str], ...]:
-    """Lines such as "Released under the MIT License": each verb with each name of each license, by rule."""
-    names: list[tuple[str, str]] = []
+def names() -> list[tuple[str, str]]:
+    """What lines call each license, by rule: each form of each name, with its article."""
+    out: list[tuple[str, str]] = []
     for key, long, short, versions, later in FAMILIES:
         for version in versions:
             for name in (long, *short):
                 for v in _versions(version, name in short):
-                    names.append((f"{key}-{version}", f"the {name}{v}"))
+                    out.append((f"{key}-{version}", f"the {name}{v}"))
                     if name == "Apache":
-                        names.append((f"{key}-{version}", f"the {name}{v} License"))
+                        out.append((f"{key}-{version}", f"the {name}{v} License"))
                     if later:
-                        names += [(f"{key}-{version}-or-later", f"the {name}{v} or {any_}later") for any_ in ("", "any ", "at your option any ")]
-    names += [(key, f"the {n}") for key, own in PLAIN for n in own]
+                        out.append((f"{key}-{version}-only", f"the {name}{v} only"))
+                        out += [(f"{key}-{version}-or-later", f"the {name}{v} or {any_}later") for any_ in ("", "any ", "at your option any ")]
+    out += [(key, f"the {n}") for key, own in PLAIN for n in own]
     for version, form in CC_VERSIONS:
         for short, long in CLAUSES:
             key = f"CC-{short}-{version}"
-            names += [(key, f"CC {short} {version}"), (key, f"the CC {short} {version} license")]
-            names += [(key, f"{a} Creative Commons {long} {version}{end}") for a in ("a", "the") for end in ("", f" {form}", f" {form} License", " License")]
-    return tuple((f"line:{license}", license, f"{verb} under {name}.") for verb in VERBS for license, name in names)
+            out += [(key, f"CC {short} {version}"), (key, f"the CC {short} {version} license")]
+            out += [(key, f"{a} Creative Commons {long} {version}{end}") for a in ("a", "the") for end in ("", f" {form}", f" {form} License", " License")]
+    return out
+
+
+def identifiers() -> list[str]:
+    """Identifiers that an SPDX line or a label may give."""
+    own = [f"{key}-{version}{end}" for key, _, _, versions, later in FAMILIES for version in versions for end in (("", "-only", "-or-later") if later else ("",))]
+    return own + [key for key, _ in PLAIN] + [f"CC-{short}-{version}" for version, _ in CC_VERSIONS for short, _ in CLAUSES] + list(OTHER_IDS)
+
+
+def has_later(license: str) -> str | None:
+    """The "or later" form of a license of a family that has one."""
+    family = next((f for f in FAMILIES if f[4] and license in {f"{f[0]}-{v}" for v in f[3]}), None)
+    return f"{license}-or-later" if family else None
+
+
+def line_templates() -> tuple[tuple[str, str, str], ...]:
+    """Lines such as "Released under the MIT License": each verb with each name of each license."""
+    return tuple((f"line:{license}", license, f"{verb} under {name}.") for verb in VERBS for license, name in names())
 
 
 #: Whole legal texts, one file each, by the SPDX identifier that the text alone stands for.

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from tarn.llm import license_scan as ls
@@ -141,3 +143,61 @@ def test_very_long_texts_and_the_contract_query(as_docs, saved, spark):
     got = ls.op4_license_scan(spark, saved(documents=docs)).collect()
     assert [(r.doc_id, r.license, r.start) for r in sorted(got)] == [(k, "MIT", 10_000_000) for k in range(3)]
     assert got[0].text_share == 1 and got[0].stop == len(long) - 1
+
+
+def _found(index, text):
+    return [(index.licenses[f[0]], text[f[3] : f[4]]) for f in ls.scan(index, text, 0.8, 8)]
+
+
+def test_lines_labels_choices_and_negation():
+    index = ls.build()
+    cases = {
+        "Licensed under the GPLv2+": ["GPL-2.0-or-later"],
+        "Released under the GNU General Public License v2 only.": ["GPL-2.0-only"],
+        "Dual licensed under the MIT License and the Apache License, Version 2.0": ["MIT", "Apache-2.0"],
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option": ["Apache-2.0", "MIT"],
+        "Licensed under the MIT License or, at your option, the Apache License 2.0": ["MIT", "Apache-2.0"],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: Apache-2.0\n// more": ["Apache-2.0"],
+        "# SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause) AND MIT": ["GPL-2.0-or-later", "BSD-3-Clause", "MIT"],
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT": ["GPL-2.0-only", "MIT"],
+        "SPDX-License-Identifier: LicenseRef-own": [],
+        "SPDX-License-Identifier: MIT-Modern-Variant": [],
+        "released under the BSD license": ["BSD"],
+        "License: MIT": ["MIT"],
+        '{"name": "x", "license": "ISC", "version": "1.0"}': ["ISC"],
+        "License: see the file of that name": [],
+        "Not licensed under the MIT License": [],
+        "It was never publicly released under the MIT License.": [],
+        "It isn't licensed under either of Apache License, Version 2.0 or MIT license": [],
+        "Released under the GNU General Public License v2.5": [],
+        "under either name, the license of the land applies: none": [],
+    }
+    for text, wanted in cases.items():
+        assert [license for license, _ in _found(index, text)] == wanted, text
+        assert [license for license, _ in _found(index, f"Words before.\n\n{text}\n\nand 12 words after")] == wanted, text
+    assert [span for _, span in _found(index, "Licensed under the GPLv2+ or the MIT License")] == ["Licensed under the GPLv2+", "MIT License"]
+
+
+def test_labels_are_found_in_documents(as_docs):
+    texts = {1: "SPDX-License-Identifier: MIT", 2: "no such thing", 3: "Published under either of Apache-2.0 or MIT", 4: "License: Zlib", 5: "license"}
+    got = ls.license_matches(as_docs([(i, t, None, None) for i, t in texts.items()])).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.license) for r in got] == [(1, "MIT"), (3, "Apache-2.0"), (3, "MIT"), (4, "Zlib")]
+
+
+def test_time_of_legal_texts():
+    """Inner repeats of legal texts, and many repeats of a title, are not aligned each by itself."""
+    index, full = ls.build(), {license: text for _, license, text in license_texts.full_templates()}
+    title = "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. "
+    for text, wanted in ((full["GPL-3.0"], ["GPL-3.0"]), (full["GPL-3.0"] + full["Apache-2.0"] + title * 300, ["GPL-3.0", "Apache-2.0"]), (title * 3000, [])):
+        began = time.perf_counter()
+        assert [index.licenses[f[0]] for f in ls.scan(index, text, 0.8, 8)] == wanted
+        assert time.perf_counter() - began < 5  # about one second on an idle machine
+
+
+def test_parted_copies_of_a_legal_text_are_joined():
+    index, text = ls.build(), license_texts.full_templates()[0][2]
+    words = text.split()
+    parted = " ".join([*words[:700], *(f"x{k}" for k in range(60)), *words[700:]])
+    found = ls.scan(index, f"{parted} and {text}", 0.8, 8)
+    assert [(index.licenses[f[0]], round(f[2], 2)) for f in found] == [("Apache-2.0", 1.0)] * 2
