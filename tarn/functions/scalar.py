@@ -69,6 +69,11 @@ def string_id(*parts: Column) -> Column:
     return F.xxhash64(F.concat_ws("\u0001", *parts))
 
 
+def spread_number(seed: int, key: Column) -> Column:
+    """A number of 60 bits from a key, the same wherever it is computed, for samples, folds and random order: the start of the MD5 of ``seed:key``."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def scaled_byte(x: Column) -> Column:
     """``100 x`` cut to an integer of at most 127; NaN and null are 0."""
     return F.least(F.lit(127), (F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)) * 100).cast("int"))

@@ -12,7 +12,7 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,30 @@ def dictionary_segmenter(dictionary: list[str]):
     return run
 
 
+def segmented(rows: DataFrame, id_col: str, text: str, words: DataFrame, word: str, name: str = "tokens") -> DataFrame:
+    """T11 with a dictionary in a table of any size: forward maximum matching by an equal join of the substrings of each text with the words.
+
+    Ids must tell rows apart; a text is ``length * longest word`` rows while it is matched. Null texts have null tokens.
+    """
+    longest = words.agg(F.max(F.length(word))).first()[0] or 1
+    start = rows.where(F.col(text).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), F.explode(F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))).alias("__at"))
+    pieces = start.select("__id", "__at", F.explode(F.when(F.length("__t") > F.col("__at"), F.sequence(F.lit(2), F.least(F.greatest(F.lit(2), F.lit(longest)), F.length("__t") - F.col("__at") + 1)))).alias("__n"), "__t")
+    pieces = pieces.select("__id", "__at", "__n", F.substring("__t", F.col("__at"), F.col("__n")).alias("__w"))
+    known = pieces.join(words.select(F.col(word).alias("__w")).distinct(), "__w", "left_semi").groupBy("__id", "__at").agg(F.max("__n").alias("__n"))
+    sizes = known.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__n"))).alias("__sizes"))
+    joined = rows.join(sizes, F.col(id_col) == F.col("__id"), "left")
+
+    def step(state: Column, at: Column) -> Column:
+        size = F.coalesce(F.col("__sizes")[at], F.lit(1))
+        here = F.substring(F.col(text), at, size)
+        skipped = (at < state["next"]) | ((size == 1) & (F.trim(here) == ""))
+        return F.struct(F.when(skipped, state["next"]).otherwise(at + size).alias("next"), F.when(skipped, state["out"]).otherwise(F.concat(state["out"], F.array(here))).alias("out"))
+
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    tokens = F.aggregate(places, F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out")), step, lambda s: s["out"])
+    return joined.withColumn(name, F.when(F.col(text).isNotNull(), tokens)).drop("__id", "__sizes")
+
+
 def character_folding(text: Column, source: str, target: str) -> Column:
     """Characters of ``source`` replaced by those of ``target``, e.g. traditional by simplified forms."""
     return F.translate(text, source, target)

@@ -125,13 +125,13 @@ def percentiles(rows: DataFrame, value: str, at: Sequence[float], accuracy: int
     return rows.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(f"p{round(100 * p)}") for p, x in zip(at, found, strict=True)])
 
 
-def standardised_logistic(rows: DataFrame, features: Sequence[str], label: str):
+def standardised_logistic(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 1e-4):
     """Coefficients and intercept of a logistic regression on standardised features, in the features' own units."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     assembled = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
-    model = LogisticRegression(featuresCol="__x", labelCol=label, standardization=True, regParam=1e-4).fit(assembled)
+    model = LogisticRegression(featuresCol="__x", labelCol=label, standardization=True, regParam=penalty, tol=1e-10, maxIter=200).fit(assembled)
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.scalar import spread_number
+
 
 def _placed(rows: DataFrame, query: str, order: Sequence[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(query).orderBy(*order)))
@@ -101,12 +103,12 @@ def mixed_labels_only(rows: DataFrame, group: str, label: Column) -> DataFrame:
 
 def folds(rows: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
     """A fold per key, never per row."""
-    return rows.withColumn(name, F.pmod(F.xxhash64(F.col(key)), F.lit(k)).cast("int"))
+    return rows.withColumn(name, F.pmod(spread_number(0, F.col(key)), F.lit(k)).cast("int"))
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The first ``n`` rows in hashed order; the same on every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(spread_number(seed, F.col(key)), key).limit(n)
 
 
 def nested_subsets(rows: DataFrame, order: str, sizes: Sequence[int]) -> DataFrame:
@@ -132,9 +134,9 @@ def training_rows(relevant: DataFrame, retrieved: DataFrame, query: str, doc: st
     return relevant.select(query, doc, F.lit(1).alias("label")).unionByName(others.select(query, doc, F.lit(0).alias("label")))
 
 
-def factorised(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 50, seed: int = 1):
-    """User and item vectors by implicit alternating least squares."""
+def factorised(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 50, seed: int = 1, penalty: float = 0.1, alpha: float = 1.0):
+    """User and item vectors by implicit alternating least squares; users are solved last, so their vectors satisfy the normal equations of the items'."""
     from pyspark.ml.recommendation import ALS
 
-    model = ALS(rank=rank, implicitPrefs=True, userCol=user, itemCol=item, ratingCol=rating, seed=seed, maxIter=5).fit(ratings)
+    model = ALS(rank=rank, implicitPrefs=True, userCol=user, itemCol=item, ratingCol=rating, seed=seed, maxIter=5, regParam=penalty, alpha=alpha).fit(ratings)
     return model.userFactors, model.itemFactors

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.scalar import spread_number
+
 Scorer = Callable[["Scope"], Column]
 
 
@@ -242,7 +244,7 @@ def prompt(hits: DataFrame, fields: list[str], question: str, n: int, order: lis
 
 def random_score(id_col: str, seed: int = 0) -> Column:
     """The same pseudo-random score in [0, 1) on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(spread_number(seed, F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
 
 
 def popularity_blend(score: Column, clicks: Column, impressions: Column, weight: float = 100.0) -> Column:

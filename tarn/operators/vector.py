@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import tensor as tn
+from tarn.functions.scalar import spread_number
 
 
 def nearest(docs: DataFrame, vector: str, query: Column, id_col: str, k: int, distance=tn.euclidean, condition: Column | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def neighbour_weights(assigned: DataFrame, id_col: str) -> DataFrame:
 
 def random_centroids(docs: DataFrame, id_col: str, one_in: int, seed: int = 0) -> DataFrame:
     """V6: one row in so many, by a hash of its id."""
-    return docs.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(one_in)) == 0)
+    return docs.where(F.pmod(spread_number(seed, F.col(id_col)), F.lit(one_in)) == 0)
 
 
 def binary_then_float(docs: DataFrame, vector: str, query: Column, id_col: str, first: int, k: int) -> DataFrame:

@@ -74,11 +74,11 @@ def compound_words(spark, sf_dir):
 
 @query("dictionary_segments", "SELECT p_partkey, replace(p_name, ' ', '|') AS tokens FROM part")
 def dictionary_segments(spark, sf_dir):
-    """The words of all names are the dictionary, a list of bounded size; names without spaces are cut into them."""
+    """The words of all names are the dictionary, a table; names without spaces are cut into them."""
     part = table(spark, sf_dir, "part")
-    words = [r.w for r in part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().limit(100_000).collect()]
+    words = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     rows = part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("t"))
-    return rows.select("p_partkey", F.array_join(tx.dictionary_segmenter(words)("t"), "|").alias("tokens"))
+    return tx.segmented(rows, "p_partkey", "t", words, "w").select("p_partkey", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query("character_folding", "SELECT p_partkey, translate(p_name, 'aeiou', 'AEIOU') AS folded FROM part")

@@ -155,10 +155,10 @@ def grouped_scan(spark, sf_dir):
     return feeds.read_group(spark, path, "click").select("event_id", "user_id")
 
 
-@query("point_lookup", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0 WHERE o_orderkey < 100")
+@query("point_lookup", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def point_lookup(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").where("o_orderkey < 100").select("o_orderkey", "o_custkey")
-    documents = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    ids = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    documents = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return feeds.lookup(ids, documents, "o_custkey")
 
 
@@ -185,11 +185,20 @@ def vector_literals(spark, sf_dir):
     return rows.select("vec_id", F.round(dense[0] + dense[1], 6).alias("dense"), raw[0].alias("hex"), F.round(F.element_at(sc.mapped_from_json(cells, "x"), "a"), 6).alias("cell"))
 
 
-@query("random_albums", "SELECT 500 AS n, 500 AS ids, true AS years, true AS scores")
+_PICK = "('0x' || md5('{}:' || s_suppkey)[1:15])::BIGINT % {}"
+
+
+@query(
+    "random_albums",
+    f"""
+    SELECT 'album-' || s_suppkey AS id, ['red', 'blue', 'silent', 'loud'][{_PICK.format(4, 4)} + 1] AS artist, CAST(1960 + {_PICK.format(5, 60)} AS INTEGER) AS year,
+           CAST({_PICK.format(1, 101)} AS INTEGER) AS pop, CAST({_PICK.format(2, 101)} AS INTEGER) AS rock, CAST({_PICK.format(3, 101)} AS INTEGER) AS jazz FROM supplier
+    """,
+)
 def random_albums(spark, sf_dir):
-    scores = F.forall(F.map_values("category_scores"), lambda s: s.between(0, 100))
-    rows = feeds.random_albums(spark, 500).agg(F.count("*").alias("n"), F.countDistinct("_id").alias("ids"), F.min(F.col("year").between(1960, 2019)).alias("years"), F.min(scores).alias("scores"))
-    return rows.withColumns({c: F.col(c).cast("int") for c in ("n", "ids")})
+    """An album for each supplier."""
+    albums = feeds.random_albums(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return albums.select(F.col("_id").alias("id"), "artist", "year", *[F.col("category_scores")[c].cast("int").alias(c) for c in ("pop", "rock", "jazz")])
 
 
 # ---- document types and summaries ---------------------------------------------------------------------------------

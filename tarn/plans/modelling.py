@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,36 +98,55 @@ def sampled_negatives(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count_if(clicked).alias("positives"), F.count_if(~clicked).alias("negatives")).where("positives > 0")
 
 
-@query("folds_by_key", "SELECT count(DISTINCT o_custkey) AS keys, 1 AS folds_of_a_key, 5 AS folds FROM orders")
+#: The number that samples, folds and random order go by, in SQL.
+_NUMBER = "('0x' || md5('{}:' || {})[1:15])::BIGINT"
+
+
+@query("folds_by_key", f"SELECT DISTINCT o_custkey, CAST({_NUMBER.format(0, 'o_custkey')} % 5 AS INTEGER) AS fold FROM orders")
 def folds_by_key(spark, sf_dir):
-    rows = m.folds(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey", 5)
-    per = rows.groupBy("o_custkey").agg(F.countDistinct("fold").cast("int").alias("n"), F.min("fold").alias("fold"))
-    return per.agg(F.count("*").alias("keys"), F.max("n").alias("folds_of_a_key"), F.countDistinct("fold").cast("int").alias("folds"))
+    return m.folds(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey", 5).distinct()
 
 
-@query("hashed_sample", "SELECT 100 AS n, 100 AS known FROM (SELECT count(*) FROM customer)")
+@query("hashed_sample", f"SELECT c_custkey FROM customer ORDER BY {_NUMBER.format(0, 'c_custkey')}, c_custkey LIMIT 100")
 def hashed_sample(spark, sf_dir):
     """A sample of 100 rows, the same on every run."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey")
-    sample, again = m.hashed_sample(rows, "c_custkey", 100), m.hashed_sample(rows.repartition(3), "c_custkey", 100)
-    return sample.join(again.withColumn("same", F.lit(1)), "c_custkey", "left").agg(F.count("*").cast("int").alias("n"), F.count("same").cast("int").alias("known"))
+    return m.hashed_sample(table(spark, sf_dir, "customer").select("c_custkey").repartition(3), "c_custkey", 100)
 
 
-@query("judged_and_sampled", "SELECT count(*) AS judged, 50 AS others FROM (SELECT DISTINCT doc_id FROM labels)")
+@query(
+    "judged_and_sampled",
+    f"""
+    SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY {_NUMBER.format(0, 'doc_id')}, doc_id LIMIT 50)
+    """,
+)
 def judged_and_sampled(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
-    rows = m.judged_and_sampled(docs, labels, "doc_id", 50).join(labels.select("doc_id", F.lit(1).alias("known")).distinct(), "doc_id", "left")
-    return rows.agg(F.count("known").alias("judged"), F.count_if(F.col("known").isNull()).cast("int").alias("others"))
+    return m.judged_and_sampled(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", 50)
 
 
-@query("factorised_ratings", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS items, 4 AS \"rank\" FROM events")
+@query("factorised_ratings", "SELECT CAST(user_id AS INTEGER) AS user, count(DISTINCT event_type) AS rated, 4 AS \"rank\", 0.0::DOUBLE AS residual FROM events GROUP BY 1")
 def factorised_ratings(spark, sf_dir):
-    """The vectors depend on the solver's seed; their number and length do not."""
+    """The vectors depend on the solver's seed; the normal equations of each user, given the items' vectors, do not: what is left of them is 0."""
     kind = F.array_position(F.array(*[F.lit(k) for k in ("click", "view", "purchase", "error", "signup")]), F.col("event_type"))
     events = table(spark, sf_dir, "events")
     ratings = events.select(F.col("user_id").cast("int").alias("user"), F.coalesce(F.nullif(kind.cast("int"), F.lit(0)), F.lit(9)).alias("item"), F.lit(1.0).alias("n")).groupBy("user", "item").agg(F.sum("n").alias("n"))
     users, items = m.factorised(ratings, "user", "item", "n", rank=4)
-    return users.agg(F.count("*").alias("users"), F.min(F.size("features")).alias("rank")).crossJoin(items.agg(F.count("*").alias("items")))
+    vectors = {r.id: np.array(r.features, np.float64) for r in items.collect()}  # a few kinds of events
+    square = sum(np.outer(y, y) for y in vectors.values())
+
+    @F.pandas_udf("double")
+    def residual(features: pd.Series, rated: pd.Series) -> pd.Series:
+        """``(Y'Y + Y'(C - 1)Y + penalty n) x`` against ``Y'C p``, relative to the latter, with confidence ``C = 1 + rating``."""
+        out = []
+        for x, own in zip(features, rated, strict=True):
+            a = square + 0.1 * len(own) * np.eye(4) + sum(r["n"] * np.outer(vectors[r["item"]], vectors[r["item"]]) for r in own)
+            b = sum((1 + r["n"]) * vectors[r["item"]] for r in own)
+            out.append(float(np.abs(a @ np.asarray(x, np.float64) - b).max() / np.abs(b).max()))
+        return pd.Series(out)
+
+    per = ratings.groupBy("user").agg(F.collect_list(F.struct("item", "n")).alias("own")).join(users, F.col("user") == F.col("id"))
+    left = F.round(residual(F.col("features").cast("array<double>"), "own"), 3)
+    return per.select("user", F.size("own").cast("long").alias("rated"), F.size("features").alias("rank"), F.abs(left).alias("residual"))
 
 
 @query("stratified_sums", "SELECT o_orderkey, sum(o_totalprice) OVER w AS running, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
@@ -149,13 +170,18 @@ def constant_columns(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
 
 
-@query("logistic_regression", "SELECT true AS separates FROM part GROUP BY 1")
+@query(
+    "logistic_regression",
+    """
+    WITH c AS (SELECT count(*) FILTER (x AND y) AS a, count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c, count(*) FILTER (NOT x AND NOT y) AS d FROM (SELECT p_size > 25 AS x, p_partkey % 3 = 0 AS y FROM part))
+    SELECT 'large' AS term, round(ln((a::DOUBLE / b) / (c::DOUBLE / d)), 3) AS coefficient FROM c UNION ALL SELECT 'intercept', round(ln(c::DOUBLE / d), 3) FROM c
+    """,
+)
 def logistic_regression(spark, sf_dir):
-    """Coefficients in the features' own units; the model they give must separate what a threshold separates."""
-    rows = table(spark, sf_dir, "part").select("p_size", "p_retailprice", (F.col("p_size") > 25).cast("double").alias("y"))
-    coefficients, intercept = g.standardised_logistic(rows, ["p_size", "p_retailprice"], "y")
-    score = r.linear_model(coefficients, intercept)
-    return rows.agg((F.avg(((score > 0) == (F.col("y") > 0.5)).cast("double")) > 0.98).alias("separates"))
+    """Of one binary feature the coefficients are known: logarithms of odds."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") > 25).cast("double").alias("large"), (F.col("p_partkey") % 3 == 0).cast("double").alias("y"))
+    coefficients, intercept = g.standardised_logistic(rows, ["large"], "y", penalty=0.0)
+    return spark.createDataFrame([("large", round(coefficients["large"], 3)), ("intercept", round(intercept, 3))], "term string, coefficient double")
 
 
 @query("linear_model", "SELECT p_partkey, round(0.5 + 0.02 * p_size - 0.001 * p_retailprice, 6) AS score FROM part")
@@ -170,10 +196,9 @@ def onnx_model(spark, sf_dir):
     return rows.select("p_partkey", F.floor(r.onnx_scorer(model, ["a", "b"])).alias("score"))
 
 
-@query("random_scores", "SELECT count(*) AS n, true AS inside, true AS spread FROM part")
+@query("random_scores", f"SELECT p_partkey, round(({_NUMBER.format(3, 'p_partkey')} % 1073741824) / 1073741824.0::DOUBLE, 9) AS score FROM part")
 def random_scores(spark, sf_dir):
-    score = r.random_score("p_partkey", 3)
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.min((score >= 0) & (score < 1)).alias("inside"), (F.abs(F.avg(score) - 0.5) < 0.1).alias("spread"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(r.random_score("p_partkey", 3), 9).alias("score"))
 
 
 @query("rating_window", "SELECT p_partkey, round(p_retailprice, 6) AS relevance FROM part WHERE p_size > 10 AND p_size < 20")
@@ -244,13 +269,13 @@ def windowed_counts(spark, sf_dir):
 @query(
     "windowed_interval_join",
     """
-    WITH a AS (SELECT l_orderkey AS k, l_linenumber AS s, l_linenumber + 2 AS e FROM lineitem WHERE l_suppkey % 10 = 0), b AS (SELECT l_orderkey AS k, l_linenumber AS s, l_linenumber + 1 AS e FROM lineitem WHERE l_suppkey % 10 = 1)
+    WITH a AS (SELECT l_orderkey AS k, l_linenumber AS s, l_linenumber + 2 AS e FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey AS k, l_linenumber AS s, l_linenumber + 1 AS e FROM lineitem WHERE l_returnflag <> 'R')
     SELECT a.k, greatest(a.s, b.s) AS start, least(a.e, b.e) AS "end" FROM a JOIN b ON a.k = b.k AND a.s <= b.e AND b.s <= a.e WHERE a.s <= 4 AND a.e >= 2
     """,
 )
 def windowed_interval_join(spark, sf_dir):
-    side = lambda rest, more: table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 10 == rest).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + more).alias("end"))
-    return j.interval_join(j.in_window(side(0, 2), 2, 4), side(1, 1), ["k"]).select("k", "start", "end")
+    side = lambda returned, more: table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") == returned).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + more).alias("end"))
+    return j.interval_join(j.in_window(side(True, 2), 2, 4), side(False, 1), ["k"]).select("k", "start", "end")
 
 
 @query("user_recommendation", f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], {_Q}) * (1 + label), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
@@ -260,11 +285,18 @@ def user_recommendation(spark, sf_dir):
     return v.user_recommendation(users, 7, vectors, "vec_id", "v", 10, F.col("label") + 1.0).withColumn("score", F.round("score", 6))
 
 
-@query("bucket_join", "SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN supplier ON p_size % 7 IN (s_nationkey % 7, s_nationkey % 5) OR p_partkey % 11 = s_nationkey % 7 OR p_partkey % 11 = s_nationkey % 5 WHERE p_partkey < 200")
+@query(
+    "bucket_join",
+    """
+    WITH d AS (SELECT DISTINCT p_partkey, b FROM (SELECT p_partkey, unnest([p_size % 7, p_partkey % 997]) AS b FROM part)), q AS (SELECT DISTINCT s_suppkey, b FROM (SELECT s_suppkey, unnest([s_nationkey % 5, s_suppkey % 991]) AS b FROM supplier WHERE s_acctbal > 9000))
+    SELECT p_partkey, count(*) AS suppliers, max(s_suppkey) AS last FROM (SELECT DISTINCT p_partkey, s_suppkey FROM d JOIN q USING (b)) GROUP BY 1
+    """,
+)
 def bucket_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", F.array((F.col("p_size") % 7).cast("long"), F.col("p_partkey") % 11).alias("d"))
-    asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.array((F.col("s_nationkey") % 7).cast("long"), (F.col("s_nationkey") % 5).cast("long")).alias("q"))
-    return j.bucket_join(docs, asked, "p_partkey", "s_suppkey", "d", "q").select("p_partkey", "s_suppkey")
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.array((F.col("p_size") % 7).cast("long"), F.col("p_partkey") % 997).alias("d"))
+    asked = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select("s_suppkey", F.array((F.col("s_nationkey") % 5).cast("long"), F.col("s_suppkey") % 991).alias("q"))
+    pairs = j.bucket_join(docs, asked, "p_partkey", "s_suppkey", "d", "q")
+    return pairs.groupBy("p_partkey").agg(F.count("*").alias("suppliers"), F.max("s_suppkey").alias("last"))
 
 
 @query("neighbour_weights", """
@@ -279,11 +311,9 @@ def neighbour_weights(spark, sf_dir):
     return v.neighbour_weights(near, "vec_id").select("vec_id", F.explode("neighbours").alias("centroid", "w"))
 
 
-@query("random_centroids", "SELECT true AS some, true AS few FROM embeddings GROUP BY 1")
+@query("random_centroids", f"SELECT vec_id FROM embeddings WHERE {_NUMBER.format(0, 'vec_id')} % 6 = 0")
 def random_centroids(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    picked = v.random_centroids(rows, "vec_id", 6).agg(F.count("*").alias("n"))
-    return picked.crossJoin(rows.agg(F.count("*").alias("all"))).select((F.col("n") > 0).alias("some"), (F.col("n") < F.col("all") / 3).alias("few"))
+    return v.random_centroids(_vectors(spark, sf_dir), "vec_id", 6).select("vec_id")
 
 
 @query("id_strings", "SELECT count(*) AS n, count(DISTINCT c_name) AS ids, CAST(sum(CAST(split_part(c_name, '#', 2) AS BIGINT)) AS BIGINT) AS tails FROM customer")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.scalar import spread_number
+
 _ID = r"^id:([^:]*):([^:]*):(?:g=([^:]*))?(?:n=([^:]*))?:(.*)$"
 
 
@@ -111,9 +113,10 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def random_albums(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """Albums with random scores for three categories."""
-    score = lambda k: F.round(F.rand(seed + k) * 100).cast("float")
-    pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(F.rand(seed + k) * len(words)) + 1).cast("int"))
+def random_albums(ids: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """An album for each id, with random scores for three categories, the same on every run."""
+    number = lambda k, n: F.pmod(spread_number(seed + k, F.col(id_col)), F.lit(n)).cast("int")
+    score = lambda k: number(k, 101).cast("float")
+    pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), number(k, len(words)) + 1)
     scores = F.create_map(F.lit("pop"), score(1), F.lit("rock"), score(2), F.lit("jazz"), score(3))
-    return spark.range(n).select(F.concat(F.lit("album-"), "id").alias("_id"), pick(["red", "blue", "silent", "loud"], 4).alias("artist"), (1960 + F.floor(F.rand(seed + 5) * 60)).cast("int").alias("year"), scores.alias("category_scores"))
+    return ids.select(F.concat(F.lit("album-"), F.col(id_col)).alias("_id"), pick(["red", "blue", "silent", "loud"], 4).alias("artist"), (1960 + number(5, 60)).alias("year"), scores.alias("category_scores"))

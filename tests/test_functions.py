@@ -132,3 +132,14 @@ def test_soundex_follows_its_rules(spark):
     words = ["Robert", "Rupert", "Tymczak", "Pfister", "Honeyman", "Ashcraft"]
     got = value(spark, tx.phonetic(lits([w.lower() for w in words])))
     assert got == ["R163", "R163", "T522", "P236", "H555", "A261"]
+
+
+def test_segments_by_a_table_of_words(spark):
+    """The join gives what the small dictionary's function gives."""
+    words = ["喜欢", "音乐", "ab", "abc", "cd", "b c", "x"]
+    texts = [(1, "我喜欢音乐"), (2, "abcd"), (3, "ab cd"), (4, ""), (5, None), (6, "a"), (7, "zzabzzabcabd")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    table = spark.createDataFrame([(w,) for w in words], "w string")
+    wanted = {r.id: r.x for r in df.select("id", tx.dictionary_segmenter(words)("t").alias("x")).collect()}
+    assert {r.id: r.tokens for r in tx.segmented(df, "id", "t", table, "w").collect()} == wanted
+    assert tx.segmented(df, "id", "t", table.limit(0), "w").where("id = 2").first().tokens == list("abcd")
