@@ -242,6 +242,7 @@ def contaminated(
     threshold: float = 0.6,
     min_overlap: float = 0.8,
     items_at_once: int = 20_000,
+    chars_at_once: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
@@ -254,9 +255,9 @@ def contaminated(
     item is a candidate where the passage's words make up ``threshold`` of its BM25
     weight, and a hit where ``min_overlap`` of the word 5-grams of its question and of
     its answer are found there. Every candidate passage is compared; of those that hit,
-    the one with the best overlap, then the best score, is reported. The index is broadcast for at most ``items_at_once``
-    items; more items take further passes over the documents, so its size is bounded, and all passes share the
-    statistics of all items.
+    the one with the best overlap, then the best score, is reported. The index is broadcast for about ``items_at_once``
+    items and ``chars_at_once`` characters of them at most; more take further passes over the documents, so its size is bounded, however long
+    items are, and all passes share the statistics of all items.
 
     Null and empty texts hold nothing; items without a word are never found. A null
     doc_id is reported as null; ids are cast to ``id_type``. Rows that repeat are reported each; items of equal
@@ -266,7 +267,8 @@ def contaminated(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    passes = max(1, -(-tests.count() // items_at_once))
+    size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-size.n // items_at_once), -(-size.chars // chars_at_once))
     shared = _shared_statistics(tests) if passes > 1 else None
     out = None
     for k in range(passes):

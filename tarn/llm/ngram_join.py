@@ -125,9 +125,12 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 _GROUP = ["bucket", "left", "right"]
 
 
-def _blocked(members: DataFrame, block_rows: int) -> DataFrame:
-    """``bucket, band, n, sid`` to ``bucket, left, right, block, band, sid``: each row once for each pair of blocks that holds its own."""
-    count = F.ceil(F.col("n") / block_rows).cast("int")
+def _blocked(members: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """``bucket, band, n, grams, sid`` to ``bucket, left, right, block, band, sid``: each row once for each pair of blocks that holds its own.
+
+    A bucket is cut so that a block has about ``block_rows`` rows and ``block_bytes`` of sets at most, whichever asks for more blocks.
+    """
+    count = F.greatest(F.ceil(F.col("n") / block_rows), F.least(F.col("n"), F.ceil(8 * F.col("grams") / block_bytes))).cast("int")
     own = members.withColumn("__blocks", count).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("__blocks")).cast("int"))
     other = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return other.select("bucket", F.least("block", "__other").alias("left"), F.greatest("block", "__other").alias("right"), "block", "band", "sid")
@@ -320,6 +323,7 @@ def similar_documents(
     n: int = 5,
     recall: float = 0.9999,
     block_rows: int = 512,
+    block_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -331,7 +335,8 @@ def similar_documents(
     ``class_id`` is the least doc_id that links lead to, whose document is ``kept``. Band and row counts follow
     from ``recall`` at the threshold. Pairs are looked at in the first band they share, and every
     such pair is verified on its full sets, but for those whose sets differ too much in size to
-    be that similar: links are lost by the bands alone.
+    be that similar: links are lost by the bands alone. Large buckets are compared in pairs of blocks, which
+    ``block_rows`` and ``block_bytes`` bound, whatever the number and the length of the texts.
 
     A null or empty text, or one without a word, has no n-gram: it is alone, with no
     link. A text of fewer than ``n`` words is one n-gram. Very long texts are read in slices of bounded bytes, a text at least. Rows with null ids take part;
@@ -353,10 +358,10 @@ def similar_documents(
     # buckets with two nodes or more
     width = 2 * rows
     band_keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width))).alias("bucket")))
-    rows_of = nodes.select("sid", F.inline(band_keys))
-    full = rows_of.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows_of.join(full, "bucket")
-    blocked = _blocked(members, block_rows).join(nodes.select("sid", "sig", "n_grams"), "sid")
+    rows_of = nodes.select("sid", "n_grams", F.inline(band_keys))
+    full = rows_of.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).where("n > 1")
+    members = rows_of.drop("n_grams").join(full, "bucket")
+    blocked = _blocked(members, block_rows, block_bytes).join(nodes.select("sid", "sig", "n_grams"), "sid")
     dealt = blocked.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "sid")
     paired = base.written(_paired(dealt, bands, rows, threshold).drop("n_grams"), "ngram-paired")
 

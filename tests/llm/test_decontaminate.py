@@ -85,8 +85,8 @@ def test_scores_do_not_depend_on_the_number_of_passes(spark, as_docs):
     items = [(i, make(rng, rng.randint(5, 50))) for i in range(30)]
     docs = as_docs([(d, " ".join([make(rng, 60), rng.choice(items)[1], make(rng, 60)]), None, None) for d in range(40)])
     tests = spark.createDataFrame(items, "item_id long, text string")
-    rows = lambda n: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in dc.contaminated(docs, tests, items_at_once=n).collect())
-    assert rows(4) == rows(100) and len(rows(100)) >= 40
+    rows = lambda n, chars=10**7: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in dc.contaminated(docs, tests, items_at_once=n, chars_at_once=chars).collect())
+    assert rows(4) == rows(100) == rows(100, 900) and len(rows(100)) >= 40
 
 
 def test_long_texts_and_the_contract_query(spark, as_docs, saved):

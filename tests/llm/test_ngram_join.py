@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tarn.llm import ngram_join as nj
@@ -125,6 +126,18 @@ def test_recall_of_links_on_a_skewed_corpus(as_docs):
     assert total > 20_000 and all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9999 * total
 
 
+def test_blocks_are_bounded_by_bytes(spark, as_docs):
+    """A bucket is cut into more blocks where its sets are large, and the result stays the same."""
+    members = spark.createDataFrame([(7, 0, 100, 100 * 20_000, k) for k in range(100)] + [(8, 0, 100, 100 * 10, k) for k in range(100)], "bucket long, band int, n long, grams long, sid long")
+    blocks = {r.bucket: r for r in nj._blocked(members, 512, 1 << 20).groupBy("bucket").agg(F.max("right").alias("last"), F.count("*").alias("n")).collect()}
+    assert (blocks[7].last, blocks[7].n) == (15, 1600) and (blocks[8].last, blocks[8].n) == (0, 100)
+    rng = random.Random(5)
+    base_text = [f"h{i}" for i in range(300)]
+    rows = [(k, " ".join([*base_text[: (at := rng.randrange(300))], f"y{k % 9}", *base_text[at + 1 :]]), None, None) for k in range(60)]
+    plain, cut = (sorted(map(tuple, nj.similar_documents(as_docs(rows), block_bytes=size).select("doc_id", "class_id", "n_links", "n_grams", "kept").collect())) for size in (32 << 20, 20_000))
+    assert plain == cut and plain[0][2] > 30
+
+
 def test_long_texts_and_the_contract_query(spark, as_docs, saved):
     long = " ".join(f"w{i}" for i in range(600_000))
     rows = [(1, long, None, None), (2, long + " more", None, None), (3, long.upper(), None, None), (4, "a b c", None, None)]
