@@ -131,7 +131,7 @@ def standardised_logistic(rows: DataFrame, features: Sequence[str], label: str,
     from pyspark.ml.feature import VectorAssembler
 
     assembled = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
-    model = LogisticRegression(featuresCol="__x", labelCol=label, standardization=True, regParam=penalty, tol=1e-10, maxIter=200).fit(assembled)
+    model = LogisticRegression(featuresCol="__x", labelCol=label, standardization=True, regParam=penalty, tol=1e-8, maxIter=200).fit(assembled)
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept)
 
 

@@ -185,8 +185,11 @@ def xgboost_trees(model: list[dict]) -> list[dict]:
     return [node(t) for t in model]
 
 
-def linear_onnx(weights: list[float], bias: float) -> bytes:
-    """A linear model as an ONNX file (one Gemm node from ``x`` to ``y``), written field by field."""
+def network_onnx(layers: list[tuple[list[list[float]], list[float], str | None]]) -> bytes:
+    """A feed-forward network as an ONNX file from ``x`` to ``y``, written field by field.
+
+    A layer is its weights (a row for each input), its biases and the ONNX operator that follows (``Relu``, ``Sigmoid``, ``Tanh``, ``Softmax``), or none.
+    """
     import struct
 
     def number(n: int) -> bytes:
@@ -208,14 +211,36 @@ def linear_onnx(weights: list[float], bias: float) -> bytes:
         shape = part(1, part(2, "n")) + part(1, part(1, width))
         return part(1, name) + part(2, part(1, part(1, 1) + part(2, shape)))
 
-    node = part(1, "x") + part(1, "w") + part(1, "b") + part(2, "y") + part(4, "Gemm")
-    graph = part(1, node) + part(2, "linear") + part(5, tensor("w", [len(weights), 1], weights)) + part(5, tensor("b", [1], [bias]))
-    graph += part(11, matrix("x", len(weights))) + part(12, matrix("y", 1))
+    graph, constants, at = b"", b"", "x"
+    for k, (weights, biases, after) in enumerate(layers):
+        steps = [("Gemm", [at, f"w{k}", f"b{k}"])] + ([(after, [f"g{k}"])] if after else [])
+        for j, (operator, inputs) in enumerate(steps):
+            at = "y" if k == len(layers) - 1 and j == len(steps) - 1 else f"g{k}" if j == 0 else f"a{k}"
+            graph += part(1, b"".join(part(1, i) for i in inputs) + part(2, at) + part(4, operator))
+        constants += part(5, tensor(f"w{k}", [len(weights), len(biases)], [w for row in weights for w in row]))
+        constants += part(5, tensor(f"b{k}", [len(biases)], biases))
+    graph += part(2, "network") + constants + part(11, matrix("x", len(layers[0][0]))) + part(12, matrix("y", len(layers[-1][1])))
     return part(1, 8) + part(7, graph) + part(8, part(2, 13))
 
 
-def onnx_scorer(model_bytes: bytes, inputs: list[str], output: str | None = None):
-    """A UDF over float columns for an ONNX model of one input matrix; one session for each Python worker and model."""
+def linear_onnx(weights: list[float], bias: float) -> bytes:
+    """A linear model as an ONNX file."""
+    return network_onnx([([[w] for w in weights], [bias], None)])
+
+
+def perceptron_onnx(model) -> bytes:
+    """A ``MultilayerPerceptronClassificationModel`` of Spark as an ONNX file: sigmoid layers, then softmax; its output is the model's probability vector."""
+    sizes, flat, at, layers = list(model.getLayers()), model.weights.toArray(), 0, []
+    for k, (n_in, n_out) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        weights = flat[at : at + n_in * n_out].reshape(n_in, n_out)
+        biases = flat[at + n_in * n_out : at + (n_in + 1) * n_out]
+        at += (n_in + 1) * n_out
+        layers.append((weights.tolist(), biases.tolist(), "Softmax" if k == len(sizes) - 2 else "Sigmoid"))
+    return network_onnx(layers)
+
+
+def onnx_scorer(model_bytes: bytes, inputs: list[str], output: str | None = None, column: int = 0):
+    """A UDF over float columns for an ONNX model of one input matrix, of whose output it takes a ``column``; one session for each Python worker and model."""
 
     key = hashlib.sha256(model_bytes).hexdigest()
 
@@ -226,7 +251,7 @@ def onnx_scorer(model_bytes: bytes, inputs: list[str], output: str | None = None
         session = _sessions.get(key) or _sessions.setdefault(key, onnxruntime.InferenceSession(model_bytes))
         x = rows.to_numpy(np.float32)
         out = session.run([output] if output else None, {session.get_inputs()[0].name: x})[0]
-        return pd.Series(np.asarray(out, np.float64).reshape(len(x), -1)[:, 0])
+        return pd.Series(np.asarray(out, np.float64).reshape(len(x), -1)[:, column])
 
     return run(F.struct(*[F.col(c) for c in inputs]))
 

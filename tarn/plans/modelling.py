@@ -367,3 +367,33 @@ def nearest_per_token(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     tokens = vectors.where(F.col("vec_id").isin(7, 8, 9)).select(F.col("vec_id").alias("token"), F.col("v").alias("token_vector"))
     return v.nearest_each(vectors, tokens, "v", "vec_id", "token", "token_vector", 5).select("vec_id").distinct()
+
+
+@query(
+    "onnx_network",
+    """
+    WITH x AS (SELECT p_partkey, p_size::DOUBLE AS a, floor(p_retailprice) AS b FROM part),
+         h AS (SELECT p_partkey, greatest(0, 2 * a - 0.25 * b + 100) AS h1, greatest(0, 0.5 * b - 8 * a - 200) AS h2, greatest(0, 0.5 * a + 0.25 * b) AS h3 FROM x)
+    SELECT p_partkey, h1 - 2 * h2 + 0.5 * h3 + 0.25 AS score FROM h
+    """,
+)
+def onnx_network(spark, sf_dir):
+    """Two layers, as a second phase would call them; all values are multiples of 1/16, hence exact in single precision."""
+    model = r.network_onnx([([[2.0, -8.0, 0.5], [-0.25, 0.5, 0.25]], [100.0, -200.0, 0.0], "Relu"), ([[1.0], [-2.0], [0.5]], [0.25], None)])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("float").alias("a"), F.floor("p_retailprice").cast("float").alias("b"))
+    return rows.select("p_partkey", r.onnx_scorer(model, ["a", "b"]).alias("score"))
+
+
+@query("perceptron_ranking", "SELECT p_partkey, 0.0::DOUBLE AS apart FROM part")
+def perceptron_ranking(spark, sf_dir):
+    """A network trained by Spark, exported, and scored by the ONNX runtime: no row's probability is apart from Spark's own."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_size") * 40 > F.col("p_retailprice")).cast("double").alias("y"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(rows)
+    model = MultilayerPerceptronClassifier(layers=[2, 5, 3, 2], featuresCol="x", labelCol="y", maxIter=30, seed=3).fit(rows)
+    own = vector_to_array(F.col("probability"))[1]
+    scored = model.transform(rows).select("p_partkey", own.alias("own"), F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
+    return scored.select("p_partkey", F.round(F.abs(F.col("own") - r.onnx_scorer(r.perceptron_onnx(model), ["a", "b"], column=1)), 3).alias("apart"))
