@@ -8,6 +8,7 @@ import pytest
 
 from tarn.llm import registry
 from tests.llm.conftest import ODD
+from tests.llm.test_spelling import brute as spelling_rows
 
 COLUMNS = {
     "op1_pii": [("doc_id", "bigint"), ("n_email", "bigint"), ("n_ip", "bigint"), ("n_card", "bigint"), ("n_phone", "bigint"), ("base_sha256", "string"), ("spans", "string")],
@@ -16,6 +17,9 @@ COLUMNS = {
     "op6_token_store": [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")],
     "op9_exact_dedup": [("doc_id", "bigint"), ("keep_id", "bigint"), ("group_size", "bigint"), ("kept", "boolean"), ("text_sha256", "string")],
     "op10_language_id": [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")],
+    "op11_filter_audit": [("part", "string"), ("filter_order", "string"), ("step", "int"), *[(c, "bigint") for c in "kept removed redundant unique_fails good_lost toxic_lost shapley".split()]],
+    "op12_html_extract": [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")],
+    "op13_spelling_variants": [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")],
 }
 TEXTS = ["the ring on the thing", "The Ring on the Thing", "un deux trois quatre", "mail a@b.co now", None, "", "Été É", "the ring on the thing"]
 
@@ -25,7 +29,8 @@ def sf(spark, as_docs, saved):
     rows = [(i, TEXTS[i % len(TEXTS)], "en" if i % 3 else None, f"s{i % 4}") for i in range(160)]
     pages = spark.createDataFrame([(1, "http://a.example.com/fr/1", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
     items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
-    return saved(documents=as_docs(rows), pages=pages, benchmark=items), rows
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    return saved(documents=as_docs(rows), pages=pages, benchmark=items, labels=labels), rows
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -67,8 +72,11 @@ def test_exact_dedup(spark, sf):
 def test_odd_documents(spark, as_docs, saved):
     empty = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    odd, none = saved(documents=as_docs(ODD, "slot", "keep_id"), benchmark=empty, pages=pages), saved(documents=as_docs([]), benchmark=empty, pages=pages)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    other = {"benchmark": empty, "pages": pages, "labels": labels}
+    odd, none = saved(documents=as_docs(ODD, "slot", "keep_id"), **other), saved(documents=as_docs([]), **other)
+    own = {"op11_filter_audit": 600 * len({s or "" for *_, s in ODD}), "op13_spelling_variants": len(spelling_rows(ODD))}
     per_row = {"op1_pii", "op2_mixing", "op3_sharding", "op6_token_store", "op8_ngram_join", "op9_exact_dedup", "op10_language_id"}
     for name, run in registry.QUERIES.items():
         assert run(spark, none).collect() == []
-        assert len(run(spark, odd).collect()) == (len(ODD) if name in per_row else 0)
+        assert len(run(spark, odd).collect()) == own.get(name, len(ODD) if name in per_row else 0)
