@@ -101,7 +101,8 @@ def parquet_pushdown(spark, sf_dir):
 )
 def binary_vectors(spark, sf_dir):
     """Files of signed bytes, one for each label: a header of two 32-bit numbers, then the vectors."""
-    byte = lambda x: F.lpad(F.hex(F.pmod((x.cast("double") * 127).cast("int"), F.lit(256))), 2, "0")
+    # multiplied in single precision, as the vectors are: 64 / 127 is then 64, in double precision 63.99..
+    byte = lambda x: F.lpad(F.hex(F.pmod((x * F.lit(127).cast("float")).cast("int"), F.lit(256))), 2, "0")
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.array_join(F.transform(F.slice("embedding", 1, 8), byte), "").alias("h"))
     number = lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"]), "")
