@@ -85,6 +85,26 @@ def bucket_join(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
     return d.join(q, "__bucket").dropDuplicates([doc_id, query_id]).drop("__bucket")
 
 
+def bucket_partners(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_buckets: str, query_buckets: str) -> DataFrame:
+    """J19 counted: for each document that shares a bucket with a query, ``partners``, the number of such queries, and ``last``, the largest of their ids.
+
+    Rows with the same set of buckets have the same partners, so classes of them are joined, and a document takes the result of its class: what is joined grows with
+    the different sets, not with the pairs. Rows of one id are taken together.
+    """
+
+    def members(rows: DataFrame, id_col: str, buckets: str) -> DataFrame:
+        each = rows.select(F.col(id_col).alias("__id"), F.explode(buckets).alias("__b")).where("__b IS NOT NULL")
+        return each.groupBy("__id").agg(F.sort_array(F.collect_set("__b")).alias("__set"))
+
+    d, q = members(docs, doc_id, doc_buckets), members(queries, query_id, query_buckets)
+    asked = q.groupBy(F.col("__set").alias("__asked")).agg(F.count("*").alias("__n"), F.max("__id").alias("__last"))
+    kinds = d.select(F.col("__set").alias("__kind")).distinct()
+    # a pair of classes is taken at the least bucket that they share, hence once
+    pairs = kinds.withColumn("__b", F.explode("__kind")).join(asked.withColumn("__b", F.explode("__asked")), "__b").where(F.col("__b") == F.array_min(F.array_intersect("__kind", "__asked")))
+    of_kind = pairs.groupBy("__kind").agg(F.sum("__n").alias("partners"), F.max("__last").alias("last"))
+    return d.join(of_kind, F.col("__set") == F.col("__kind")).select(F.col("__id").alias(doc_id), "partners", "last")
+
+
 def pairwise(top: DataFrame, id_col: str, columns: Sequence[str], most: int = 1000) -> DataFrame:
     """Ordered pairs of different rows of a result list, which is cut to its first ``most`` rows by ``id_col``."""
     cut = top.orderBy(id_col).limit(most)

@@ -26,3 +26,12 @@ def test_bytes_of_vectors_are_rounded_as_singles(spark, tmp_path):
     rows = [(k, [k / 127.0] * 64, k % 3) for k in range(127)]
     found = answered(spark, tmp_path, "binary_vectors", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "binary_vectors")
+
+
+def test_bucket_join_takes_rows_of_equal_buckets_as_one(spark, tmp_path):
+    """4,000 parts and 4,000 suppliers of one bucket are 16 million pairs, but one pair of classes for each number modulo 997 or 991."""
+    parts = ([(k, 7 * (k % 2) + k % 3) for k in range(4000)], "p_partkey long, p_size int")
+    suppliers = ([(k, k % 4, 9500.0 if k % 5 else 100.0) for k in range(4000)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    found = answered(spark, tmp_path, "bucket_join", part=parts, supplier=suppliers)
+    assert "__kind" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "bucket_join")
