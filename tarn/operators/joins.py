@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.dyadic import meeting_intervals, points_in_intervals
+from tarn.operators.order import counted_before
 
 
 def interval_join(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", unit: float | None = None) -> DataFrame:
@@ -78,6 +79,41 @@ def band_match(left: DataFrame, right: DataFrame, low: str, high: str, value: st
     return pairs.withColumn("score", score).withColumn("place", place).where(F.col("place") <= n)
 
 
+def nearest_match(left: DataFrame, right: DataFrame, centre: str, low: str, high: str, value: str, score: Column, left_id: str, right_id: str, n: int, path: str, on: Sequence[tuple[str, str]] = (), unit: float = 1) -> DataFrame:
+    """J18 as :func:`band_match`, for a ``score`` that never rises as ``value`` goes away from ``centre``: what is joined does not grow with the rows within a band.
+
+    The different values of the right side, each with its ``n`` least ids, and the centres are put in one order by ranges (tables under ``path``), where a centre learns
+    its place among the values. Only the ``n + 1`` values on either side of it are joined, by their places. Where the last of those scores no less than the ``n``-th
+    best, or a band does not hold its centre, places do not decide, and those rows go through :func:`band_match`.
+    """
+    spark = left.sparkSession
+    keys = [f"__k{i}" for i in range(len(on))]
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    asked = left.where(known(centre)).select("*", *[F.col(a).alias(k) for (a, _), k in zip(on, keys, strict=True)], F.col(centre).alias("__c"))
+    least = right.where(known(value)).select("*", *[F.col(b).alias(k) for (_, b), k in zip(on, keys, strict=True)], F.col(value).alias("__v"))
+    least = least.withColumn("__first", F.row_number().over(Window.partitionBy(*keys, "__v").orderBy(right_id))).where(F.col("__first") <= n).drop("__first")
+    marked = lambda rows, x, is_value: rows.select(*keys, F.col(x).alias("__x")).distinct().withColumn("__after", F.lit(not is_value))
+    merged = counted_before(marked(least, "__v", True).unionByName(marked(asked, "__c", False)), [*keys, "__x", "__after"], ~F.col("__after"), "__place", f"{path}/ordered")
+    around = F.sequence(F.col("__place") - n - 1, F.col("__place") + n)
+    slots = merged.where("__after").select(*keys, F.col("__x").alias("__c"), F.posexplode(around).alias("__slot", "__place"))
+    near = slots.join(merged.where("NOT __after").select(*keys, F.col("__x").alias("__v"), "__place"), [*keys, "__place"]).drop("__place")
+    pairs = asked.join(near, [*keys, "__c"]).where((F.col("__v") >= F.col(low)) & (F.col("__v") <= F.col(high))).join(least, [*keys, "__v"])
+    mine = Window.partitionBy(left_id)
+    place = F.row_number().over(mine.orderBy(F.desc("score"), F.col(right_id)))
+    scored = pairs.withColumn("score", score).withColumn("place", place)
+    last = F.min(F.when(F.col("place") <= n, F.col("score"))).over(mine)
+    open_ = F.max(F.col("__slot").isin(0, 2 * n + 1) & (F.col("score") >= last)).over(mine)
+    scored.withColumn("__open", open_).where((F.col("place") <= n) | F.col("__open")).drop(*keys, "__c", "__v", "__slot").write.parquet(f"{path}/matched")
+    found = spark.read.parquet(f"{path}/matched")
+    outside = left.where(~((F.col(centre) >= F.col(low)) & (F.col(centre) <= F.col(high))) & (F.col(low) <= F.col(high)))
+    others = found.where("__open").select(left_id).union(outside.select(left_id)).distinct()
+    settled = found.where(F.col("place") <= n).drop("__open")
+    if others.isEmpty():
+        return settled
+    plain = band_match(left.join(others, left_id, "left_semi"), right, low, high, value, score, left_id, right_id, n, on, unit)
+    return settled.join(others, left_id, "left_anti").unionByName(plain.select(*settled.columns))
+
+
 def bucket_join(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_buckets: str, query_buckets: str) -> DataFrame:
     """Pairs of a query and a document that share a bucket, once each."""
     d = docs.withColumn("__bucket", F.explode(F.array_distinct(doc_buckets)))

@@ -99,3 +99,14 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, path: st
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return dealt.withColumn("__place", place).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
+
+
+def counted_before(rows: DataFrame, order: Sequence[str | Column], counted: Column, name: str, path: str) -> DataFrame:
+    """Rows with a column ``name``: how many of those with ``counted`` come before them in an order, which must tell all rows apart; as :func:`numbered`, by ranges."""
+    spark = rows.sparkSession
+    rows.withColumn("__one", counted.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sizes = dealt.groupBy("__part").agg(F.sum("__one").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("__one").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__one")
+    return dealt.withColumn("__within", within).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn(name, F.col("__within") + F.col("__before")).drop("__part", "__one", "__within", "__before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.scalar import epoch_seconds
 from tarn.operators import joins as j
-from tarn.plans.registry import query, table
+from tarn.plans.registry import query, scratch, table
 
 _A = "a AS (SELECT user_id AS id, event_id AS a_key, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 AS e FROM events WHERE event_type = 'view')"
 _B = "b AS (SELECT user_id AS id, event_id AS b_key, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 1800 AS e FROM events WHERE event_type = 'click')"
@@ -102,7 +102,7 @@ def band_match(spark, sf_dir):
     left = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") - 100).alias("low"), (F.col("s_acctbal") + 100).alias("high"))
     right = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     score = 1 / (1 + F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    best = j.band_match(left, right, "low", "high", "c_acctbal", score, "s_suppkey", "c_custkey", 3, unit=25)
+    best = j.nearest_match(left, right, "s_acctbal", "low", "high", "c_acctbal", score, "s_suppkey", "c_custkey", 3, scratch(spark, "band"), unit=25)
     return best.select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), "place")
 
 

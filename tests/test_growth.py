@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 
@@ -35,3 +38,26 @@ def test_bucket_join_takes_rows_of_equal_buckets_as_one(spark, tmp_path):
     found = answered(spark, tmp_path, "bucket_join", part=parts, supplier=suppliers)
     assert "__kind" in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "bucket_join")
+
+
+@pytest.mark.parametrize("name", ["band_match"])
+def test_matches_join_no_band(spark, tmp_path, name):
+    """Three nearest of 2,000 customers, many of one balance: by places, not by all that lie in a band."""
+    customers = ([(k, k % 3, [-50.0, 7.25, 10.0 + k % 40][k % 3] if k % 9 else None, "X") for k in range(2000)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    suppliers = ([(k, k % 3, [7.25, -3.0, 30.5, 5000.0, -50.0][k % 5] if k else None) for k in range(40)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    found = answered(spark, tmp_path, name, customer=customers, supplier=suppliers)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, name)
+
+
+def test_nearest_match_with_coarse_scores_and_odd_bands(spark, tmp_path):
+    """Scores that do not tell values apart, and bands beside their centre, are settled by the plain join."""
+    from tarn.operators import joins as j
+
+    left = spark.createDataFrame([(k, float(k), float(k - 4), float(k + 4)) for k in range(20)] + [(99, 3.0, 8.0, 15.0), (98, None, 1.0, 2.0)], "l long, c double, low double, high double")
+    right = spark.createDataFrame([(100 - k, k / 4.0) for k in range(100)], "r long, v double")
+    score = -F.floor(F.abs(F.col("v") - F.col("c")) / 2)
+    got = j.nearest_match(left, right, "c", "low", "high", "v", score, "l", "r", 3, str(tmp_path / "near")).select("l", "r", "place")
+    want = j.band_match(left, right, "low", "high", "v", score, "l", "r", 3).where("c IS NOT NULL").select("l", "r", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("l = 99").count() == 3
