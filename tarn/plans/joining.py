@@ -116,11 +116,12 @@ def band_match(spark, sf_dir):
     """,
 )
 def two_sided_match(spark, sf_dir):
-    left = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("l_nation"))
+    bounds = [(F.col("s_acctbal") - 1000).alias("low"), (F.col("s_acctbal") + 1000).alias("high")]
+    left = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("l_nation"), *bounds)
     right = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("r_nation"))
-    condition = F.col("c_acctbal").between(F.col("s_acctbal") - 1000, F.col("s_acctbal") + 1000)
     score = 1 / (1 + F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    return j.two_sided_match(left, right, condition, score, "s_suppkey", "c_custkey", 3, ["nation"]).select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), "place")
+    best = j.nearest_match(left, right, "s_acctbal", "low", "high", "c_acctbal", score, "s_suppkey", "c_custkey", 3, scratch(spark, "sides"), [("l_nation", "r_nation")], unit=25)
+    return best.select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), "place")
 
 
 @query(

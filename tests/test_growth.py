@@ -40,7 +40,7 @@ def test_bucket_join_takes_rows_of_equal_buckets_as_one(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "bucket_join")
 
 
-@pytest.mark.parametrize("name", ["band_match"])
+@pytest.mark.parametrize("name", ["band_match", "two_sided_match"])
 def test_matches_join_no_band(spark, tmp_path, name):
     """Three nearest of 2,000 customers, many of one balance: by places, not by all that lie in a band."""
     customers = ([(k, k % 3, [-50.0, 7.25, 10.0 + k % 40][k % 3] if k % 9 else None, "X") for k in range(2000)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
