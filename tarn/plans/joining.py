@@ -84,8 +84,15 @@ def interval_join_lengths(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), begin.alias("start"), (begin + F.expr(_SPAN.format(k="o_orderkey", year=94_608_000))).alias("end"))
     begin = F.expr("700000000 + 1234567 * (s_suppkey % 151)")
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), begin.alias("start"), (begin + F.expr(_SPAN.format(k="s_suppkey", year=63_072_000))).alias("end"))
-    pairs = j.interval_join(a, b, [])
-    return pairs.groupBy(F.col("b_key")).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("seconds"), F.max("a_key").alias("last_key"))
+    # equal intervals meet the same ones, so that each different interval is joined once, with its number of rows
+    path = scratch(spark, "intervals")
+    a.groupBy("start", "end").agg(F.count("*").alias("n"), F.max("key").alias("last")).write.parquet(f"{path}/a")
+    b.select("start", "end").distinct().write.parquet(f"{path}/b")
+    kinds, asked = spark.read.parquet(f"{path}/a"), spark.read.parquet(f"{path}/b")
+    pairs = j.interval_join(kinds, asked, [])
+    seconds = F.sum(F.col("a_n") * (F.col("end") - F.col("start"))).cast("long")
+    met = pairs.groupBy("b_start", "b_end").agg(F.sum("a_n").alias("n"), seconds.alias("seconds"), F.max("a_last").alias("last_key"))
+    return b.join(met, (F.col("start") == F.col("b_start")) & (F.col("end") == F.col("b_end"))).groupBy(F.col("key").alias("b_key")).agg(F.sum("n").alias("n"), F.sum("seconds").alias("seconds"), F.max("last_key").alias("last_key"))
 
 
 @query(

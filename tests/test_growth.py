@@ -1,5 +1,6 @@
 """Queries on tables that were found to break them: rounding, repeated groups, skewed keys."""
 
+import datetime
 import os
 
 import pytest
@@ -61,3 +62,13 @@ def test_nearest_match_with_coarse_scores_and_odd_bands(spark, tmp_path):
     want = j.band_match(left, right, "low", "high", "v", score, "l", "r", 3).where("c IS NOT NULL").select("l", "r", "place")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.where("l = 99").count() == 3
+
+
+def test_equal_intervals_are_joined_once(spark, tmp_path):
+    """20,000 orders of 40 days against 600 suppliers, where repeated keys count as often as they stand."""
+    day = lambda k: datetime.datetime(1992, 3, 7) + datetime.timedelta(days=20 * (k % 40))
+    orders = ([(k, day(k)) for k in range(20_000)], "o_orderkey long, o_orderdate timestamp_ntz")
+    suppliers = ([(k % 500,) for k in range(600)], "s_suppkey long")
+    found = answered(spark, tmp_path, "interval_join_lengths", orders=orders, supplier=suppliers)
+    assert "orders.parquet" not in "".join(found.inputFiles())  # what is joined are the intervals, counted before
+    assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "interval_join_lengths")
