@@ -80,3 +80,12 @@ def test_nearest_of_many_queries_by_matrix_products(spark, tmp_path):
     found = answered(spark, tmp_path, "exact_neighbours", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "exact_neighbours")
+
+
+def test_stored_expressions_are_met_by_their_most_telling_clause(spark, tmp_path):
+    """A negated range is met from beside it, not by all requests."""
+    customers = ([(k, k % 5, [-970.5, -920.0, 0.0, 9500.0, 40.25][k % 5] + k % 7, ["BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE"][k % 4]) for k in range(400)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    suppliers = ([(k, k % 5, [-980.5, 9400.0, -5.0][k % 3]) for k in range(60)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    found = answered(spark, tmp_path, "predicate_index", customer=customers, supplier=suppliers)
+    assert "n_needed" not in found._jdf.queryExecution().toString()  # hits of single clauses are not counted
+    assert sorted(map(tuple, found.collect())) == by_sql(tmp_path, "predicate_index")
