@@ -16,6 +16,8 @@ from tarn.functions import tensor as tn
 
 #: Rows that one k-means is fitted on, whatever the table's size; all rows are indexed.
 SAMPLE = 200_000
+#: Pairs of a query and a row whose distances a task holds at once.
+PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,12 @@ def _closest(rows: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     for start in range(0, len(rows), 4096):
         part = rows[start : start + 4096]
         d = norm - 2 * part @ centres.T
-        if k == 1:
-            out[start : start + len(part), 0] = d.argmin(1)
-        else:
+        if k > 4:
             out[start : start + len(part)] = np.argsort(d, axis=1, kind="stable")[:, :k]
+            continue
+        for place in range(out.shape[1]):
+            out[start : start + len(part), place] = best = d.argmin(1)
+            d[np.arange(len(part)), best] = np.inf
     return out
 
 
@@ -165,12 +169,13 @@ def encoded(vectors: DataFrame, id_col: str, vector: str, quantiser: Quantiser,
 def write_index(vectors: DataFrame, id_col: str, vector: str, quantiser: Quantiser, path: str, copies: int = 1, factor: float = 0.9) -> None:
     """The index as tables under ``path``: ``lists``, a partition for each list; ``centroids`` with rows and radius of each list; ``books``.
 
-    Rows are sorted by list within each task, so that a task has one file open at a time.
+    Rows are encoded once, then dealt by ranges of list and id, so that a list is few files, a list with many rows is several tasks' work, and a task has one file open at a time.
     """
     if quantiser.books.shape[1] > 256:
         raise ValueError("a code is one byte")
     spark = vectors.sparkSession
-    rows = encoded(vectors, id_col, vector, quantiser, copies, factor)
+    encoded(vectors, id_col, vector, quantiser, copies, factor).write.parquet(f"{path}/encoded")
+    rows = spark.read.parquet(f"{path}/encoded").repartitionByRange("list", "id")
     rows.sortWithinPartitions("list").write.partitionBy("list").parquet(f"{path}/lists")
     measured = spark.read.parquet(f"{path}/lists").groupBy("list").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
     centroids = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(quantiser.centroids)], "list int, centroid array<double>")
@@ -213,45 +218,71 @@ def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, most: in
             yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
 
 
+def _asked(near: np.ndarray) -> dict[int, np.ndarray]:
+    """For each list the places of the queries that want it, from a matrix ``(queries, lists)`` of truths."""
+    return {int(c): np.flatnonzero(near[:, c]) for c in np.flatnonzero(near.any(0))}
+
+
+def _probed(index: Index, vectors: np.ndarray, probes: int) -> np.ndarray:
+    near = np.zeros((len(vectors), len(index.sizes)), bool)
+    np.put_along_axis(near, _closest(vectors, index.quantiser.centroids, probes), True, 1)
+    return near
+
+
+def _pieces(batch: pa.RecordBatch, of_list: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``list, queries, rows`` of a batch: places of the queries that want a list and of some of its rows, :data:`PAIRS` pairs at most."""
+    lists = batch.column("list").to_numpy()
+    order = np.argsort(lists, kind="stable")
+    for at in np.split(order, 1 + np.flatnonzero(np.diff(lists[order]))):
+        asked = of_list.get(int(lists[at[0]])) if len(at) else None
+        if asked is None:
+            continue
+        step = max(1, PAIRS // len(asked))
+        for start in range(0, len(at), step):
+            yield int(lists[at[0]]), asked, at[start : start + step]
+
+
 def _shortlisted(index: Index, ids: list, vectors: np.ndarray, id_type: str, probes: int, shortlist: int) -> DataFrame:
     """``query_id, list, id, approximate``: of the probed lists the ``shortlist`` rows of least distance by codes, for each query.
 
-    A distance is a sum of one table entry for each part, tables being made per query and list. Each task keeps its best rows
+    The rows that codes stand for meet all queries of their list in one matrix product. Each task keeps its best rows
     only, so a list with a third of all rows is as many tasks as it has files, and none sends more than the others.
     """
-    near = _closest(vectors, index.quantiser.centroids, probes)
-    of_list: dict[int, list[int]] = {}
-    for q, found in enumerate(near):
-        for c in found.tolist():
-            of_list.setdefault(c, []).append(q)
+    of_list = _asked(_probed(index, vectors, probes))
     shipped = index.spark.sparkContext.broadcast((index.quantiser, vectors, of_list, ids))
 
+    def cut(held: list[tuple], bound: np.ndarray) -> tuple:
+        """The best of what a task holds for each query; full shortlists bound what may still enter."""
+        q, d, names, lists = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((d, q))
+        q, d = q[order], d[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        full, keep = place == shortlist - 1, place < shortlist
+        bound[q[full]] = d[full]
+        return q[keep], d[keep], names[order[keep]], lists[order[keep]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, vectors, of_list, ids = shipped.value
-        books, parts, width = quantiser.books, quantiser.parts, quantiser.books.shape[2]
-        best: dict[int, tuple[np.ndarray, list, np.ndarray]] = {}
+        bound, norm = np.full(len(ids), np.inf), (vectors**2).sum(1)
+        held, size, room = [], 0, PAIRS
         for batch in batches:
-            lists = batch.column("list").to_numpy()
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, parts)
-            for c in np.unique(lists).tolist():
-                at = np.flatnonzero(lists == c)
-                own, names = codes[at], batch.column("id").take(pa.array(at)).to_pylist()
-                for q in of_list.get(c, ()):
-                    left = (vectors[q] - quantiser.centroids[c]).reshape(parts, 1, width)
-                    table = ((left - books) ** 2).sum(2)
-                    d = table[np.arange(parts), own].sum(1)
-                    first = np.argpartition(d, shortlist - 1)[:shortlist] if len(d) > shortlist else np.arange(len(d))
-                    held = best.get(q, (np.empty(0), [], np.empty(0, np.int32)))
-                    d, names_, from_ = np.concatenate([held[0], d[first]]), held[1] + [names[k] for k in first], np.concatenate([held[2], np.full(len(first), c, np.int32)])
-                    if len(d) > 4 * shortlist:
-                        cut = np.argpartition(d, shortlist - 1)[:shortlist]
-                        d, names_, from_ = d[cut], [names_[k] for k in cut], from_[cut]
-                    best[q] = (d, names_, from_)
-        for q, (d, names, from_) in best.items():
-            cut = np.argsort(d, kind="stable")[:shortlist]
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": [ids[q]] * len(cut), "list": from_[cut], "id": [names[k] for k in cut], "approximate": np.sqrt(np.maximum(d[cut], 0))}, schema=schema
-            )
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, quantiser.parts)
+            names = batch.column("id").to_numpy(zero_copy_only=False)
+            for c, asked, at in _pieces(batch, of_list):
+                x = quantiser.centroids[c] + quantiser.books[np.arange(quantiser.parts), codes[at]].reshape(len(at), -1)
+                d = norm[asked, None] + (x**2).sum(1) - 2 * vectors[asked] @ x.T
+                most = np.partition(d, shortlist - 1, axis=1)[:, shortlist - 1] if len(at) > shortlist else np.full(len(asked), np.inf)
+                query, row = np.nonzero((d <= most[:, None]) & (d < bound[asked, None]))
+                held.append((asked[query], d[query, row], names[at[row]], np.full(len(row), c, np.int32)))
+                size += len(row)
+                if size > room:
+                    held = [cut(held, bound)]
+                    size = len(held[0][0])
+                    room = max(PAIRS, 2 * size)
+        if size:
+            q, d, names, lists = cut(held, bound)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type).take(pa.array(q)), pa.array(lists), pa.array(names, schema.field(2).type), pa.array(np.sqrt(np.maximum(d, 0)))], schema=schema)
 
     rows = index.lists(of_list).select("list", "id", "code")
     as_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -261,6 +292,51 @@ def _shortlisted(index: Index, ids: list, vectors: np.ndarray, id_type: str, pro
     return found.withColumn("__place", place).where(F.col("__place") <= shortlist).drop("__place")
 
 
+def _least_copies(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """Without rows that have ``k`` copies of smaller ids in the batch and list: none of those is one of ``k`` neighbours."""
+    if not batch.num_rows:
+        return batch
+    x = np.ascontiguousarray(_matrix(batch.column("v")))
+    vector = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1]
+    of_id = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    lists = batch.column("list").to_numpy()
+    order = np.lexsort((of_id, vector, lists))
+    new = np.append(True, (np.diff(lists[order]) != 0) | (np.diff(vector[order]) != 0))
+    first = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return batch if place.max() < k else batch.take(pa.array(np.sort(order[place < k])))
+
+
+def _reachable(index: Index, ids: list, vectors: np.ndarray, id_type: str, may: np.ndarray, most: np.ndarray, k: int) -> DataFrame:
+    """``query_id, id, v``: rows of the lists that a query ``may`` find something in, no further than ``most`` and than ``k`` other rows of their piece.
+
+    Matrix products tell which rows those are, with room for their rounding; nothing is made for other pairs.
+    """
+    shipped = index.spark.sparkContext.broadcast((vectors, _asked(may), ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, of_list, ids = shipped.value
+        bound, norm = most**2, (vectors**2).sum(1)
+        queries = pa.array(ids, as_arrow[id_type])
+        for batch in batches:
+            batch = _least_copies(batch, k)
+            values = _matrix(batch.column("v"))
+            for _, asked, at in _pieces(batch, of_list):
+                x = values[at]
+                both = norm[asked, None] + (x**2).sum(1)
+                d, room = both - 2 * vectors[asked] @ x.T, 1e-12 * both
+                if len(at) >= k:  # of one list, where no row stands twice
+                    bound[asked] = np.minimum(bound[asked], np.partition(d + room, k - 1, axis=1)[:, k - 1])
+                query, row = np.nonzero(d - room <= bound[asked, None])
+                if len(row):
+                    taken = pa.array(at[row])
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(asked[query])), batch.column("id").take(taken), batch.column("v").take(taken)], names=["query_id", "id", "v"])
+
+    as_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    rows = index.lists(np.flatnonzero(may.any(0))).select("list", "id", "v")
+    return rows.mapInArrow(run, f"query_id {id_type}, id {dict(rows.dtypes)['id']}, v array<double>")
+
+
 def _first(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each query; a row that stands in several lists counts once."""
     once = rows.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
@@ -279,7 +355,7 @@ def _searched(index: Index, queries: DataFrame, query_id: str, query_vector: str
         yield ids, vectors, _first(exact.select("query_id", "id", tn.euclidean(F.col("v"), F.col("q")).alias("distance")), k)
 
 
-def search(index: Index, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int, shortlist: int, at_once: int = 1000) -> DataFrame:
+def search(index: Index, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int, shortlist: int, at_once: int = 4000) -> DataFrame:
     """V2, V7, V8: approximate neighbours ``query_id, id, distance, place`` of a stated set of queries, ``at_once`` of them at a time.
 
     The ``probes`` nearest lists are read; codes choose ``shortlist`` rows a query; those are fetched and ranked by exact distance. Broadcast are
@@ -295,11 +371,11 @@ def _together(index: Index, queries: DataFrame, query_id: str, parts: list[DataF
     return index.spark.createDataFrame([], "query_id {}, id {}, distance double, place int".format(*kinds))
 
 
-def exact_search(index: Index, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int, shortlist: int, at_once: int = 1000) -> DataFrame:
+def exact_search(index: Index, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int, shortlist: int, at_once: int = 4000) -> DataFrame:
     """V1: the true neighbours through the index: an approximate answer bounds the distance, and only lists that may hold a nearer row are read.
 
     By the triangle inequality a row is no nearer than the difference of its own and the query's distance to a centroid. Lists that are out of the
-    bounds of all queries are not read; in the others, a query looks at rows whose distance to the centroid allows it.
+    bounds of all queries are not read; the others meet the queries that may find something there in matrix products.
     """
     kind, out = dict(queries.dtypes)[query_id], []
     for ids, vectors, near in _searched(index, queries, query_id, query_vector, k, probes, shortlist, at_once):
@@ -308,12 +384,9 @@ def exact_search(index: Index, queries: DataFrame, query_id: str, query_vector:
         most = np.array([bound.get(i, np.inf) * (1 + 1e-9) + 1e-9 for i in ids])
         apart = np.stack([np.sqrt(((v - index.quantiser.centroids) ** 2).sum(1)) for v in vectors])
         may = (apart - index.radii <= most[:, None]) & (index.sizes > 0)
-        rows = [(int(c), ids[q], float(apart[q, c]), float(most[q])) for q, c in zip(*np.nonzero(may), strict=True)]
-        asked = index.spark.createDataFrame(rows, f"list int, query_id {kind}, apart double, most double")
         vector_of = index.spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], f"query_id {kind}, q array<double>")
-        pairs = index.lists(np.flatnonzero(may.any(0))).select("list", "id", "gap", "v").join(F.broadcast(asked), "list").where(F.abs(F.col("apart") - F.col("gap")) <= F.col("most"))
-        measured = pairs.join(F.broadcast(vector_of), "query_id").select("query_id", "id", tn.euclidean(F.col("v"), F.col("q")).alias("distance"), "most")
-        out.append(_first(measured.where("distance <= most"), k))
+        pairs = _reachable(index, ids, vectors, kind, may, most, k).join(F.broadcast(vector_of), "query_id")
+        out.append(_first(pairs.select("query_id", "id", tn.euclidean(F.col("v"), F.col("q")).alias("distance")), k))
     return _together(index, queries, query_id, out)
 
 
