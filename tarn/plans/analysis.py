@@ -8,7 +8,7 @@ from tarn.functions import text as tx
 from tarn.operators import predicates as p
 from tarn.operators import postings as ps
 from tarn.plans.registry import query, spread, table
-from tarn.plans.texts import _BM25, _posted
+from tarn.plans.texts import _BM25, _held
 
 _TOKENS = "list_filter(string_split_regex({}, '[^a-z0-9]+'), lambda t: t <> '')"
 _JOINED = "array_to_string({}, ' ')"
@@ -240,4 +240,4 @@ def predicate_expressions(spark, sf_dir):
 
 @query("weak_and_top", _BM25 + "SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS place FROM m) WHERE place <= 20")
 def weak_and_top(spark, sf_dir):
-    return ps.weak_and_top(*_posted(spark, sf_dir), 20).select("query_id", "id")
+    return ps.best_in_documents(_held(spark, sf_dir), 20).select("query_id", "id")

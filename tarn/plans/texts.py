@@ -8,7 +8,6 @@ from tarn.functions import text as tx
 from tarn.operators import grouping as g
 from tarn.operators import inverted as iv
 from tarn.operators import postings as ps
-from tarn.operators.ranking import places
 from tarn.plans.registry import query, scratch, spread, table
 
 _WORDS = "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> ''"
@@ -69,24 +68,16 @@ _BM25 = """
 """.format(words=_WORDS)
 
 
-def _posted(spark, sf_dir):
-    """Postings of the terms in use and statistics of all documents, from one pass over the texts that is written once."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
-    path = scratch(spark, "postings")
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term")).distinct()
-    queries.write.parquet(f"{path}/queries")
-    queries = spark.read.parquet(f"{path}/queries")
-    rows = iv.term_rows(docs, "doc_id", {"text": F.col("tokens")}).select("id", "field", "term", "tf", F.get("positions", F.lit(0)).alias("first_position"), "length")
-    used = queries.select(F.col("term").alias("__used")).distinct()
-    rows.join(used, F.col("term") == F.col("__used"), "left").where("term IS NULL OR __used IS NOT NULL").drop("__used").write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    return rows.where("term IS NOT NULL"), iv.statistics(rows), queries
+def _held(spark, sf_dir):
+    """Documents as the terms in use and statistics of all documents, from one pass over the texts that is written once."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.word_tokens(F.col("text"))).alias("term"))
+    return ps.held_terms(docs, "doc_id", tx.word_tokens(F.col("text")), queries, scratch(spark, "postings"))
 
 
 @query("bm25_topk", _BM25 + "SELECT query_id, id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS place FROM m) WHERE place <= 10")
 def bm25_topk(spark, sf_dir):
-    scored = ps.bm25(*_posted(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return places(scored, "score", "id", "place", "query_id").where("place <= 10").select("query_id", "id", "score", "place")
+    return ps.best_in_documents(_held(spark, sf_dir), 10).select("query_id", "id", "score", "place")
 
 
 @query(
@@ -120,9 +111,10 @@ _BAYES = (
 
 
 def _bayes(spark, sf_dir, *names):
-    posts, stats, queries = _posted(spark, sf_dir)
-    rows = ps.bm25(posts, stats, queries).join(ps.mean_frequency(posts, queries, "text"), ["query_id", "id"]).join(F.broadcast(stats.select("average_length")))
-    scores = ps.bayesian_scores(F.col("score"), F.col("mean_tf"), F.col("length") / F.col("average_length"))
+    held = _held(spark, sf_dir)
+    sizes = F.broadcast(spark.createDataFrame(list(held.n_terms.items()), f"query_id {dict(held.queries.dtypes)['query_id']}, n int"))
+    rows = ps.bm25_in_documents(held).join(sizes, "query_id")
+    scores = ps.bayesian_scores(F.col("score"), F.col("tf") / F.col("n"), F.col("length") / F.lit(held.average_length))
     return rows.select("query_id", "id", *[F.round(scores[n], 6).alias(n) for n in names])
 
 

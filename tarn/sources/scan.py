@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Below so many bytes a core, an exchange costs less than cores that wait for one row group.
 SMALL_BYTES = 4 << 20
@@ -16,3 +19,15 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While a table is written, Arrow batches of at most ``rows`` rows: token arrays of long texts are held in whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
