@@ -63,21 +63,22 @@ class PartialUpdates(StatefulProcessor):
         self.handle = handle
         self.document = handle.getValueState("document", _STATE)
 
-    def _wake(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+    def _wake(self, document: Document, now: int = 0) -> None:
+        """The one timer of a key, which looks again when it rings: a call to Spark for each key and batch would cost more than the operations."""
+        self.handle.registerTimer(max(now, document.last) + min(self.horizon, self.idle or self.horizon) + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        document = Document(self.document.get() if self.document.exists() else None)
-        changed = False
+        held = self.document.get()
+        document = Document(held)
+        asleep, changed = held is None or (not document.seen and self.idle is None), False
         for part in rows:
             at = part["at"].astype("datetime64[ms]").astype("int64")
             for op in zip(part["op_id"], part["seq"], part["kind"], part["field"], part["value"], at, strict=True):
                 op_id, seq, kind, field, value, ms = op
                 changed |= document.apply(int(op_id), int(seq), kind, field, float(value), int(ms))
         self.document.update(document.state())
-        self._wake(document.last + min(self.horizon, self.idle or self.horizon) + 1)
+        if asleep:
+            self._wake(document)
         if changed:
             yield document.row(int(key[0]))
 
@@ -91,7 +92,7 @@ class PartialUpdates(StatefulProcessor):
         document.forget(now - self.horizon)
         self.document.update(document.state())
         if document.seen or self.idle is not None:
-            self._wake(max(now, document.last) + min(self.horizon, self.idle or self.horizon) + 1)
+            self._wake(document, now)
 
 
 @contextlib.contextmanager
