@@ -9,6 +9,7 @@ from tarn.operators import grouping as g
 from tarn.operators import inverted as iv
 from tarn.operators import postings as ps
 from tarn.plans.registry import query, scratch, spread, table
+from tarn.sources.scan import portioned
 
 _WORDS = "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> ''"
 
@@ -53,7 +54,7 @@ def path_levels(spark, sf_dir):
     """,
 )
 def term_ngram_counts(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = portioned(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return g.term_counts(docs, tx.token_windows(tx.word_tokens(F.col("text")), 2, ("the", "of")))
 
 

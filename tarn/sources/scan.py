@@ -21,6 +21,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
 
 
+def portioned(rows: DataFrame, key: str, most: int = 2 * SMALL_BYTES) -> DataFrame:
+    """Rows dealt by a key to so many tasks that each has about ``most`` bytes of files: what a task collects from its rows stays as it is when the input grows."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // most)
+    return rows.repartition(parts, key) if parts > rows.sparkSession.sparkContext.defaultParallelism else spread(rows)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """While a table is written, Arrow batches of at most ``rows`` rows: token arrays of long texts are held in whole batches."""
