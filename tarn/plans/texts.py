@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
 from tarn.operators import grouping as g
-from tarn.operators import inverted as iv
 from tarn.operators import postings as ps
 from tarn.plans.registry import query, scratch, spread, table
 from tarn.sources.scan import portioned
