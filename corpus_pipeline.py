@@ -32,7 +32,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column clashes with the prediction's
     text = names[docs.columns.index("text")]
     guessed = language_id.predict(docs.toDF(*names), model, text_col=text)
-    return guessed.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*names).toDF(*docs.columns)
+    kept = guessed.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*names)
+    # written here, so that its Arrow batches are small whoever reads the stage
+    return base.written(kept, "languages-kept").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

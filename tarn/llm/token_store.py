@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ END_ID = 1
 _BLOCK_IDS = 1 << 18  # ids in a block at most, unless one document has more
 _RANGE_BYTES = 32 << 20  # of ids that one task orders and packs
 _WORD_CACHE = 500_000  # pieces that a task keeps between slices
+_TEXT_BYTES = 2 << 20  # of text that is cut into pieces at once; that takes some 15 times as much
 #: A word of Latin-1 letters (whose normal form has letters only), then ASCII punctuation without the underscore.
 _WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 
@@ -72,6 +74,16 @@ def _splits_into_pieces(spec: dict) -> bool:
     return all(steps) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
 
 
+def _ids_of(tokenizer, texts: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in order, and each text's number of ids; the library's records of a few texts are held at a time, as they take many times their ids."""
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), at_once):
+        each = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)]
+        ids.append(np.fromiter((i for x in each for i in x), np.uint32))
+        sizes.append(np.array([len(x) for x in each], np.int64))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, by pieces between white space.
 
@@ -86,13 +98,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
+        # a task has one core; the library's threads would each keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.by_piece = _splits_into_pieces(spec)
-        words = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []})) if self.by_piece else None
+            self.by_piece = _splits_into_pieces(json.load(file))
+        self.plain = None
+        if self.by_piece:
+            self.plain = Tokenizer(self.tokenizer.model)  # shared, not loaded again
+            self.plain.pre_tokenizer = Split(" ", "removed")
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -105,8 +121,7 @@ class WordEncoder:
 
     def _joined(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]] | None:
         """Ids and sizes of words, many to a call; None if the ends of words don't tell them apart."""
-        texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
-        ids = np.array([i for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        ids = _ids_of(tokenizer, [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)], 16)[0]
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
             return None
@@ -125,9 +140,9 @@ class WordEncoder:
             else:
                 rest = words + rest
         if rest:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            ids.append(np.array([i for x in each for i in x], np.uint32))
-            sizes.append(np.array([len(x) for x in each], np.int64))
+            got = _ids_of(self.tokenizer, rest)
+            ids.append(got[0])
+            sizes.append(got[1])
             order += rest
         size = np.concatenate(sizes)
         self.known = pa.concat_arrays([self.known, pa.array(order, pa.large_string())])
@@ -151,8 +166,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
         if not self.by_piece:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+            return _ids_of(self.tokenizer, [t or "" for t in texts.to_pylist()], 16)
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ").cast(pa.large_string())
         pieces = pc.split_pattern(spaced, " ")
         ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
@@ -296,12 +310,14 @@ def _tokenised(source: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         try:
-            for part in (part for batch in batches for part in base.slices(batch, rows=batch.num_rows)):
+            for part in (part for batch in batches for part in base.slices(batch, most=_TEXT_BYTES, rows=batch.num_rows)):
                 ids, sizes = _end_each(*encoder.encode(part.column("text")), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]) * encoder.dtype.itemsize
                 data = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), data])
                 yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("doc_id"), packed], names=["seq", "doc_id", "ids"])
+                del ids, sizes, offsets, data, packed
+                pa.default_memory_pool().release_unused()
         finally:
             encoder.clear()
 

@@ -62,3 +62,11 @@ def test_columns_that_clash_stay(spark, as_docs, saved):
     got = cp.write_tokens(spark, docs, sf).collect()
     order = [r.doc_id for r in sorted(docs.collect(), key=lambda r: r["mix_pos_"])]
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == order
+
+
+def test_languages_are_told_in_small_batches(spark, as_docs):
+    """Whoever reads the stage, its texts met Python in batches that the stage bounds, not the session."""
+    rng = random.Random(3)
+    docs = as_docs([(i, make(rng, rng.choice(["en", "fr"]), 20), "en", "s") for i in range(40)])
+    kept = cp.identify_languages(spark, docs, "")
+    assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 40

@@ -96,3 +96,24 @@ def test_ranges_follow_the_bytes(spark, as_docs, monkeypatch):
     ts.write_store(as_docs(rows), path, ts.vocabulary())
     assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 5
     assert sorted(tuple(r) for r in ts.token_digests(ts.read_store(spark, path)).collect()) == expected(rows)
+
+
+def test_the_library_gets_few_words_at_once():
+    """Pipeline: its records take many times the ids, so a slice of new words must not go through it in one call."""
+    encoder, calls = ts.WordEncoder(ts.vocabulary()), []
+    plain, whole = encoder.plain, encoder.tokenizer
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(sum(len(t.split()) for t in texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    encoder.plain, encoder.tokenizer = Counted(plain), Counted(whole)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [str(k).translate(letters) for k in range(30_000)] + [f"é{k}" for k in range(5_000)]
+    ids, _ = encoder.encode(pa.array([" ".join(words)]))
+    assert ids.tolist() == whole.encode(" ".join(words), add_special_tokens=False).ids
+    assert sum(calls) >= len(words) and max(calls) <= 8_000
