@@ -137,13 +137,102 @@ class Inverted:
     def blocks(self, terms: DataFrame | None = None) -> DataFrame:
         """All blocks, or those of a table ``term`` of the words in use: only the partitions of their buckets are read."""
         blocks = self.spark.read.parquet(f"{self.path}/blocks")
-        if terms is None:
-            return blocks
+        return blocks if terms is None else self._of(blocks, terms)
+
+    def _of(self, blocks: DataFrame, terms: DataFrame) -> DataFrame:
         wanted = terms.select("term").distinct()
         found = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
         return blocks.where(F.col("bucket").isin(found)).join(wanted, "term", "left_semi")
 
 
+# ---- blocks without positions ---------------------------------------------------------------------------------------
+
+_IMPACTS = "term string, range long, n long, most_tf long, least_length long, total long, ids array<{id}>, tfs array<int>, lengths array<int>"
+
+
+def write_impacts(docs: DataFrame, id_col: str, field: str, tokens: Column, path: str, block_docs: int = 64, buckets: int = 16) -> None:
+    """The index of one field without positions under ``path``, partitioned by ``bucket`` as :func:`write_inverted` does, in one pass over the texts and without a shuffle.
+
+    Ranges are cut where documents are read: those of an Arrow batch, in order of length, in runs of ``block_docs``. A block has the largest ``tf`` and the least ``length`` of its postings, whose weight none of
+    them exceeds. Bucket -1 has, in ``n`` and ``total``, the number of documents of each batch and of their words, null fields included.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
+    id_type = dict(own.dtypes)["id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if batch.num_rows:
+                yield _impacts(batch.column("id"), batch.column("tokens"), first, block_docs)
+                first += -(-batch.num_rows // block_docs)
+
+    with small_batches(spark):
+        blocks = own.mapInArrow(count, _IMPACTS.format(id=id_type))
+        bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
+        blocks.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/impacts")
+    spark.createDataFrame([(field, id_type)], "field string, id_type string").coalesce(1).write.parquet(f"{path}/field")
+
+
+def _impacts(ids: pa.Array, tokens: pa.Array, first: int, block_docs: int) -> pa.RecordBatch:
+    """Blocks of a batch by range and term, and a row with a null term for its documents and words."""
+    n = len(ids)
+    doc, flat = pc.list_parent_indices(tokens).to_numpy(), tokens.flatten()
+    known = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+    doc, coded = doc[known].astype(np.int64), flat.filter(pa.array(known)).dictionary_encode()
+    length = np.bincount(doc, minlength=n)
+    place = np.empty(n, np.int64)
+    place[np.argsort(length, kind="stable")] = np.arange(n) // block_docs
+    size = len(coded.dictionary)
+    key, tf = np.unique((place[doc] * size + coded.indices.to_numpy()) * n + doc, return_counts=True)
+    group, doc = key // n, key % n
+    start = np.flatnonzero(np.diff(group, prepend=-1))
+    held = length[doc]
+    of = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.append(np.append(start, len(key)), len(key)), pa.int32()), pa.array(values, kind) if kind else values)
+    least = np.minimum.reduceat(held, start) if len(start) else held
+    most = np.maximum.reduceat(tf, start) if len(start) else tf
+    group = group[start]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([coded.dictionary.take(pa.array(group % max(size, 1))).cast(pa.string()), pa.nulls(1, pa.string())]),
+            pa.array(np.append(first + group // max(size, 1), 0), pa.int64()),
+            pa.array(np.append(np.diff(np.append(start, len(key))), n), pa.int64()),
+            pa.array(np.append(most, 0), pa.int64()),
+            pa.array(np.append(least, 0), pa.int64()),
+            pa.array(np.append(np.zeros(len(start), np.int64), length.sum()), pa.int64()),
+            of(ids.take(pa.array(doc)), None),
+            of(tf, pa.int32()),
+            of(held, pa.int32()),
+        ],
+        names=["term", "range", "n", "most_tf", "least_length", "total", "ids", "tfs", "lengths"],
+    )
+
+
+@dataclass
+class Impacts(Inverted):
+    """An index that was written by :func:`write_impacts`; its blocks have no positions."""
+
+    k1: float = 1.2
+    b: float = 0.75
+
+    def _table(self) -> DataFrame:
+        kind = self.spark.read.parquet(f"{self.path}/field").first().id_type
+        return self.spark.read.schema(f"{_IMPACTS.format(id=kind)}, bucket int").parquet(f"{self.path}/impacts")
+
+    @property
+    def statistics(self) -> DataFrame:
+        counted = self._table().where("bucket = -1").agg(F.sum("n").alias("n_docs"), (F.sum("total") / F.sum("n")).alias("average_length"))
+        return self.spark.read.parquet(f"{self.path}/field").select("field").join(F.broadcast(counted)).withColumns({"k1": F.lit(self.k1), "b": F.lit(self.b)})
+
+    def blocks(self, terms: DataFrame | None = None) -> DataFrame:
+        stats = self.statistics.first()
+        most = bm25_weight(F.col("most_tf"), F.col("least_length"), F.lit(stats.average_length), self.k1, self.b)
+        blocks = self._table().where("bucket >= 0").select("bucket", F.lit(stats.field).alias("field"), "term", "range", "n", most.alias("most"), "ids", "tfs", "lengths")
+        return blocks if terms is None else self._of(blocks, terms)
+
+
 # ---- weakAnd --------------------------------------------------------------------------------------------------------
 
 
@@ -166,7 +255,9 @@ def weak_and_blocks(index: Inverted, queries: DataFrame, field: str, target_hits
     spark, k = index.spark, target_hits
     queries = queries.select("query_id", "term").distinct()
     stats = index.statistics.where(F.col("field") == field)
-    known = index.blocks(queries).where(F.col("field") == field)
+    # what the words of all queries have in the index, read from it once: the steps below go through this alone
+    index.blocks(queries).where(F.col("field") == field).select("term", "range", "n", "most", *[_ARRAYS[c] for c in ("id", "tf", "length")]).write.parquet(f"{work}/known")
+    known = spark.read.parquet(f"{work}/known")
     light = known.select("term", "range", "n", "most")
     terms = light.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).join(F.broadcast(stats))
     terms = queries.join(terms, "term").select("query_id", "term", "df", "k1", "b", "average_length", idf(F.col("n_docs"), F.col("df")).alias("idf"), "most")
