@@ -97,16 +97,16 @@ def parquet_pushdown(spark, sf_dir):
 
 @query(
     "binary_vectors",
-    "SELECT id, count(*) AS n, CAST(sum(list_sum(list_transform(embedding[1:8], lambda x: CAST(trunc(x * 127) AS BIGINT)))) AS BIGINT) AS total FROM (SELECT embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS id FROM embeddings) GROUP BY 1",
+    "SELECT id, count(*) AS n, CAST(sum(list_sum(list_transform(embedding, lambda x: CAST(trunc(x * 127) AS BIGINT)))) AS BIGINT) AS total FROM (SELECT embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS id FROM embeddings) GROUP BY 1",
 )
 def binary_vectors(spark, sf_dir):
     """Files of signed bytes, one for each label: a header of two 32-bit numbers, then the vectors."""
     # multiplied in single precision, as the vectors are: 64 / 127 is then 64, in double precision 63.99..
     byte = lambda x: F.lpad(F.hex(F.pmod((x * F.lit(127).cast("float")).cast("int"), F.lit(256))), 2, "0")
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.array_join(F.transform(F.slice("embedding", 1, 8), byte), "").alias("h"))
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.size("embedding").alias("dim"), F.array_join(F.transform("embedding", byte), "").alias("h"))
     number = lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"]), "")
-    files = rows.groupBy("label").agg(F.unhex(F.concat(number(F.count("*").cast("int")), number(F.lit(8)), body)).alias("content"))
+    files = rows.groupBy("label").agg(F.unhex(F.concat(number(F.count("*").cast("int")), number(F.max("dim")), body)).alias("content"))
     total = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
     return feeds.vectors_of(files).groupBy("id").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
 
