@@ -10,7 +10,7 @@ from tarn.operators import fuzzy
 from tarn.operators import predicates as p
 from tarn.operators import stored as st
 from tarn.operators import vector as v
-from tarn.plans.registry import query, table
+from tarn.plans.registry import query, scratch, table
 from tarn.sources.feeds import page
 
 _TEXT = p.Fields(text={"text": tx.word_tokens, "p_name": tx.word_tokens}, sets={"default": ("p_name", "p_type")})
@@ -144,7 +144,7 @@ def predicate_index(spark, sf_dir):
     one = lambda c: F.array(c)
     texts = F.create_map(F.lit("segment"), one(F.col("c_mktsegment")), F.lit("nation"), one(F.col("c_nationkey").cast("string")))
     numbers = F.create_map(F.lit("balance"), one(F.col("c_acctbal").cast("double")), F.lit("nations"), one(F.col("c_nationkey").cast("double")))
-    met = st.matches(stored, "s_suppkey", "parsed", table(spark, sf_dir, "customer"), "c_custkey", texts, numbers)
+    met = st.matches(stored, "s_suppkey", "parsed", table(spark, sf_dir, "customer"), "c_custkey", texts, numbers, path=scratch(spark, "classes"))
     return met.select(F.col("request_id").alias("c_custkey"), F.col("id").alias("s_suppkey"))
 
 
